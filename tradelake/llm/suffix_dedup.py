@@ -28,7 +28,7 @@ from .common import NULL_ID, materialise, partitions, release, utf8_slices
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text that are anchored at once, and the most windows that are hashed before they are sent.
-PIECE, ENTRIES = 3 << 20, 300_000
+PIECE, ENTRIES = 2 << 20, 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _REPLY = "doc long, start long, length int, open boolean"
 
@@ -88,47 +88,55 @@ def anchored_blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...
     return gram[own[new]], _string_hash(hashes[32], first, length), first, length
 
 
-def _combine(k1, k2, doc, start, length, bits: int) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
-    """What a task has of the keys (k1, k2): packed rows by bucket with the smallest document's entries, and the
-    entries of larger documents, which are covered for certain."""
+def _digits(values: np.ndarray, size: int, kind: str = ">u8") -> np.ndarray:
+    """The last size bytes of each value, most significant first."""
+    return values.astype(kind).view(np.uint8).reshape(-1, 8)[:, 8 - size :]
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Byte columns one after the other: slowly changing bytes lie together, and the shuffle's compression takes them."""
+    return np.concatenate(columns, axis=1).T.tobytes()
+
+
+def _entry(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    return [_digits(doc, 8, ">i8"), _digits(start, 5), _digits(length, 1)]
+
+
+#: Bytes of a packed key, and of a packed entry of a document.
+_KEY, _ENTRY = 5 + 6, 8 + 5 + 1
+
+
+def _combine(k1, k2, doc, start, length, bits: int) -> Iterator[tuple[int, bool, bytes]]:
+    """What a task has of the keys (k1, k2), packed by bucket: the entries of the smallest document with their key, and
+    those of larger documents without it, as they are covered for certain."""
     order = np.lexsort((start, doc, k2, k1))
     k1, k2, doc, start, length = k1[order], k2[order], doc[order], start[order], length[order]
     head = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
     lowest = doc[np.nonzero(head)[0]][np.cumsum(head) - 1]
     over = doc != lowest
-    covered = (doc[over], start[over], length[over])
-    k1, k2, doc, start, length = k1[~over], k2[~over], doc[~over], start[~over], length[~over]
     bucket = (k1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k1), np.int64)
     cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(k1)]
-    out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            # column by column and byte by byte: slowly changing bytes lie together, and the shuffle's compression takes them
-            high = (k1[a:b] << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            parts = [high, k2[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6], doc[a:b].astype(">i8").view(np.uint8).reshape(-1, 8), start[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:], length[a:b].astype(np.uint8).reshape(-1, 1)]
-            out.append((int(bucket[a]), np.concatenate(parts, axis=1).T.tobytes()))
-    return out, covered
-
-
-_BYTES = 5 + 6 + 8 + 5 + 1
+        for sure in (False, True):
+            own = a + np.nonzero(over[a:b] == sure)[0]
+            if len(own):
+                key = [] if sure else [_digits(k1[own] << np.uint64(bits) >> np.uint64(24), 5), _digits(k2[own], 6)]
+                yield int(bucket[a]), sure, _packed(*key, *_entry(doc[own], start[own], length[own]))
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    k1, k2, doc, start, length = [], [], [], [], []
-    for blob in blobs:
-        m = np.frombuffer(blob, np.uint8).reshape(_BYTES, -1).T
+def _unpack(blobs: list[bytes], keyed: bool) -> tuple[np.ndarray, ...]:
+    """(k1, k2, doc, start, length) of packed rows, without keys (doc, start, length)."""
+    width = _ENTRY + _KEY * keyed
+    m = np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1) for b in blobs] or [np.zeros((width, 0), np.uint8)], axis=1)
 
-        def number(a: int, b: int, m=m) -> np.ndarray:
-            full = np.zeros((len(m), 8), np.uint8)
-            full[:, 8 - (b - a) :] = m[:, a:b]
-            return full.view(">u8").ravel()
+    def number(a: int, b: int) -> np.ndarray:
+        full = np.zeros((m.shape[1], 8), np.uint8)
+        full[:, 8 - (b - a) :] = m[a:b].T
+        return full.view(">u8").ravel().astype(np.uint64)
 
-        k1.append(number(0, 5).astype(np.uint64))
-        k2.append(number(5, 11).astype(np.uint64))
-        doc.append(number(11, 19).astype(np.uint64).view(np.int64))
-        start.append(number(19, 24).astype(np.int64))
-        length.append(m[:, 24].astype(np.int32))
-    return tuple(map(np.concatenate, (k1, k2, doc, start, length)))
+    k = _KEY * keyed
+    entry = (number(k, k + 8).view(np.int64), number(k + 8, k + 13).astype(np.int64), m[k + 13].astype(np.int32))
+    return (number(0, 5), number(5, 11), *entry) if keyed else entry
 
 
 def _reply(doc, start, length, open_: bool) -> pa.RecordBatch:
@@ -141,26 +149,22 @@ def _digit_pass(entries: DataFrame, split: Callable, bits: int, name: str, block
     split turns the batches of entries into (k1, k2, doc, start, length) arrays."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "blob", "doc", "start", "length"]
         for arrays in split(batches):
-            if not len(arrays[0]):
-                continue
-            packed, (doc, start, length) = _combine(*arrays, bits)
-            n, m = len(packed), len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]], names)
-            for s in range(0, m, 50_000):
-                c = slice(s, s + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc[c]), pa.int32()), pa.nulls(len(doc[c]), pa.binary()), pa.array(doc[c]), pa.array(start[c]), pa.array(length[c].astype(np.int32))], names)
+            if len(arrays[0]):
+                rows = list(_combine(*arrays, bits))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sure", "blob"])
 
     def meet(group: pa.Table) -> pa.Table:
-        k1, k2, doc, start, length = _unpack(group.column("blob").to_pylist())
+        sure, blobs = group.column("sure").to_pylist(), group.column("blob").to_pylist()
+        out = [_reply(*_unpack([b for b, y in zip(blobs, sure, strict=True) if y], False), False)]
+        k1, k2, doc, start, length = _unpack([b for b, y in zip(blobs, sure, strict=True) if not y], True)
         order = np.lexsort((doc, k2, k1))
         k1, k2, doc, start, length = k1[order], k2[order], doc[order], start[order], length[order]
         gram = np.concatenate([[True], k1[1:] != k1[:-1]])
         head = gram | np.concatenate([[True], k2[1:] != k2[:-1]])
         lowest = doc[np.nonzero(head)[0]][np.cumsum(head) - 1]
         over = doc != lowest
-        out = [_reply(doc[over], start[over], length[over], False)]
+        out.append(_reply(doc[over], start[over], length[over], False))
         if blocks:
             at = np.nonzero(gram)[0]
             several = np.add.reduceat(head.astype(np.int64), at) > 1
@@ -169,17 +173,14 @@ def _digit_pass(entries: DataFrame, split: Callable, bits: int, name: str, block
             out.append(_reply(doc[going], start[going], length[going], True))
         return pa.Table.from_batches(out)
 
-    sent = entries.mapInArrow(send, "bucket int, blob binary, doc long, start long, length int")
-    sent = materialise(sent, f"{name}-sent")
-    met = sent.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(meet, _REPLY)
-    local = sent.where("bucket is null").select("doc", "start", "length", F.lit(False).alias("open"))
-    return materialise(met.unionByName(local), name)
+    sent = entries.mapInArrow(send, "bucket int, sure boolean, blob binary")
+    return materialise(sent.groupBy("bucket").applyInArrow(meet, _REPLY), name)
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """(doc, start, stop) byte ranges to remove; ranges may overlap. doc is the doc_id (null: the smallest long)."""
     spark = docs.sparkSession
-    bits = max(0, int(np.ceil(np.log2(2 * partitions(spark)))))
+    bits = max(0, int(np.ceil(np.log2(8 * partitions(spark)))))
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
