@@ -14,7 +14,6 @@ from .common import connected_components, each_text, materialise
 
 #: Shingle length in words, hash seed.
 SHINGLE_WORDS, SEED = 3, 42
-_NIBBLES = 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -46,9 +45,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def popcounts(fp: str) -> str:
-    """SQL for the segment embedding of a fingerprint: the number of set bits of each of its 16 segments of 4 bits,
-    itself packed in 4 bits. Two fingerprints differ in at least as many bits as the Manhattan distance of these."""
-    return "(" + " + ".join(f"(shiftrightunsigned({fp}, {k}) & 1229782938247303441L)" for k in range(4)) + ")"
+    """SQL for the segment embedding of a fingerprint: the number of set bits of each of its 32 segments of 2 bits,
+    itself packed in 2 bits. Two fingerprints differ in at least as many bits as the Manhattan distance of these.
+    Wider segments would need fewer cells, but unrelated fingerprints would meet more often."""
+    one, other = f"({fp} & 6148914691236517205L)", f"(shiftrightunsigned({fp}, 1) & 6148914691236517205L)"
+    return f"(({one} ^ {other}) | shiftleft({one} & {other}, 1))"
+
+
+def _steps(p: str) -> str:
+    """SQL: the cells at Manhattan distance 1 of a packed point. In a field, 0 and 1 differ by binary 01, 1 and 2 by 11."""
+    field = f"(shiftrightunsigned({p}, s - s % 2) & 3)"
+    return f"""filter(transform(sequence(0, 63), s -> case
+        when s % 2 = 0 and {field} < 2 then {p} ^ shiftleft(1L, s)
+        when s % 2 = 1 and {field} > 0 then {p} ^ shiftleft(3L, s - 1) end), c -> c is not null)"""
 
 
 def _flips(column: str) -> str:
@@ -61,17 +70,14 @@ def near_edges(distinct: DataFrame) -> DataFrame:
     fewer differing bits.
 
     Range join: two points of the popcount grid at Manhattan distance 2 or less have a grid cell at distance 1 or
-    less from both, so every fingerprint enters its own cell and the at most 32 next to it, and only fingerprints
+    less from both, so every fingerprint enters its own cell and the at most 64 next to it, and only fingerprints
     that share a cell with another go on. Exact check: those are within 2 bits just if some 64-bit value is within
     one bit of both; all that meet at such a value are within 2 bits of one another, so each is linked to the
     smallest of them and no pairs are listed. Both groupings combine before the shuffle, so that one crowded cell
     or value is no heavy task.
     """
     grid = distinct.select("fp", F.expr(popcounts("fp")).alias("p"))
-    steps = f"""filter(transform(sequence(0, {2 * _NIBBLES - 1}), s -> case
-        when s % 2 = 0 and (shiftrightunsigned(p, 2 * s) & 15) < 4 then p + shiftleft(1L, 2 * s)
-        when s % 2 = 1 and (shiftrightunsigned(p, 2 * (s - 1)) & 15) > 0 then p - shiftleft(1L, 2 * (s - 1)) end), c -> c is not null)"""
-    cells = grid.select("fp", F.explode(F.expr(f"concat(array(p), {steps})")).alias("cell"))
+    cells = grid.select("fp", F.explode(F.expr(f"concat(array(p), {_steps('p')})")).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
     candidates = materialise(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "simhash-candidates")
     middles = candidates.select("fp", F.explode(F.expr(_flips("fp"))).alias("middle"))
