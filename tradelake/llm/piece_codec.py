@@ -16,7 +16,6 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SPACE = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
@@ -26,22 +25,31 @@ NO_EDGE = 2**30
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text (small non-negative integers) in the order of their suffixes, told apart to depth symbols."""
+    """Positions of text (small non-negative integers) in the order of their suffixes, told apart to depth symbols.
+
+    Prefix doubling; the first key holds as many symbols as fit."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order, h = np.argsort(rank, kind="stable"), 1
-    while h < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] if h < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+    symbols, code = np.unique(text, return_inverse=True)
+    width = max(1, int(len(symbols)).bit_length())
+    h = max(1, min(depth, 62 // width))
+    padded = np.concatenate([code.astype(np.int64) + 1, np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key = key << width | padded[k : k + n]
+    while True:
+        order = np.argsort(key)
+        if h >= depth:
+            return order
+        sorted_key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]))
-        h *= 2
+        rank[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
         if rank[order[-1]] == n:
-            break
-    return order
+            return order
+        second = np.zeros(n, np.int64)
+        if h < n:
+            second[: n - h] = rank[h:]
+        key = rank * (n + 1) + second
+        h *= 2
 
 
 class PieceModel:
@@ -54,6 +62,7 @@ class PieceModel:
         self.special = {i for i in ids if sp.is_control(i) or sp.is_unknown(i)}
         self.bytes = {i: int(self.pieces[i][3:5], 16) for i in ids if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
+        self.ascii_id = np.array([self.byte_id[b] for b in range(128)], np.int32)
         normal = [i for i in ids if i not in self.special and i not in self.bytes]
         score = {i: sp.get_score(i) for i in normal}
         if any("\0" in self.pieces[i] for i in normal):
@@ -74,10 +83,12 @@ class PieceModel:
         self.split = regex.compile(f"(?s){SPACE}(.*)" if inner else f"{SPACE}({SPACE}*[^{SPACE}]+|{SPACE}*)")
         self.whole = inner
         self.words: dict[str, bytes] = {}
-        self.text = [p.replace(SPACE, " ") for p in self.pieces]
+        #: What an id stands for; bytes beyond ASCII only mean something together.
+        self.text = [chr(self.bytes[i]) if i in self.bytes else "" if i in self.special else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.high = np.array([self.bytes.get(i, 0) > 127 for i in ids])
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All piece occurrences in the words: start (by joined position, in order), length, rank, piece id."""
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """The joined words, and all piece occurrences in them: start (by joined position, in order), length, rank, piece id."""
         text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), "<u4").astype(np.int64) + 1
         start = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
         text[np.array([s + len(w) for s, w in zip(start.tolist(), words, strict=True)])] = 0
@@ -96,9 +107,9 @@ class PieceModel:
         n = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(n)), n)
         at = suffixes[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         which, at = which[order], at[order]
-        return at, self.lengths[which], self.rank[which], self.order[which]
+        return text, at, self.lengths[which], self.rank[which], self.order[which]
 
     def relax(self, word: str, edges: dict[tuple[int, int], tuple[int, int]]) -> bytes:
         """The ids of a word: adjacent symbols merge over the edge of the best rank, leftmost first."""
@@ -132,11 +143,11 @@ class PieceModel:
         if not bare:
             return out
         words = [SPACE + w for w in bare]
-        at, length, rank, piece = self.edges(words)
+        text, at, length, rank, piece = self.edges(words)
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         size = np.diff(starts) - 1
         short = np.nonzero(size <= LOCKSTEP_CHARS)[0]
-        done = self.relax_together(starts[:-1][short], size[short], int(starts[-1]), at, length, rank, piece)
+        done = self.relax_together(text, starts[:-1][short], size[short], at, length, rank, piece)
         for k, ids in zip(short.tolist(), done, strict=True):
             if ids is not None:
                 out[bare[k]] = ids
@@ -148,14 +159,14 @@ class PieceModel:
             out[bare[k]] = self.relax(words[k], {(i, n): (r, p) for i, n, r, p in near})
         return out
 
-    def relax_together(self, starts, size, total, at, length, rank, piece) -> list[bytes | None]:
+    def relax_together(self, text, starts, size, at, length, rank, piece) -> list[bytes | None]:
         """relax() for many words in lockstep: each round merges the best edge of every word that still has one.
-        None for a word that needs byte pieces."""
+        None for a word that needs byte pieces of a character of several bytes."""
         if not len(starts):
             return []
-        best = np.full((total + 1, self.width + 1), NO_EDGE, np.int32)
+        best = np.full((len(text), self.width + 1), NO_EDGE, np.int32)
         best[at, length] = rank
-        name = np.full((total + 1, self.width + 1), -1, np.int32)
+        name = np.full((len(text), self.width + 1), -1, np.int32)
         name[at, length] = piece
         word = np.repeat(np.arange(len(starts)), size)
         begin = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
@@ -179,7 +190,10 @@ class PieceModel:
             word, begin, end = word[stays], begin[stays], end[stays]
         word, begin, ids = (np.concatenate(x) for x in zip(*ended, strict=True))
         order = np.argsort(begin, kind="stable")
-        word, ids = word[order], ids[order]
+        word, begin, ids = word[order], begin[order], ids[order]
+        alone = np.nonzero(ids < 0)[0]  # characters without a piece
+        ascii_ = alone[text[begin[alone]] <= 128]  # text holds code points plus one
+        ids[ascii_] = self.ascii_id[text[begin[ascii_]] - 1]
         lacking = np.zeros(len(starts), bool)
         lacking[word[ids < 0]] = True
         raw, cut = ids.astype("<i4").tobytes(), (4 * np.searchsorted(word, np.arange(len(starts) + 1))).tolist()
@@ -196,51 +210,40 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
         split = [self.words_of(t) for t in texts]
-        fresh, size, now = [], 0, {}
-        known = self.words
-        for w in dict.fromkeys(w for ws in split for w in ws if w not in known):
+        known, fresh, size, now = self.words, [], 0, {}
+        for w in {w for ws in split for w in ws}.difference(known):
             fresh.append(w)
-            size += len(w) + 1
+            size += len(w) + 2
             if size >= INDEX_CHARS:
                 now |= self.learn(fresh)
                 fresh, size = [], 0
         now |= self.learn(fresh)
-        if len(known) + len(now) > CACHE_ENTRIES:
-            now |= {w: known[w] for ws in split for w in ws if w in known}
+        known.update(now)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(known) > CACHE_ENTRIES:
             known.clear()
-        get = {**known, **now} if len(now) > 1000 else None
-        if get is None:
-            known.update(now)
-            get = known
-        out = [b"".join(map(get.__getitem__, ws)) for ws in split]
-        for w, b in now.items():
-            if len(w) <= CACHE_CHARS:
-                known[w] = b
-            else:
-                known.pop(w, None)
+        else:
+            for w in now:
+                if len(w) > CACHE_CHARS:
+                    del known[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: pieces joined, runs of byte pieces as UTF-8, without the leading space that encoding adds."""
-        if not ids:
-            return ""
-        text, held, out = self.text, self.bytes, []
-        if held.keys().isdisjoint(ids):
-            joined = "".join([text[i] for i in ids if i not in self.special]) if not self.special.isdisjoint(ids) else "".join([text[i] for i in ids])
-        else:
-            run = bytearray()
-            for i in ids:
-                if i in held:
-                    run.append(held[i])
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                if i not in self.special:
-                    out.append(text[i])
-            out.append(run.decode("utf-8", "replace"))
-            joined = "".join(out)
-        return joined.removeprefix(" ")
+        ids = np.asarray(ids, np.int64)
+        if not self.high[ids].any():
+            return "".join(map(self.text.__getitem__, ids.tolist())).removeprefix(" ")
+        out, run = [], bytearray()
+        for i in ids.tolist():
+            if i in self.bytes:
+                run.append(self.bytes[i])
+                continue
+            if run:
+                out.append(run.decode("utf-8", "replace"))
+                run.clear()
+            out.append(self.text[i])
+        out.append(run.decode("utf-8", "replace"))
+        return "".join(out).removeprefix(" ")
 
 
 _models: dict[str, PieceModel] = {}
@@ -253,11 +256,13 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, column: str = "text", verify: bool = False) -> DataFrame:
     """docs with an added column piece_ids (array<int>): the library's encoding, without begin or end marks.
 
-    A null text gives null, an empty one no ids. Repeated rows are encoded alike. A column of docs that is named
-    piece_ids is replaced. Rows are independent: no shuffle. model_path is read on every node.
+    A null text gives null, an empty one no ids. Repeated rows are encoded alike. Columns of docs with the added
+    names are replaced. Rows are independent: no shuffle. model_path is read on every node. With verify there are
+    also n_pieces (0 for null) and decodes_back: whether decoding the ids gives the text again (the model keeps no
+    difference between a space and its space mark, so both count as a space).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,11 +272,17 @@ def encode_pieces(docs: DataFrame, model_path: str, column: str = "text") -> Dat
                 texts = part.column(column).to_pylist()
                 raw = m.encode(texts)
                 ends = np.cumsum([0] + [len(r) // 4 for r in raw])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "piece_ids"])
+                flat = np.frombuffer(b"".join(raw), np.int32)
+                added = {"piece_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))}
+                if verify:
+                    same = [m.decode(flat[a:b]) == (t or "").replace(SPACE, " ") for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts, strict=True)]
+                    added |= {"n_pieces": pa.array(np.diff(ends), pa.int64()), "decodes_back": pa.array(same, pa.bool_())}
+                yield pa.RecordBatch.from_arrays([*part.columns, *added.values()], [*part.schema.names, *added])
 
-    rows = docs.drop("piece_ids")
-    return rows.mapInArrow(run, f"{_ddl(rows)}, piece_ids array<int>")
+    names = ["piece_ids", "n_pieces", "decodes_back"] if verify else ["piece_ids"]
+    rows = docs.drop(*names)
+    kinds = ["array<int>", "long", "boolean"]
+    return rows.mapInArrow(run, ", ".join([_ddl(rows), *[f"{n} {k}" for n, k in zip(names, kinds, strict=False)]]))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -283,21 +294,13 @@ def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids"
             lists = batch.column(column)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0] + [len(x) if x.is_valid else 0 for x in lists])
             valid = lists.is_valid().to_pylist()
-            texts = [m.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
+            texts = [m.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     rows = encoded.drop(into)
     return rows.mapInArrow(run, f"{_ddl(rows)}, {into} string")
 
 
-def round_trip(encoded: DataFrame, model_path: str) -> DataFrame:
-    """encoded with n_pieces and decodes_back: whether decoding gives the text again (the model keeps no difference
-    between a space and its space mark, so both count as a space)."""
-    back = decode_pieces(encoded, model_path, into="__decoded")
-    same = F.col("__decoded").eqNullSafe(F.translate("text", SPACE, " "))
-    return back.withColumns({"n_pieces": F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"), "decodes_back": same}).drop("__decoded")
-
-
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

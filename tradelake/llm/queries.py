@@ -34,8 +34,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, their number, and whether decoding gives the text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = piece_codec.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return piece_codec.round_trip(encoded, path).select("doc_id", "n_pieces", "decodes_back", "piece_ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.encode_pieces(docs, path, verify=True).select("doc_id", "n_pieces", "decodes_back", "piece_ids")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
