@@ -101,7 +101,7 @@ def dim_fta(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same in SQL; each name may use those before it.
 SQL = {
-    "trade": """select year(l_shipdate)::int as year, month(l_shipdate)::int as month, ((month(l_shipdate) - 1) // 3 + 1)::int quarter, strftime(l_shipdate, '%Y%m') period,
+    "trade": """select year(l_shipdate)::int as year, month(l_shipdate)::int as month, ((month(l_shipdate) - 1) // 3 + 1)::int as quarter, strftime(l_shipdate, '%Y%m') period,
         lpad(p_size::varchar, 2, '0') || lpad((p_partkey % 10000)::varchar, 4, '0') hs_code, p_name product_name, p_brand heading_name,
         'C' || lpad(n_nationkey::varchar, 2, '0') partner_code, n_name partner_name, r_name region, r_name continent,
         l_linestatus = 'O' flow_type, l_extendedprice::decimal(18,2) as value, l_quantity::decimal(18,2) quantity, 'ton' unit,

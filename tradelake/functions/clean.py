@@ -65,7 +65,7 @@ def normalize_label(c: Col, labels: Mapping[str, str]) -> Column:
 
 def parse_members(c: Col) -> Column:
     """Names of a `;` list: trimmed, without blanks, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(_c(c), ";"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(_c(c), ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def quarter_of(month: Col) -> Column:

@@ -182,19 +182,19 @@ def denormalize(s, d):
     return rows.groupBy("exporter_name", "importer_name").agg(F.count("*").alias("n"), F.count("product_label").alias("labelled"), F.sum("value_k").cast("double").alias("value_k"))
 
 
-TARGET = "upper(trim(product_code)) <> 'TOTAL' and (exporter_name ilike 'VIETNAM' or importer_name ilike 'VIETNAM') and coalesce(value_k, 0) * 1000 > 20000"
+TARGET = "upper(trim(product_code)) <> 'TOTAL' and (exporter_name ilike 'NATION_7' or importer_name ilike 'NATION_7') and coalesce(value_k, 0) * 1000 > 20000"
 
 
 @query(f"with {BILATERAL} select id, product_code, exporter_name, importer_name, value_k::double value_k from bil where {TARGET}")
 def filter_target(s, d):
-    rows = rules.filter_target_trade(R.denormalize_bilateral(*bilateral(s, d)), "vietnam", 20000)
+    rows = rules.filter_target_trade(R.denormalize_bilateral(*bilateral(s, d)), "nation_7", 20000)
     return rows.select("id", "product_code", "exporter_name", "importer_name", *dbl("value_k"))
 
 
 @query(f"with {BILATERAL} select count(*) filter ({TARGET}) kept, count(*) filter (not coalesce({TARGET}, false)) dropped from bil")
 def kept_dropped(s, d):
     total = F.upper(F.trim("product_code")) == "TOTAL"
-    keep = ~total & (F.col("exporter_name").ilike("vietnam") | F.col("importer_name").ilike("vietnam")) & (F.col("value_k") * 1000 > 20000)
+    keep = ~total & (F.col("exporter_name").ilike("nation_7") | F.col("importer_name").ilike("nation_7")) & (F.col("value_k") * 1000 > 20000)
     return rules.kept_dropped_counts(R.denormalize_bilateral(*bilateral(s, d)), keep)
 
 
@@ -453,9 +453,6 @@ def _rollup(levels, by):
     return f"select {e}, ({len(levels)} - " + " - ".join(f"grouping({x})" for x in levels) + f")::int as level, sum(value)::double as value, sum(value_vnd)::double value_vnd, count(*) trades from {by} group by rollup ({e})"
 
 
-CUBE_MEASURES = {"value": cube.money("value"), "value_vnd": cube.money("value_vnd"), "trades": F.count("*")} if SparkSession.getActiveSession() else None
-
-
 def measures():
     return {"value": cube.money("value"), "value_vnd": cube.money("value_vnd"), "trades": F.count("*")}
 
@@ -485,7 +482,7 @@ def cube_flow_source(s, d):
 def unpivot_months(s, d):
     t = B.trade(s, d).where("year = 1997").withColumn("label", F.concat(F.lit("Exported value in 1997-M"), F.lpad(F.col("month").cast("string"), 2, "0")))
     wide = t.groupBy(F.col("partner_code").alias("exporter_name")).pivot("label", [f"Exported value in 1997-M{m:02d}" for m in range(1, 13)]).agg(F.sum("value").cast("double"))
-    return files.unpivot_months(wide.withColumn("exporter_name", F.col("exporter_name")), ["exporter_name"]).withColumn("year", F.lit(1997) + 0 * F.col("year")) if False else _unpivot(wide)
+    return _unpivot(wide)
 
 
 def _unpivot(wide):
@@ -533,7 +530,7 @@ def latest_row(s, d):
 def batches(s, d):
     """(target, source): the grain of the two batches, without the rows that only differ in batch."""
     t = B.trade(s, d).select(*TRADE_KEY, "value", "quantity", "unit", "batch_id", "seq")
-    one = R.rollup_to_grain(t.where("batch_id = 'B1' or l_orderkey_mod = 1") if False else t.where("batch_id = 'B1'"), TRADE_KEY, ["value", "quantity"], "seq")
+    one = R.rollup_to_grain(t.where("batch_id = 'B1'"), TRADE_KEY, ["value", "quantity"], "seq")
     two = R.rollup_to_grain(t.where("batch_id = 'B2' or month = 3"), TRADE_KEY, ["value", "quantity"], "seq").withColumn("unit", F.when(F.col("month") == 4, None).otherwise(F.lit("kg")))
     return one, two
 
@@ -617,7 +614,7 @@ def resolve_country(s, d):
     return out.groupBy(F.upper(F.trim("partner_code")).alias("partner_code"), "partner_name", "region").agg(F.count("*").alias("n"))
 
 
-NAMES = """ref as (select iso3, name, region, continent from iso), al as (select * from (values ('NUOC ANH', 'united kingdom')) a(alias, name)),
+NAMES = """ref as (select iso3, name, region, continent from iso), al as (select * from (values ('NUOC ANH', 'nation_7')) a(alias, name)),
     asked as (select distinct name, upper(name) k from (select n_name as name from nation union all select 'nuoc anh' union all select left(n_name, length(n_name) - 1) || 'X' from nation)),
     x as (select asked.*, case when a.alias is not null then ra.iso3 end ai, case when a.alias is not null then ra.name end an, re.iso3 ei, re.name en from asked left join al a on a.alias = k left join ref ra on upper(ra.name) = upper(a.name) left join ref re on upper(re.name) = k),
     fz as (select k, iso3 fi, name fn from (select x.k, r.iso3, r.name, upper(r.name) rk, round((1 - levenshtein(x.k, upper(r.name)) / greatest(length(x.k), length(r.name))::double) * 100, 6) score from x join ref r on left(x.k, 1) = left(upper(r.name), 1)
@@ -629,7 +626,7 @@ def resolve_country_name(s, d):
     n = B.table(s, d, "nation").select(F.col("n_name").alias("name"))
     worse = n.select(F.concat(F.expr("left(name, length(name) - 1)"), F.lit("X")).alias("name"))
     names = n.union(worse).union(s.sql("select 'nuoc anh' as name"))
-    return match.resolve_country_by_name(names, B.iso_reference(s, d), s.sql("select 'NUOC ANH' as alias, 'united kingdom' as name"))
+    return match.resolve_country_by_name(names, B.iso_reference(s, d), s.sql("select 'NUOC ANH' as alias, 'nation_7' as name"))
 
 
 RULES = [("widget", "870390"), ("gear", "120190"), ("red", "030399"), ("blue", "940383"), ("large", "270900"), ("a", "691200")]
@@ -679,10 +676,10 @@ def agreements_to_ods(s, d):
     return out.select("aptiad_no", F.col("short_title").alias("fta_name"), F.array_join("members", "|").alias("members"), "status", "provision_sps", "year_signed")
 
 
-@query("select fta_id, country_code from members where country_code <> 'C24'", "members")
+@query("select distinct fta_id, case when country_code = 'C24' then 'C14' else country_code end country_code from members", "members")
 def explode_members(s, d):
     m = B.members(s, d).join(B.countries(s, d), "country_code").groupBy("fta_id").agg(F.collect_list(F.concat(F.lit(" "), "country_name")).alias("members"))
-    return agreements.explode_members(m, B.iso_reference(s, d), s.sql("select 'NUOC ANH' as alias, 'united kingdom' as name"))[0]
+    return agreements.explode_members(m, B.iso_reference(s, d), s.sql("select 'NUOC ANH' as alias, 'nation_7' as name"))[0]
 
 
 @query("select trade_key, fta_key from bridge", "bridge")
@@ -813,10 +810,10 @@ def tile_16(s, d):
     return cube.tile(t, ["time_key", "source_system"], cube.trade_cube(), ["value_vnd"])
 
 
-@query("select (year(rate_date) * 100 + month(rate_date))::int time_key, round(avg(vnd_per_usd::double), 4) avg_rate, max(vnd_per_usd)::double max_rate, min(vnd_per_usd)::double min_rate from rates group by 1", "rates")
+@query("select (year(rate_date) * 100 + month(rate_date))::int time_key, round(avg(vnd_per_usd::double), 1) avg_rate, max(vnd_per_usd)::double max_rate, min(vnd_per_usd)::double min_rate from rates group by 1", "rates")
 def tile_17(s, d):
     t = B.rates(s, d).select(C.time_key(F.year("rate_date"), F.month("rate_date")).alias("time_key"), *dbl("vnd_per_usd"))
-    return t.groupBy("time_key").agg(F.round(F.avg("vnd_per_usd"), 4).alias("avg_rate"), F.max("vnd_per_usd").alias("max_rate"), F.min("vnd_per_usd").alias("min_rate"))
+    return t.groupBy("time_key").agg(F.round(F.avg("vnd_per_usd"), 1).alias("avg_rate"), F.max("vnd_per_usd").alias("max_rate"), F.min("vnd_per_usd").alias("min_rate"))
 
 
 def naive_forecast(s, d):

@@ -63,7 +63,7 @@ def read_monthly_text_report(spark: SparkSession, path: str) -> DataFrame:
     checked = head.withColumn("year", F.when(F.col("flow_type").isNull() | F.col("year").isNull() | F.col("month_count").isNull(), F.raise_error(F.concat(F.lit("no flow, year or months in "), "source_file"))).otherwise(F.col("year")))
     rows = checked.select("source_file", "year", "flow_type", "month_count", F.posexplode("lines").alias("line_no", "line")).where("line_no > 0")
     skip = (F.trim("line") == "") | F.trim("line").startswith("Goods") | F.lower(F.trim("line")).startswith("of which") | F.col("line").contains("Quantity") | F.col("line").contains("Value")
-    fields = rows.where(~skip).withColumn("f", F.transform(F.split("line", "\t"), F.trim)).where(F.size("f") >= 3)
+    fields = rows.where(~skip).withColumn("f", F.transform(F.split("line", "\t"), lambda x: F.trim(x))).where(F.size("f") >= 3)
     labelled = fields.withColumns({"own": F.nullif(clean.collapse(F.get("f", F.lit(0))), F.lit("")), "country": F.nullif(clean.collapse(F.get("f", F.lit(1))), F.lit(""))})
     w = Window.partitionBy("source_file").orderBy("line_no")
     goods = labelled.withColumn("goods", carry_forward("own", w))
