@@ -125,7 +125,7 @@ def derive_flow(s, d):
 
 
 @query("""select country, goods, month, count(*) n, sum(quantity)::double quantity, sum(value)::double as value from (
-    select n_name country, o_orderpriority goods, m as month, case when o_orderkey % 2 = 0 then v[2 * m - 1] end quantity, (case when o_orderkey % 2 = 0 then v[2 * m] else v[m] end) * 1000 as value
+    select n_name country, o_orderpriority goods, m::int as month, case when o_orderkey % 2 = 0 then v[2 * m - 1] end quantity, (case when o_orderkey % 2 = 0 then v[2 * m] else v[m] end) * 1000 as value
     from (select *, list_transform(range(case when o_orderkey % 2 = 0 then 4 else 5 end), lambda i: (o_custkey % 100 + i)::decimal(18,2)) v from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey), range(1, 3) t(m)) group by all""")
 def expand_months(s, d):
     o = B.table(s, d, "orders").join(B.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(B.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -166,12 +166,12 @@ def bilateral(s, d):
     n = B.table(s, d, "nation")
     rows = B.table(s, d, "lineitem").join(B.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(B.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(B.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     code = F.when(F.col("l_partkey") % 50 == 0, " total ").otherwise(F.col("l_partkey").cast("string"))
-    rows = rows.select(F.col("l_orderkey").alias("id"), F.col("s_nationkey").alias("exporter_id"), F.col("c_nationkey").alias("importer_id"), code.alias("product_code"), (F.col("l_extendedprice").cast("decimal(18,2)") / 1000).cast("decimal(18,2)").alias("value_k"))
+    rows = rows.select(F.col("l_orderkey").alias("id"), F.col("s_nationkey").alias("exporter_id"), F.col("c_nationkey").alias("importer_id"), code.alias("product_code"), F.round(F.col("l_extendedprice").cast("decimal(18,2)") * F.lit(0.001).cast("decimal(4,3)"), 2).cast("decimal(18,2)").alias("value_k"))
     products = B.table(s, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("label"))
     return rows, n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), products
 
 
-BILATERAL = """bil as (select l_orderkey id, s_nationkey exporter_id, c_nationkey importer_id, case when l_partkey % 50 = 0 then ' total ' else l_partkey::varchar end product_code, round(l_extendedprice::decimal(18,2)::decimal(38,6) / 1000, 2)::decimal(18,2) value_k, e.n_name exporter_name, i.n_name importer_name, p_name product_label
+BILATERAL = """bil as (select l_orderkey id, s_nationkey exporter_id, c_nationkey importer_id, case when l_partkey % 50 = 0 then ' total ' else l_partkey::varchar end product_code, round(l_extendedprice::decimal(18,2) * 0.001::decimal(4,3), 2)::decimal(18,2) value_k, e.n_name exporter_name, i.n_name importer_name, p_name product_label
     from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey join nation e on e.n_nationkey = s_nationkey join nation i on i.n_nationkey = c_nationkey
     left join part on p_partkey % 3 = 0 and p_partkey = l_partkey and l_partkey % 50 <> 0)"""
 
@@ -833,16 +833,16 @@ FORECAST = """fb as (select time_key, product_key, partner_key, flow_type, sum(v
     vw as (select * from (select time_key, product_key, partner_key, flow_type, v actual_value from fb) full join cl using (time_key, product_key, partner_key, flow_type))"""
 
 
-@query(f"with {FORECAST} select time_key, product_key, partner_key, flow_type, round(actual_value, 2) actual_value, round(forecast_value, 2) forecast_value, round(lower_bound, 2) lower_bound, round(upper_bound, 2) upper_bound from vw", "fact")
+@query(f"with {FORECAST} select time_key, product_key, partner_key, flow_type, round(actual_value, 4) actual_value, round(forecast_value, 4) forecast_value, round(lower_bound, 4) lower_bound, round(upper_bound, 4) upper_bound from vw", "fact")
 def clean_forecast_view(s, d):
     v = forecast.clean_forecast_view(*naive_forecast(s, d))
-    return v.select("time_key", *forecast.SERIES, *[F.round(c, 2).alias(c) for c in ("actual_value", "forecast_value", "lower_bound", "upper_bound")])
+    return v.select("time_key", *forecast.SERIES, *[F.round(c, 4).alias(c) for c in ("actual_value", "forecast_value", "lower_bound", "upper_bound")])
 
 
-@query(f"with {FORECAST} select time_key, round(sum(round(actual_value, 2)::decimal(28,2))::double, 2) actual_value, round(sum(round(forecast_value, 2)::decimal(28,2))::double, 2) forecast_value from vw group by 1", "fact")
+@query(f"with {FORECAST} select time_key, sum(round(actual_value, 4)::decimal(28,4))::double actual_value, sum(round(forecast_value, 4)::decimal(28,4))::double forecast_value from vw group by 1", "fact")
 def tile_18(s, d):
     v = forecast.clean_forecast_view(*naive_forecast(s, d))
-    return v.groupBy("time_key").agg(*[F.round(F.sum(F.round(c, 2).cast("decimal(28,2)")).cast("double"), 2).alias(c) for c in ("actual_value", "forecast_value")])
+    return v.groupBy("time_key").agg(*[F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double").alias(c) for c in ("actual_value", "forecast_value")])
 
 
 @query(f"select created_hour, " + ", ".join(f"count(*) filter (source_system = '{t}') as {t}" for t in ("click", "view", "purchase")) + f" from ({MONITOR}) group by 1")
