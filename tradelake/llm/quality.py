@@ -22,23 +22,19 @@ from pyspark.sql import functions as F
 LABELLED_ROWS, POOL_ROWS = 10_000, 6_000
 #: Rounds of exchange, calibrated probability from which on a row is handed over, rows per round and class at most.
 ROUNDS, CONFIDENT, HANDED = 3, 0.97, 400
+#: Buckets that a model of a view is fitted over.
+SELECTED = 250
+#: Lengths of the word beginnings that are features beside whole words (inflected words share them).
+PREFIXES = (4, 5)
 #: Buckets of words, and of metadata values; share of labelled rows that calibrates.
 WORD_BUCKETS, META_BUCKETS, CALIBRATION = 1 << 18, 1 << 12, 4
 _BINS, _STYLES = 16, 12
 _UPPER, _LETTERS, _DIGITS, _BLANK = (bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)]), bytes(range(48, 58)), b" \t\n\r\x0b\x0c")
 _EDGE = ".,!?;:*#$%&|\"'()[]{}<>-_=+/\\`~^@"
-_known: dict[str, int] = {}
 
 
 def _bucket(word: str) -> int:
-    found = _known.get(word)
-    if found is None:
-        if len(_known) >= 300_000:
-            _known.clear()
-        found = zlib.crc32(word.encode()) % WORD_BUCKETS
-        if len(word) <= 40:
-            _known[word] = found
-    return found
+    return zlib.crc32(word.encode()) % WORD_BUCKETS
 
 
 def _bin(x: float) -> int:
@@ -46,10 +42,12 @@ def _bin(x: float) -> int:
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Sorted bucket numbers of the whole text: which words it holds, and bins of its make-up."""
+    """Sorted bucket numbers of the whole text: which words and word beginnings it holds, and bins of its make-up."""
     text = text or ""
     raw, words = text.encode(), text.lower().split()
-    found = {_bucket(w.strip(_EDGE)) for w in set(words)}
+    bare = {w.strip(_EDGE) for w in set(words)}
+    found = {_bucket(w) for w in bare}
+    found |= {_bucket(b) for b in {"^" + w[:n] for w in bare for n in PREFIXES if len(w) > n}}
     n, w = max(1, len(raw)), max(1, len(words))
     letters = n - len(raw.translate(None, _LETTERS))
     upper = n - len(raw.translate(None, _UPPER))
@@ -111,30 +109,56 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(rows: Rows, y: np.ndarray, buckets: int, steps: int = 60, penalty: float = 2e-4, rate: float = 0.4) -> Linear:
-    """Logistic regression by adaptive full-batch gradient steps."""
-    w, b = np.zeros(buckets), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    held, held_b = np.full(buckets, 1e-8), 1e-8
+def telling(rows: Rows, y: np.ndarray, buckets: int, most: int = SELECTED) -> np.ndarray:
+    """The buckets that depend most on y, by chi-squared; those of fewer than three rows do not count."""
     owner = np.repeat(np.arange(len(rows)), np.diff(rows.start))
-    for _ in range(steps):
-        error = _sigmoid(rows.sums(w) + b) - y
-        grad = np.bincount(rows.index, weights=error[owner], minlength=buckets) / len(y) + penalty * w
-        held += grad**2
-        w -= rate * grad / np.sqrt(held)
-        g = error.mean()
-        held_b += g * g
-        b -= rate * g / np.sqrt(held_b)
-    return Linear(w.astype(np.float32), b)
+    has = np.bincount(rows.index, minlength=buckets).astype(float)
+    with_y = np.bincount(rows.index, weights=y[owner], minlength=buckets)
+    n, p = len(y), y.sum()
+    gap = with_y * n - has * p
+    chi = np.where(has >= 3, gap**2 / np.maximum(has * (n - has) * p * (n - p), 1e-9), 0)
+    order = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(order[chi[order] > 0])
+
+
+def fit_linear(rows: Rows, y: np.ndarray, buckets: int) -> Linear:
+    """Ridge logistic regression over the telling buckets."""
+    chosen = telling(rows, y, buckets)
+    column = np.full(buckets, -1)
+    column[chosen] = np.arange(len(chosen))
+    owner = np.repeat(np.arange(len(rows)), np.diff(rows.start))
+    own = column[rows.index]
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    x[owner[own >= 0], own[own >= 0]] = 1
+    w = fit_dense(x, y, steps=10, penalty=1.0)
+    weights = np.zeros(buckets, np.float32)
+    weights[chosen] = w[:-1]
+    return Linear(weights, float(w[-1]))
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-2) -> np.ndarray:
-    """Newton steps of a small logistic regression; the last weight is the bias."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Newton steps of a logistic regression; the last weight is the bias. A step is halved while it makes the loss
+    larger."""
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
+    ridge = np.full(len(w), penalty)
+    ridge[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * w * w).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        h = (x * (p * (1 - p))[:, None].astype(x.dtype)).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(h.astype(float), x.T @ (p - y) + ridge * w)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-3:
+            size /= 2
+        if then > now - 1e-7 * abs(now):
+            break
+        w, now = w - size * step, then
     return w
 
 
