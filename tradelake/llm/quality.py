@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 LABELLED_ROWS, POOL_ROWS = 10_000, 6_000
 #: Rounds of exchange, calibrated probability from which on a row is handed over, rows per round and class at most.
 ROUNDS, CONFIDENT, HANDED = 3, 0.97, 400
-#: Buckets that a model of a view is fitted over.
-SELECTED = 250
+#: Buckets that a model of a view is fitted over at most, and the least chi-squared that they have (99.8 %).
+SELECTED, LEAST_CHI = 250, 10.0
 #: Lengths of the word beginnings that are features beside whole words (inflected words share them).
 PREFIXES = (4, 5)
 #: Buckets of words, and of metadata values; share of labelled rows that calibrates.
@@ -116,9 +116,9 @@ def telling(rows: Rows, y: np.ndarray, buckets: int, most: int = SELECTED) -> np
     with_y = np.bincount(rows.index, weights=y[owner], minlength=buckets)
     n, p = len(y), y.sum()
     gap = with_y * n - has * p
-    chi = np.where(has >= 3, gap**2 / np.maximum(has * (n - has) * p * (n - p), 1e-9), 0)
+    chi = np.where(has >= 3, n * gap**2 / np.maximum(has * (n - has) * p * (n - p), 1e-9), 0)
     order = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(order[chi[order] > 0])
+    return np.sort(order[chi[order] >= LEAST_CHI])
 
 
 def fit_linear(rows: Rows, y: np.ndarray, buckets: int) -> Linear:
