@@ -169,7 +169,8 @@ def test_clean_forecast_view_orders_the_band(spark):
 
 
 def test_horizon_anchor(spark):
-    c = features.horizon_calendar(spark, "2026-05-31", "2026-05-01", "2026-07-01", 1, 2)
+    anchors = spark.createDataFrame([(D(2026, 5, 31), D(2026, 5, 1))], ["as_of", "last_month"])
+    c = features.horizon_calendar(anchors, "2026-07-01", 1, 2)
     got = {(r.kind, r.i): (r.k, r.target) for r in c.collect()}
     assert got["balance", 1] == (2, D(2026, 7, 1)) and got["balance", 2] == (3, D(2026, 8, 1)) and got["fx", 1] == (1, D(2026, 6, 1))
 

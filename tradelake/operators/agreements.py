@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..sources.agreement_columns import HEADERS, PROVISIONS, RENAMED, YES_NO
 from .match import resolve_country_by_name
 
 #: Lower-cased labels and their spelling.
 STATUSES = {
     "entry into force": "Entry into Force",
-    "signed": "Signed",
-    "concluded": "Concluded",
     "under negotiation": "Under Negotiation",
     "terminated": "Terminated",
+    "signed & pending ratification": "Signed & Pending ratification",
+    "suspension": "Suspension",
 }
-SCOPES = {"bilateral": "Bilateral", "plurilateral": "Plurilateral", "regional": "Regional", "country-bloc": "Country-Bloc"}
+SCOPES = {
+    "bilateral": "Bilateral",
+    "country - bloc": "Country - Bloc",
+    "plurilateral": "Plurilateral",
+    "bloc - bloc": "Bloc - Bloc",
+}
+SOURCE = "APTIAD"
+
 
-TEXTS, YEARS = ["short_title", "full_title", "notification", "type"], ["year_signed", "year_in_force"]
+def typed(column: str) -> Column:
+    """The typed form of a stage column of agreements, under its later name."""
+    if column == "aptiad_no":
+        out = F.col(column).try_cast("int")
+    elif column == "members_raw":
+        out = clean.parse_members(column)
+    elif column in ("status", "scope"):
+        out = clean.normalize_label(column, STATUSES if column == "status" else SCOPES)
+    elif column in YES_NO:
+        out = clean.yes_no(column)
+    elif "year" in column.split("_"):
+        out = clean.four_digit_year(column)
+    else:
+        out = clean.null_if_blank(column)
+    return out.alias(RENAMED.get(column, f"provision_{column}" if column in PROVISIONS else column))
 
 
-def agreements_to_ods(df: DataFrame, flags: list[str]) -> DataFrame:
-    """Typed agreement records: blank texts are null, years need four digits, status and scope are normalised, members
-    become a list, and the provision columns flags become booleans."""
-    cols = [F.col("aptiad_no")]
-    cols += [clean.null_if_blank(c).alias(c) for c in TEXTS if c in df.columns]
-    cols += [clean.four_digit_year(c).alias(c) for c in YEARS if c in df.columns]
-    cols += [clean.normalize_label("status", STATUSES).alias("status"), clean.normalize_label("scope", SCOPES).alias("scope"), clean.parse_members("members").alias("members")]
-    return df.select(*cols, *[clean.yes_no(c).alias(c) for c in flags])
+def agreements_to_ods(df: DataFrame) -> DataFrame:
+    """Typed agreement records from stage columns (those that df has): blank texts are null, years need four digits,
+    status and scope are normalised, members become a list, yes/no columns booleans, provisions get a prefix."""
+    kept = [F.col(c) for c in ("snapshot_date", "batch_id") if c in df.columns]
+    return df.select(*[typed(c) for c in HEADERS.values() if c in df.columns], F.lit(SOURCE).alias("source_system"), *kept)
 
 
 def explode_members(fta: DataFrame, ref: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import relational as R
@@ -47,14 +47,15 @@ def naive_metrics(labelled: DataFrame, target: str, naive: str | float) -> DataF
     return labelled.where(F.col(target).isNotNull()).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.count("*").alias("n"))
 
 
-def horizon_calendar(spark, as_of: str, last_month: str, run_month: str, days: int, months: int) -> DataFrame:
-    """(kind, i, k, target): FX targets are as_of + i days; balance targets are months from the run month on, i = 1 being
-    k = max(1, months between) rows ahead."""
-    fx = spark.range(1, days + 1).select(F.lit("fx").alias("kind"), F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("k"), F.date_add(F.lit(as_of).cast("date"), F.col("id").cast("int")).alias("target"))
-    gap = F.greatest(F.lit(1), F.months_between(F.lit(run_month).cast("date"), F.lit(last_month).cast("date")).cast("int"))
-    first = F.add_months(F.lit(last_month).cast("date"), gap)
-    balance = spark.range(1, months + 1).select(F.lit("balance").alias("kind"), F.col("id").cast("int").alias("i"), (gap + F.col("id").cast("int") - 1).alias("k"), F.add_months(first, F.col("id").cast("int") - 1).alias("target"))
-    return fx.unionByName(balance)
+def horizon_calendar(anchors: DataFrame, run_month: str | Column, days: int, months: int) -> DataFrame:
+    """(anchor columns, kind, i, k, target) for each row of anchors (as_of date, last_month date): FX targets are as_of +
+    i days; balance targets are months from the run month on, i = 1 being k = max(1, months between) rows ahead."""
+    run = F.lit(run_month).cast("date") if isinstance(run_month, str) else run_month
+    gap = F.greatest(F.lit(1), F.months_between(run, F.col("last_month")).cast("int"))
+    i = F.col("i")
+    fx = anchors.select("*", F.lit("fx").alias("kind"), F.explode(F.sequence(F.lit(1), F.lit(days))).alias("i")).withColumns({"k": i, "target": F.date_add("as_of", i)})
+    balance = anchors.select("*", F.lit("balance").alias("kind"), F.explode(F.sequence(F.lit(1), F.lit(months))).alias("i"))
+    return fx.unionByName(balance.withColumns({"k": gap + i - 1, "target": F.add_months(F.col("last_month"), gap + i - 1)}))
 
 
 def persistence_fallback(predicted: DataFrame, last: str = "last_value") -> DataFrame:

@@ -666,14 +666,16 @@ def token_sort_match(s, d):
 
 
 # ---- agreements ----
-@query("""select fta_id::int aptiad_no, 'FTA ' || (fta_id % 8) fta_name, string_agg(n_name, '|' order by n_name) members, case when fta_id % 3 = 0 then 'Entry into Force' else 'Pending' end status, case when fta_id % 2 = 0 then true else false end provision_sps, case when fta_id = 4 then null else 2000 + fta_id end::int year_signed
+@query("""select fta_id::int aptiad_no, 'FTA ' || (fta_id % 8) fta_name, string_agg(n_name, '|' order by n_name) member_countries, case when fta_id % 3 = 0 then 'Entry into Force' else 'Pending' end status, 'Country - Bloc' as scope, fta_id % 2 = 0 provision_sps_tbt, fta_id % 2 = 1 has_investment, case when fta_id = 4 then null else 2000 + fta_id end::int year_signature_goods, 'APTIAD' source_system
     from members join nation on country_code = 'C' || lpad(n_nationkey::varchar, 2, '0') group by fta_id""", "members")
 def agreements_to_ods(s, d):
     i = F.col("fta_id")
     m = B.members(s, d).join(B.countries(s, d), "country_code").groupBy("fta_id").agg(F.array_join(F.sort_array(F.collect_list("country_name")), " ; ").alias("members"))
-    raw = m.select(i.alias("aptiad_no"), F.concat(F.lit("FTA "), (i % 8).cast("string")).alias("short_title"), F.concat("members", F.lit(" ;; ")).alias("members"), F.when(i % 3 == 0, "entry  INTO force").otherwise(" Pending ").alias("status"), F.lit("bilateral").alias("scope"), F.when(i % 2 == 0, "Yes").otherwise(" no ").alias("provision_sps"), F.when(i == 4, "2004?").otherwise((i + 2000).cast("string")).alias("year_signed"))
-    out = agreements.agreements_to_ods(raw, ["provision_sps"])
-    return out.select("aptiad_no", F.col("short_title").alias("fta_name"), F.array_join("members", "|").alias("members"), "status", "provision_sps", "year_signed")
+    raw = m.select(
+        i.cast("string").alias("aptiad_no"), F.concat(F.lit(" FTA "), (i % 8).cast("string")).alias("title"), F.concat("members", F.lit(" ;; ")).alias("members_raw"), F.when(i % 3 == 0, "entry  INTO force").otherwise(" Pending ").alias("status"), F.lit("COUNTRY -  bloc").alias("scope"),
+        F.when(i % 2 == 0, "Yes").otherwise(" no ").alias("sps_tbt"), F.when(i % 2 == 1, "YES").otherwise("No").alias("investment"), F.when(i == 4, "2004?").otherwise((i + 2000).cast("string")).alias("year_signature_goods"),
+    )
+    return agreements.agreements_to_ods(raw).withColumn("member_countries", F.array_join("member_countries", "|"))
 
 
 @query("select distinct fta_id, case when country_code = 'C24' then 'C14' else country_code end country_code from members", "members")
@@ -933,11 +935,11 @@ def persistence(s, d):
     return features.persistence_fallback(rows).select("partner_code", "horizon", "prediction")
 
 
-@query("""select 'fx' kind, i::int i, i::int k, (date '2001-08-01' + i::int)::date target, a.n from range(1, 31) t(i), a union all
-    select 'balance', i::int, (2 + i - 1)::int, (date '2001-10-01' + to_months((i - 1)::int))::date, a.n from range(1, 13) t(i), a""".join(["with a as (select count(*) n from rates) ", ""]), "rates")
+@query("""with a as (select max(rate_date) as_of, date_trunc('month', max(rate_date))::date m from rates) select 'fx' kind, i::int i, i::int k, (as_of + i::int)::date target from a, range(1, 31) t(i) union all
+    select 'balance', i::int, (2 + i - 1)::int, (m + to_months((2 + i - 1)::int))::date from a, range(1, 13) t(i)""", "rates")
 def horizon_calendar(s, d):
-    c = features.horizon_calendar(s, "2001-08-01", "2001-08-01", "2001-10-01", 30, 12)
-    return c.join(B.rates(s, d).agg(F.count("*").alias("n"))).select("kind", "i", "k", "target", "n")
+    last = B.rates(s, d).agg(F.max("rate_date").alias("as_of")).withColumn("last_month", F.trunc("as_of", "month"))
+    return features.horizon_calendar(last, F.add_months("last_month", 2), 30, 12).select("kind", "i", "k", "target")
 
 
 SERIES_SQL = """se as (select p.chapter, f.partner_key, flow_type, time_key, sum(value_vnd)::double y, any_value(x.k) product_key from fact f join dim_product p using (product_key) join (select chapter, min(product_key) k from dim_product where is_current group by 1) x on x.chapter = p.chapter group by 1, 2, 3, 4)"""
@@ -987,6 +989,16 @@ def train_horizons(s, d):
     return fx_predictions(s, d).select("base_currency", "as_of", "horizon", "prediction", "n_labelled", "high_risk")
 
 
+@query()
+def train_balance_horizons(s, d):
+    """Balances of all partners as one panel, months ahead 1 and 12."""
+    b = balances(s, d).withColumn("time_key", C.time_key("year", "month"))
+    features.require_history(b, features.MIN_MONTHS)
+    pred = features.train_horizons(b, features.BALANCE_FEATURES, "balance", ["partner_code"], "time_key", [1, 12], trees=20, depth=3)
+    low = R.tail_threshold(b, "balance", upper=False)
+    return features.risk_flags(pred, low, False).select("partner_code", "as_of", "horizon", "prediction", "n_labelled", "high_risk")
+
+
 @query()
 def risk_report_data(s, d):
     return features.risk_report_data(fx_predictions(s, d), ["base_currency"])
