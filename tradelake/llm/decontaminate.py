@@ -118,7 +118,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
 
     Texts and items are lower-cased and blanks are run together. Null and empty texts have no hits; items that are
     null or shorter than 20 characters are left out; items of one text all hit; repeated rows hit each. The items
-    are sent to the executors in blocks of bounded size, by running total of their length, and each block is a scan
+    are dealt by hash into blocks of about BLOCK_CHARS characters, and each block is sent to the executors and is a scan
     of its own over docs: nothing is shuffled, and no document is paired with an item without a common piece.
     """
     spark = docs.sparkSession
@@ -129,7 +129,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
     texts = docs.where("text is not null").select("doc_id", normalised("text").alias("text"))
     out = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([(r.item_id, r.item) for r in own.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

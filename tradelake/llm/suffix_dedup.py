@@ -180,7 +180,7 @@ def _digit_pass(entries: DataFrame, split: Callable, bits: int, name: str, block
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """(doc, start, stop) byte ranges to remove; ranges may overlap. doc is the doc_id (null: the smallest long)."""
     spark = docs.sparkSession
-    bits = max(0, int(np.ceil(np.log2(8 * partitions(spark)))))
+    bits = max(0, int(np.ceil(np.log2(2 * partitions(spark)))))
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -208,7 +208,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    first = _digit_pass(rows, anchors, bits, "suffix-blocks", True)
+    first = _digit_pass(rows, anchors, bits + 1, "suffix-blocks", True)
     release(spark)
     going = first.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("blocks"))
 
