@@ -22,7 +22,7 @@ from .common import utf8_slices
 
 #: Longest context in bytes, least share of a language's bytes that a kept context has (so that a language keeps at
 #: most ORDER / MIN_SHARE contexts, whatever the corpus), languages that share a tree, bytes worked on at once.
-ORDER, MIN_SHARE, BLOCK_LANGUAGES, PIECE = 4, 1e-4, 8, 1 << 20
+ORDER, MIN_SHARE, BLOCK_LANGUAGES, PIECE = 4, 1e-4, 4, 1 << 20
 
 
 @dataclass
