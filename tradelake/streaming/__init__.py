@@ -1,0 +1 @@
+"""Streaming: none. The data model has only batches; late rows are found against stored watermarks (operators.late)."""
