@@ -28,7 +28,7 @@ from .common import NULL_ID, materialise, partitions, release, utf8_slices
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text that are anchored at once, and the most windows that are hashed before they are sent.
-PIECE, ENTRIES = 2 << 20, 300_000
+PIECE, ENTRIES = 1 << 20, 200_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _REPLY = "doc long, start long, length int, open boolean"
 
@@ -221,11 +221,11 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             data, ends = utf8_slices(batch.column(1))
-            raw = data.tobytes()
-            for doc, a, b, blocks in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), batch.column(2).to_pylist(), strict=True):
+            for doc, a, b, blocks in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), (x.as_py() for x in batch.column(2)), strict=True):
+                raw = data[a:b].tobytes()
                 for block in blocks:
                     for s in range(block["start"], min(block["start"] + block["length"], b - a) - WINDOW + 1):
-                        keys.append(xxhash.xxh3_128_digest(raw[a + s : a + s + WINDOW]))
+                        keys.append(xxhash.xxh3_128_digest(raw[s : s + WINDOW]))
                         docs_.append(doc)
                         starts.append(s)
                 if len(keys) >= ENTRIES:
@@ -246,9 +246,9 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8_slices(batch.column(1))
-            raw, out = data.tobytes(), []
+            out = []
             for a, b, cuts in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(2), strict=True):
-                text = raw[a:b]
+                text = data[a:b].tobytes()
                 spans = merged_spans(cuts.values, b - a) if cuts.is_valid else []
                 kept, at = hashlib.sha256(), 0
                 for s, e in spans:
