@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trade(spark: SparkSession, d: str) -> DataFrame:
     """Trade rows from line items, with seq, a total order."""
     li, orders, part = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "part")
-    place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = li.join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(place.select("s_suppkey", "n_nationkey", "n_name", "r_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    # one table after the other: each is broadcast while it is small, and the line items are not shuffled for it
+    rows = li.join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     month = F.month("l_shipdate")
     return rows.select(
