@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +102,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that have a near duplicate with a smaller doc_id in their component; same columns."""
-    groups = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).where("component_id is not null")
+def keep_one(docs: DataFrame, linked: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without those that have a near duplicate with a smaller doc_id in their component (of linked); same columns."""
+    groups = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).where("component_id is not null")
     dropped = groups.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("__id")).distinct()
     return docs.join(dropped, F.coalesce(docs["doc_id"], F.lit(-(2**63)).cast("long")) == F.col("__id"), "left_anti")
