@@ -980,7 +980,7 @@ def forecast_groups(s, d):
 def fx_predictions(s, d):
     f = features.fx_features(daily(s, d), ["base_currency"])
     features.require_history(f, features.MIN_DAYS)
-    pred = features.train_horizons(f, features.FX_FEATURES, "change_pct", ["base_currency"], "rate_date", [1, 30], trees=20)
+    pred = features.train_horizons(f, features.FX_FEATURES, "change_pct", ["base_currency"], "rate_date", list(range(1, 31)))
     return features.risk_flags(pred, R.tail_threshold(f, "change_pct"), True)
 
 
@@ -991,10 +991,10 @@ def train_horizons(s, d):
 
 @query()
 def train_balance_horizons(s, d):
-    """Balances of all partners as one panel, months ahead 1 and 12."""
+    """Balances of all partners as one panel, months ahead 1 to 12."""
     b = balances(s, d).withColumn("time_key", C.time_key("year", "month"))
     features.require_history(b, features.MIN_MONTHS)
-    pred = features.train_horizons(b, features.BALANCE_FEATURES, "balance", ["partner_code"], "time_key", [1, 12], trees=20, depth=3)
+    pred = features.train_horizons(b, features.BALANCE_FEATURES, "balance", ["partner_code"], "time_key", list(range(1, 13)), depth=3)
     low = R.tail_threshold(b, "balance", upper=False)
     return features.risk_flags(pred, low, False).select("partner_code", "as_of", "horizon", "prediction", "n_labelled", "high_risk")
 
