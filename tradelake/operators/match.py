@@ -21,6 +21,11 @@ def similarity(a: str, b: str) -> Column:
     return F.round((1 - F.levenshtein(F.col(a), F.col(b)) / F.nullif(longer, F.lit(0.0))) * 100, 6)
 
 
+def close_lengths(a: str, b: str, floor: float) -> Column:
+    """False only where the lengths alone keep similarity below floor."""
+    return (F.length(a) * 100.0 >= F.length(b) * (floor - 1e-6)) & (F.length(b) * 100.0 >= F.length(a) * (floor - 1e-6))
+
+
 def resolve_country_by_code(df: DataFrame, ref: DataFrame, column: str = "partner_code") -> DataFrame:
     """Name, region and continent of the code; null for an unknown one, whatever the row held."""
     names = ["partner_name", "region", "continent"]
@@ -31,14 +36,14 @@ def resolve_country_by_code(df: DataFrame, ref: DataFrame, column: str = "partne
 def resolve_country_by_name(names: DataFrame, ref: DataFrame, aliases: DataFrame, floor: float = 70.0) -> DataFrame:
     """(name, iso3, resolved_name, how) for each distinct name: alias, exact, else the most similar above floor.
 
-    Distinct names only; the fuzzy step compares names whose first letter and length (within a factor of 0.7, below
-    which no score can pass the floor) agree, instead of all with all."""
+    Distinct names only; the fuzzy step compares all pairs but those whose lengths differ so much that no score can pass
+    the floor."""
     asked = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().withColumn("key", F.upper("name"))
     exact = ref.select(F.upper("name").alias("key"), F.col("iso3").alias("e_iso"), F.col("name").alias("e_name"))
     alias = aliases.select(F.upper("alias").alias("key"), F.upper("name").alias("a_key")).join(exact.select(F.col("key").alias("a_key"), F.col("e_iso").alias("a_iso"), F.col("e_name").alias("a_name")), "a_key").drop("a_key")
     known = asked.join(alias, "key", "left").join(exact, "key", "left")
     left = known.where("a_iso is null and e_iso is null").select("key").distinct()
-    pairs = left.join(exact.withColumnRenamed("key", "r_key"), (F.left("key", F.lit(1)) == F.left("r_key", F.lit(1))) & (F.length("r_key") * 10 >= F.length("key") * 7) & (F.length("key") * 10 >= F.length("r_key") * 7))
+    pairs = left.join(exact.withColumnRenamed("key", "r_key"), close_lengths("key", "r_key", floor))
     best = best_match(pairs.withColumn("score", similarity("key", "r_key")).where(F.col("score") > floor), "key", "score", "r_key", floor)
     fuzzy = best.join(exact.select(F.col("key").alias("r_key"), F.col("e_iso").alias("f_iso"), F.col("e_name").alias("f_name")), "r_key").select("key", "f_iso", "f_name")
     how = F.when(F.col("a_iso").isNotNull(), "alias").when(F.col("e_iso").isNotNull(), "exact").when(F.col("f_iso").isNotNull(), "fuzzy").otherwise("unresolved")
@@ -81,13 +86,16 @@ def tfidf_best_match(queries: DataFrame, corpus: DataFrame, floor: float = 0.2)
     return best_match(pairs, "query_id", "score", "doc_id", floor)
 
 
-def token_sort_match(queries: DataFrame, corpus: DataFrame, cutoff: float = 60.0) -> DataFrame:
-    """(query_id, doc_id, score): the most similar text once words are sorted, among those with the same first word
-    in that order, at or above cutoff."""
+def token_sort_match(queries: DataFrame, corpus: DataFrame, cutoff: float = 60.0, same_first_word: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): the most similar text once words are sorted, at or above cutoff.
+
+    All pairs are compared but those whose lengths alone keep them below cutoff; same_first_word leaves out also those
+    whose first words in that order differ, however similar."""
     ordered = lambda c: F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
     q = queries.select("query_id", ordered("text").alias("w")).select("query_id", F.array_join("w", " ").alias("q_text"), F.get("w", F.lit(0)).alias("block"))
     d = corpus.select("doc_id", ordered("text").alias("w")).select("doc_id", F.array_join("w", " ").alias("d_text"), F.get("w", F.lit(0)).alias("block"))
-    return best_match(q.join(d, "block").withColumn("score", similarity("q_text", "d_text")), "query_id", "score", "doc_id", cutoff)
+    pairs = q.join(d, "block") if same_first_word else q.join(d.drop("block"), close_lengths("q_text", "d_text", cutoff))
+    return best_match(pairs.withColumn("score", similarity("q_text", "d_text")), "query_id", "score", "doc_id", cutoff)
 
 
 def infer_codes(df: DataFrame, key: str, text: str, code: str, rules: list[tuple[str, str]], corpus: DataFrame) -> DataFrame:

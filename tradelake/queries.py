@@ -662,7 +662,7 @@ def tfidf_match(s, d):
     select * from p where score >= 60 qualify row_number() over (partition by query_id order by score desc, doc_id) = 1""")
 def token_sort_match(s, d):
     n = B.table(s, d, "part").select("p_name").distinct()
-    return match.token_sort_match(n.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")), n.select(F.col("p_name").alias("doc_id"), F.replace("p_name", F.lit("e"), F.lit("")).alias("text")))
+    return match.token_sort_match(n.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")), n.select(F.col("p_name").alias("doc_id"), F.replace("p_name", F.lit("e"), F.lit("")).alias("text")), same_first_word=True)
 
 
 # ---- agreements ----
