@@ -1,28 +1,35 @@
-"""Shared helpers: the scratch folder, cut lineage, connected components, Arrow text access."""
+"""Shared helpers: the scratch folder, cut lineage, row numbers for ids, connected components, Arrow text access."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id where ids are compared; smaller than every other id.
 NULL_ID = -(2**63)
+#: A key with more than 1 / HUBS of all rows is joined by broadcast: there are less than HUBS of them. Below HUB_ROWS
+#: rows no key is a burden.
+HUBS, HUB_ROWS = 1000, 100_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its
+    own; on a cluster that would lose data, so it is an error there."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    path = path or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tradelake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,21 +40,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write df to the shared scratch folder and read it back, which cuts its lineage and survives lost executors. The
+    shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of passes whose results are materialised and no longer referenced.
-
-    The first round frees what Python held of them, the second what hung on that; the cleaner works beside us."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialise(); only for those that nothing unfinished reads."""
+    for df in tables:
+        path = _paths.pop(df, None) if df is not None else None
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,13 +102,44 @@ def each_text(column: pa.Array) -> Iterator[bytes]:
         yield raw[a:b]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_long_id(docs: DataFrame, name: str, column: str = "doc_id") -> DataFrame:
+    """docs with the added long column name, in the order of the ids: an integer id itself, else a number for each of the
+    distinct ids (sorted by range partitions and stored, so that all readers see the same). A null id is NULL_ID."""
+    if isinstance(docs.schema[column].dataType, T.IntegralType):
+        return docs.withColumn(name, F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)))
+    ids = docs.select(F.col(column).alias(fresh(docs, "id_"))).distinct().dropna()
+    own = ids.columns[0]
+    placed = ids.repartitionByRange(partitions(docs.sparkSession), own).sortWithinPartitions(own)
+    ranks = materialise(placed.withColumn(fresh(docs, "rank_"), F.monotonically_increasing_id()), "ranks")
+    joined = docs.join(ranks, F.col(column) == F.col(own), "left")
+    return joined.withColumn(name, F.coalesce(F.col(ranks.columns[1]), F.lit(NULL_ID))).drop(*ranks.columns)
+
+
+def join_by_key(rows: DataFrame, sides: DataFrame, key: str, size: Column, total: int) -> DataFrame:
+    """rows joined with sides, which has one row for each key; size says how many of the total rows a key has. The fewer
+    than HUBS keys with the most rows are broadcast, so that their rows stay where they are; the others are shuffled."""
+    heavy = size > max(total // HUBS, HUB_ROWS)
+    hubs = F.broadcast(sides.where(heavy))
+    rest = rows.join(F.broadcast(sides.where(heavy).select(key)), key, "left_anti").join(sides.where(~heavy).hint("merge"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge list of long ids; root is the smallest id of the component.
 
     Alternates large-star and small-star steps until the edge set stops changing. Each step is a minimum per
-    node (combined before the shuffle) and a join with it, so a hub does not gather its neighbours in one task,
-    and every round is written to the shared scratch folder.
+    node (combined before the shuffle) and a join with it, for which the edges of a hub stay where they are, and
+    every round is written to the shared scratch folder, and the one before it deleted.
     """
+
     def oriented(df: DataFrame) -> DataFrame:
         return df.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
 
@@ -105,10 +151,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
                 now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
             )
-        before = tuple(mark)
+        before, total = tuple(mark), 2 * mark[0]
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = materialise(oriented(small.unionByName(low.select("hi", F.col("m").alias("lo")))), "edges")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = materialise(join_by_key(both.where("v > u"), low, "u", F.col("n"), total).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges-large")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(large, low, "hi", F.col("n"), total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        last, now = now, materialise(oriented(small.unionByName(low.select("hi", F.col("m").alias("lo")))), "edges")
+        discard(last, large)
