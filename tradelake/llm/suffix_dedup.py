@@ -2,15 +2,18 @@
 
 Suffixes are ordered only through WINDOW bytes, by most-significant-digit passes, and equal groups are the repeats.
 Moving every suffix of the corpus would take many times its size, so the first pass moves a sample of them that
-loses none: in each window the smallest hash of its GRAM-byte strings (leftmost of equals) is its anchor, so equal
+loses none: in each window the string of GRAM bytes with the smallest hash (leftmost of equals) is its anchor, so equal
 windows have equal anchors, and neighbouring windows share one. The windows of one anchor form a block of text.
 
-  pass 1  digit: the anchor's gram, then its block. Blocks equal to one in a smaller document are covered whole. A
-          gram with more than one block goes on, with each distinct block where it first occurs.
-  pass 2  digit: every window of those blocks. Windows that also start in a smaller document are covered.
+  pass 1  digits: the 24 bytes at the anchor, 8 at a time, then a digest of the block. Blocks equal to one in a smaller
+          document are covered whole. Anchors with more than one block go on.
+  pass 2  digits: the 50 bytes of every window of those blocks, 8 at a time. Windows that also start in a smaller
+          document are covered.
 
-In both passes the shuffle is the leading digit (a bucket of the hash), each task first combines what it has, so a
-string in very many documents is sent once a task, and rows are packed by bucket.
+In both passes the shuffle is the leading digits: a bucket is a range of byte strings in order, cut at quantiles of a
+sample so that buckets are of one size (which changes the cost and no result), and there are as many as the data need.
+Within a bucket the passes go on over the later digits, and only what is still tied takes part. Each task first combines
+what it has, so a string in very many documents is sent once a task.
 """
 
 from __future__ import annotations
@@ -20,17 +23,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialise, partitions, release, utf8_slices
+from .common import fresh, materialise, partitions, utf8_slices, with_long_id
 
 WINDOW, GRAM = 50, 24
-#: Bytes of text that are anchored at once, and the most windows that are hashed before they are sent.
-PIECE, ENTRIES = 1 << 20, 200_000
+#: Bytes of text that are anchored at once, pieces and windows that are sorted together before they are sent.
+PIECE, PIECES, ENTRIES = 1 << 20, 4, 300_000
+#: Bytes of entries in a bucket and read by a task (about), ranges that are cut from the sample, and bytes of it.
+BUCKET, TASK, RANGES, SAMPLE = 8_000_000, 64_000_000, 4096, 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _REPLY = "doc long, start long, length int, open boolean"
+#: Bytes of an entry beside its key: document, start, length.
+_ENTRY = 8 + 5 + 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,15 +64,14 @@ def _string_hash(h32: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
 
 
 def anchored_blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram hash, block hash, block start, block length) for all anchors of the texts that end at ends."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(anchor, block digest, block start, block length) for all anchors of the texts that end at ends."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < WINDOW:
         return none
     hashes = _ladder(data)
     n = len(data) - GRAM + 1
-    gram = _mix(hashes[16][:n] * _M3 + hashes[8][16 : 16 + n])
+    low, at, size = _mix(hashes[16][:n] * _M3 + hashes[8][16 : 16 + n]), np.arange(n, dtype=np.int32), 1
     width = WINDOW - GRAM + 1
-    low, at, size = gram, np.arange(n, dtype=np.int32), 1
     while size < width:
         step = min(size, width - size)
         left, right = low[:-step], low[step:]
@@ -85,163 +90,271 @@ def anchored_blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...
     new = np.nonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (where[1:] != where[:-1] + 1)]))[0]
     first, last = where[new], where[np.concatenate([new[1:] - 1, [len(where) - 1]])]
     length = last - first + WINDOW
-    return gram[own[new]], _string_hash(hashes[32], first, length), first, length
-
-
-def _digits(values: np.ndarray, size: int, kind: str = ">u8") -> np.ndarray:
+    return own[new].astype(np.int64), _string_hash(hashes[32], first, length), first, length
+
+
+def bytes_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The size bytes at each position as big-endian words of 8 bytes, the last filled up with zeros."""
+    out = np.zeros((len(at), -(-size // 8) * 8), np.uint8)
+    out[:, :size] = data[at[:, None] + np.arange(size)]
+    return out.view(">u8").astype(np.uint64)
+
+
+def radix_groups(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words by most-significant-digit passes, a word being a digit, and where in that order a group of
+    equal rows begins. Rows that a pass has told from all others take no part in the next."""
+    order = np.argsort(words[:, 0], kind="stable")
+    first = words[order, 0]
+    head = np.concatenate([[True], first[1:] != first[:-1]])[: len(order)]
+    for d in range(1, words.shape[1]):
+        tied = ~head
+        tied[:-1] |= ~head[1:]
+        at = np.nonzero(tied)[0]
+        if not len(at):
+            break
+        group, digit = np.cumsum(head)[at], words[order[at], d]
+        inner = np.lexsort((digit, group))
+        order[at], digit = order[at][inner], digit[inner]
+        head[at[1:]] |= (digit[1:] != digit[:-1]) & (group[1:] == group[:-1])
+    return order, head
+
+
+def _keys(words: np.ndarray) -> np.ndarray:
+    """Rows of words as byte strings, which compare like the rows."""
+    return np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * words.shape[1]}").ravel()
+
+
+class Ranges:
+    """Buckets of byte strings in order: ranges between cuts, and each range dealt by a hash of the first words."""
+
+    def __init__(self, sample: np.ndarray, buckets: int, words: int):
+        ranges = min(buckets, RANGES)
+        order = np.sort(_keys(sample)) if len(sample) else np.zeros(0, f"S{8 * words}")
+        self.cuts = np.unique(order[np.linspace(0, len(order), ranges + 1)[1:-1].astype(int)]) if len(order) else order
+        self.deal = -(-buckets // ranges)
+
+    def of(self, words: np.ndarray, leading: int) -> np.ndarray:
+        bucket = np.searchsorted(self.cuts, _keys(words), side="right").astype(np.int64)
+        if self.deal == 1:
+            return bucket
+        h = np.zeros(len(words), np.uint64)
+        for d in range(leading):
+            h = _mix(h * _M2 + words[:, d])
+        return bucket * self.deal + (h % np.uint64(self.deal)).astype(np.int64)
+
+    def split(self, leading: int) -> np.ndarray:
+        """The first words of the cuts: what begins like one may lie in several buckets."""
+        return np.unique(np.array([c[: 8 * leading] for c in (x.ljust(8 * leading, b"\0") for x in self.cuts.tolist())], f"S{8 * leading}"))
+
+
+def _bytes(values: np.ndarray, size: int, kind: str = ">u8") -> np.ndarray:
     """The last size bytes of each value, most significant first."""
     return values.astype(kind).view(np.uint8).reshape(-1, 8)[:, 8 - size :]
 
 
-def _packed(*columns: np.ndarray) -> bytes:
+def _packed(words: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
     """Byte columns one after the other: slowly changing bytes lie together, and the shuffle's compression takes them."""
+    columns = [words.astype(">u8").view(np.uint8).reshape(len(words), -1), _bytes(doc, 8, ">i8"), _bytes(start, 5), _bytes(length, 1)]
     return np.concatenate(columns, axis=1).T.tobytes()
 
 
-def _entry(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-    return [_digits(doc, 8, ">i8"), _digits(start, 5), _digits(length, 1)]
-
-
-#: Bytes of a packed key, and of a packed entry of a document.
-_KEY, _ENTRY = 5 + 6, 8 + 5 + 1
-
-
-def _combine(k1, k2, doc, start, length, bits: int) -> Iterator[tuple[int, bool, bytes]]:
-    """What a task has of the keys (k1, k2), packed by bucket: the entries of the smallest document with their key, and
-    those of larger documents without it, as they are covered for certain."""
-    order = np.lexsort((start, doc, k2, k1))
-    k1, k2, doc, start, length = k1[order], k2[order], doc[order], start[order], length[order]
-    head = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-    lowest = doc[np.nonzero(head)[0]][np.cumsum(head) - 1]
-    over = doc != lowest
-    bucket = (k1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k1), np.int64)
-    cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(k1)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        for sure in (False, True):
-            own = a + np.nonzero(over[a:b] == sure)[0]
-            if len(own):
-                key = [] if sure else [_digits(k1[own] << np.uint64(bits) >> np.uint64(24), 5), _digits(k2[own], 6)]
-                yield int(bucket[a]), sure, _packed(*key, *_entry(doc[own], start[own], length[own]))
-
-
-def _unpack(blobs: list[bytes], keyed: bool) -> tuple[np.ndarray, ...]:
-    """(k1, k2, doc, start, length) of packed rows, without keys (doc, start, length)."""
-    width = _ENTRY + _KEY * keyed
-    m = np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1) for b in blobs] or [np.zeros((width, 0), np.uint8)], axis=1)
+def _unpacked(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(words, doc, start, length) of packed rows with keys of width words."""
+    k = 8 * width
+    m = np.concatenate([np.frombuffer(b, np.uint8).reshape(k + _ENTRY, -1) for b in blobs], axis=1)
 
     def number(a: int, b: int) -> np.ndarray:
         full = np.zeros((m.shape[1], 8), np.uint8)
         full[:, 8 - (b - a) :] = m[a:b].T
         return full.view(">u8").ravel().astype(np.uint64)
 
-    k = _KEY * keyed
-    entry = (number(k, k + 8).view(np.int64), number(k + 8, k + 13).astype(np.int64), m[k + 13].astype(np.int32))
-    return (number(0, 5), number(5, 11), *entry) if keyed else entry
+    words = np.stack([number(8 * i, 8 * i + 8) for i in range(width)], axis=1)
+    return words, number(k, k + 8).view(np.int64), number(k + 8, k + 13).astype(np.int64), m[k + 13].astype(np.int64)
 
 
-def _reply(doc, start, length, open_: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(length, np.int32)), pa.array(np.full(len(doc), open_))], ["doc", "start", "length", "open"])
+def _spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, start, length) of the maximal runs of ranges that overlap or touch."""
+    if not len(doc):
+        return doc, start, length
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], (start + length)[order]
+    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+    big = int(stop.max()) + 1
+    reach = np.maximum.accumulate(stop + np.cumsum(other) * big) - np.cumsum(other) * big
+    new = np.nonzero(other | np.concatenate([[True], start[1:] > reach[:-1]]))[0]
+    return doc[new], start[new], reach[np.concatenate([new[1:] - 1, [len(doc) - 1]])] - start[new]
 
 
-def _digit_pass(entries: DataFrame, split: Callable, bits: int, name: str, blocks: bool) -> DataFrame:
-    """(doc, start, length, open): covered ranges, and with blocks those that go on to the next pass (open).
+def _reply(doc: np.ndarray, start: np.ndarray, length: np.ndarray, open_: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int32)), pa.array(np.full(len(doc), open_))], ["doc", "start", "length", "open"])
 
-    split turns the batches of entries into (k1, k2, doc, start, length) arrays."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for arrays in split(batches):
-            if len(arrays[0]):
-                rows = list(_combine(*arrays, bits))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sure", "blob"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        sure, blobs = group.column("sure").to_pylist(), group.column("blob").to_pylist()
-        out = [_reply(*_unpack([b for b, y in zip(blobs, sure, strict=True) if y], False), False)]
-        k1, k2, doc, start, length = _unpack([b for b, y in zip(blobs, sure, strict=True) if not y], True)
-        order = np.lexsort((doc, k2, k1))
-        k1, k2, doc, start, length = k1[order], k2[order], doc[order], start[order], length[order]
-        gram = np.concatenate([[True], k1[1:] != k1[:-1]])
-        head = gram | np.concatenate([[True], k2[1:] != k2[:-1]])
-        lowest = doc[np.nonzero(head)[0]][np.cumsum(head) - 1]
-        over = doc != lowest
-        out.append(_reply(doc[over], start[over], length[over], False))
-        if blocks:
-            at = np.nonzero(gram)[0]
-            several = np.add.reduceat(head.astype(np.int64), at) > 1
-            several &= np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-            going = ~over & several[np.cumsum(gram) - 1]
-            out.append(_reply(doc[going], start[going], length[going], True))
-        return pa.Table.from_batches(out)
+def _lowest(doc: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each row the smallest document of its group."""
+    return np.minimum.reduceat(doc, np.nonzero(head)[0])[np.cumsum(head) - 1]
 
-    sent = entries.mapInArrow(send, "bucket int, sure boolean, blob binary")
-    return materialise(sent.groupBy("bucket").applyInArrow(meet, _REPLY), name)
 
+def _digit_pass(entries: DataFrame, split: Callable, ranges: Ranges, width: int, leading: int, tasks: int, name: str, blocks: bool) -> DataFrame:
+    """(doc, start, length, open): covered ranges, and with blocks those that go on to the next pass (open).
 
-def covered_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, start, stop) byte ranges to remove; ranges may overlap. doc is the doc_id (null: the smallest long)."""
-    spark = docs.sparkSession
-    bits = max(0, int(np.ceil(np.log2(2 * partitions(spark)))))
-    rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        held, size = [], 0
-
-        def flush() -> tuple[np.ndarray, ...]:
-            data, ends = np.concatenate([h[2] for h in held]), np.cumsum([len(h[2]) for h in held])
-            gram, block, first, length = anchored_blocks(data, ends)
-            row = np.searchsorted(ends, first, side="right")
-            base = np.concatenate([[0], ends[:-1]])
-            doc, offset = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            return gram, block, doc[row], first - base[row] + offset[row], length
+    split turns the batches of entries into (words, doc, start, length) arrays with keys of width words, of which the
+    leading ones are the anchor's.
+    """
+    sent_ranges = entries.sparkSession.sparkContext.broadcast(ranges)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a bucket's entries, of the smallest document here for each key. The others are covered for certain and
+        need no meeting: they go, as whole runs, to no bucket (-1) and stay spread."""
+        own = sent_ranges.value
+        spread = 0
+        for words, doc, start, length in split(batches):
+            if not len(doc):
+                continue
+            order, head = radix_groups(words)
+            words, doc, start, length = words[order], doc[order], start[order], length[order]
+            over = doc != _lowest(doc, head)
+            rows = []
+            if over.any():
+                d, s, n = _spans(doc[over], start[over], length[over])
+                rows.append((-1, int(d[0]) + spread, np.stack([d, s, n]).tobytes()))
+                spread += 1
+            words, doc, start, length = (x[~over] for x in (words, doc, start, length))
+            bucket = own.of(words, leading)
+            by = np.argsort(bucket, kind="stable")
+            words, doc, start, length, bucket = words[by], doc[by], start[by], length[by], bucket[by]
+            cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(bucket)]
+            rows += [(int(bucket[a]), int(bucket[a]), _packed(words[a:b], doc[a:b], start[a:b], length[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "place", "blob"])
+
+    def met(blobs: list[bytes], several: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, doc, start, length = _unpacked(blobs, width)
+        order, head = radix_groups(words)
+        words, doc, start, length = words[order], doc[order], start[order], length[order]
+        over = doc != _lowest(doc, head)
+        yield _reply(doc[over], start[over], length[over], False)
+        if blocks:
+            first = np.nonzero(head)[0]
+            gram = np.zeros(len(doc), bool)
+            gram[first] = np.concatenate([[True], (words[first[1:], :leading] != words[first[:-1], :leading]).any(1)])
+            at = np.nonzero(gram)[0]
+            going = np.add.reduceat(head.astype(np.int64), at) > 1
+            going &= np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+            going |= np.isin(_keys(words[at, :leading]), several)
+            going = ~over & going[np.cumsum(gram) - 1]
+            yield _reply(doc[going], start[going], length[going], True)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by bucket; only one bucket is held at a time."""
+        several = sent_ranges.value.split(leading)
+        now, blobs = None, []
         for batch in batches:
-            data, ends = utf8_slices(batch.column(1))
-            for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                for s in range(a, max(a + 1, b - WINDOW + 1), PIECE):
-                    part = data[s : min(b, s + PIECE + WINDOW - 1)]
-                    if len(part) >= WINDOW:
-                        held.append((doc, s - a, part.copy()))
-                        size += len(part)
-                        if size >= PIECE:
-                            yield flush()
-                            held, size = [], 0
-        if held:
-            yield flush()
-
-    first = _digit_pass(rows, anchors, bits + 1, "suffix-blocks", True)
-    release(spark)
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket < 0:
+                    yield _reply(*np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1), False)
+                    continue
+                if bucket != now and blobs:
+                    yield from met(blobs, several)
+                    blobs = []
+                now = bucket
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from met(blobs, several)
+
+    sent = entries.mapInArrow(send, "bucket long, place long, blob binary")
+    placed = sent.repartition(tasks, "place").sortWithinPartitions("bucket").select("bucket", "blob")
+    return materialise(placed.mapInArrow(meet, _REPLY), name)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of (bytes, ends, doc of each text, offset of each text in its document) of about PIECE bytes; a longer text comes
+    in parts that overlap by a window less a byte."""
+    held, size = [], 0
+
+    def run() -> tuple[np.ndarray, ...]:
+        return np.concatenate([h[2] for h in held]), np.cumsum([len(h[2]) for h in held]), np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+
+    for batch in batches:
+        data, ends = utf8_slices(batch.column(1))
+        for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for s in range(a, max(a + 1, b - WINDOW + 1), PIECE):
+                part = data[s : min(b, s + PIECE + WINDOW - 1)]
+                if len(part) >= WINDOW:
+                    held.append((doc, s - a, part.copy()))
+                    size += len(part)
+                    if size >= PIECE:
+                        yield run()
+                        held, size = [], 0
+    if held:
+        yield run()
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    held: list[tuple[np.ndarray, ...]] = []
+    for data, ends, doc, offset in _pieces(batches):
+        at, digest, first, length = anchored_blocks(data, ends)
+        row = np.searchsorted(ends, first, side="right")
+        base = np.concatenate([[0], ends[:-1]])
+        held.append((np.column_stack([bytes_at(data, at, GRAM), digest]), doc[row], first - base[row] + offset[row], length))
+        if len(held) >= PIECES:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """All windows of the blocks of the documents (doc, text, blocks)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        data, ends = utf8_slices(batch.column(1))
+        lists = batch.column(2)
+        begin, length = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        # rows of one id may differ in length, so a block may not fit
+        count = np.maximum(0, np.minimum(length, ends[row + 1] - ends[row] - begin) - WINDOW + 1)
+        total = np.cumsum(count)
+        lo = 0
+        while lo < len(count):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + ENTRIES, side="right")))
+            c = count[lo:hi]
+            start = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[lo:hi], c)
+            own = np.repeat(row[lo:hi], c)
+            held.append((bytes_at(data, ends[own] + start, WINDOW), docs[own], start, np.full(len(start), WINDOW)))
+            size, lo = size + len(start), hi
+            if size >= ENTRIES:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def covered_ranges(rows: DataFrame) -> DataFrame:
+    """(doc, start, length) byte ranges of rows (doc long, text) to remove; ranges may overlap."""
+    spark = rows.sparkSession
+    rows = rows.where("text is not null")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = total * (8 * 4 + _ENTRY) // ((WINDOW - GRAM + 2) // 2)
+    tasks = max(partitions(spark), -(-size // TASK))
+    buckets = max(8 * tasks, -(-size // BUCKET))
+    # only for the cuts between buckets, so what one text adds is bounded
+    some = rows.sample(min(1.0, SAMPLE / max(1, total)), 1).limit(SAMPLE // 100).select(F.left("text", F.lit(PIECE)).alias("text")).toArrow()
+    grams, strings = [np.zeros((0, 4), np.uint64)], [np.zeros((0, 7), np.uint64)]
+    for data, ends, _, _ in _pieces(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int64)), b.column(0)], ["doc", "text"]) for b in some.to_batches()):
+        at, digest, first, _ = anchored_blocks(data, ends)
+        grams.append(np.column_stack([bytes_at(data, at, GRAM), digest]))
+        strings.append(bytes_at(data, first, WINDOW))
+    first = _digit_pass(rows, _anchors, Ranges(np.concatenate(grams), buckets, 4), 4, 3, tasks, "suffix-blocks", True)
     going = first.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("blocks"))
+    again = rows.join(going.hint("merge"), "doc").select("doc", "text", "blocks")
+    second = _digit_pass(again, _windows, Ranges(np.concatenate(strings), buckets, 7), 7, 7, tasks, "suffix-windows", False)
+    return first.where("not open").unionByName(second).select("doc", "start", "length")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        keys, docs_, starts = [], [], []
-
-        def flush() -> tuple[np.ndarray, ...]:
-            pairs = np.frombuffer(b"".join(keys), ">u8").reshape(-1, 2)
-            return pairs[:, 0].astype(np.uint64), pairs[:, 1].astype(np.uint64), np.array(docs_, np.int64), np.array(starts, np.int64), np.full(len(starts), WINDOW)
 
-        for batch in batches:
-            data, ends = utf8_slices(batch.column(1))
-            for doc, a, b, blocks in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), (x.as_py() for x in batch.column(2)), strict=True):
-                raw = data[a:b].tobytes()
-                for block in blocks:
-                    for s in range(block["start"], min(block["start"] + block["length"], b - a) - WINDOW + 1):
-                        keys.append(xxhash.xxh3_128_digest(raw[s : s + WINDOW]))
-                        docs_.append(doc)
-                        starts.append(s)
-                if len(keys) >= ENTRIES:
-                    yield flush()
-                    keys, docs_, starts = [], [], []
-        if keys:
-            yield flush()
-
-    second = _digit_pass(rows.join(going, "doc").select("doc", "text", "blocks"), windows, bits, "suffix-windows", False)
-    release(spark)
-    return first.where("not open").unionByName(second).select("doc", "start", (F.col("start") + F.col("length")).alias("stop"))
-
-
-def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs once the ranges are cut out."""
-    lists = ranges.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
+def remove_ranges(docs: DataFrame, ranges: DataFrame, doc: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text, doc) once the ranges are cut out."""
+    lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("ranges")).withColumnRenamed("doc", doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,28 +371,29 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 out.append((b - a, sum(e - s for s, e in spans), len(spans), kept.hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], pa.int64()) for i in range(3)], pa.array([o[3] for o in out], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = docs.select("doc_id", "text")
-    marked = texts.join(lists, F.coalesce(texts["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "ranges")
+    marked = docs.join(lists.hint("merge"), doc, "left").select("doc_id", "text", "ranges")
     return marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def merged_spans(ranges: pa.StructArray, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of the ranges (sorted by start), within size bytes."""
-    start, stop = (ranges.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-    if not len(start):
-        return []
-    reach = np.maximum.accumulate(np.minimum(stop, size))
-    new = np.nonzero(np.concatenate([[True], start[1:] > reach[:-1]]))[0]
-    ends = reach[np.concatenate([new[1:] - 1, [len(reach) - 1]])]
-    return [(s, e) for s, e in zip(start[new].tolist(), ends.tolist(), strict=True) if s < e]
+    """Maximal runs of the ranges (start, length), within size bytes."""
+    start, length = (ranges.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    length = np.minimum(length, size - start)
+    good = length > 0
+    _, start, length = _spans(np.zeros(int(good.sum()), np.int64), start[good], length[good])
+    return list(zip(start.tolist(), (start + length).tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """remove_ranges() for the repeats of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id of any type, text).
 
     Every byte that lies in a 50-byte string which also starts in a document with a smaller doc_id is removed; the
     strings are those of the input. Texts are UTF-8 bytes, null is empty; a null doc_id counts as smaller than any.
     doc_id names a document: rows that share one never cover each other, and what is found in one of them holds for
-    all. Strings are compared by 86 to 128 bits of hash. Long texts are worked on in overlapping pieces.
+    all. Windows are compared byte by byte; blocks that are covered whole agree in the 24 bytes at their anchor, in length
+    and in 64 bits of hash. Long texts are worked on in overlapping pieces. Other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
-    return remove_ranges(docs, covered_ranges(docs))
+    own = fresh(docs, "doc")
+    keyed = with_long_id(docs.select("doc_id", "text"), own)
+    return remove_ranges(keyed, covered_ranges(keyed.select(F.col(own).alias("doc"), "text")), own)
