@@ -2,7 +2,8 @@
 
 A test item that occurs in a text with at most k edits has, cut into k + 1 pieces, one piece that occurs exactly. All
 pieces of the items are found in one pass over a text, and each hit's neighbourhood is verified with the
-bit-parallel edit distance of Myers, which holds a column of the distance matrix in two bit vectors.
+bit-parallel edit distance of Myers, which holds a column of the distance matrix in two bit vectors. An item too short for
+an edit is one piece, and must stand between word borders.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Edits allowed as a share of an item's characters; items shorter than MIN_CHARS say too little and are left out.
-MAX_EDIT_SHARE, MIN_CHARS = 0.05, 20
+from .common import materialise
+
+#: Edits allowed as a share of an item's characters.
+MAX_EDIT_SHARE = 0.05
 #: Characters of items that are broadcast together; more items are scanned for in several passes.
 BLOCK_CHARS = 4_000_000
 _BLANKS = r"[\s ]+"
@@ -66,10 +70,15 @@ class Pattern:
         return least, at
 
 
+def _alone(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends inside a word."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = MAX_EDIT_SHARE):
+    def __init__(self, items: list[tuple[object, str]], share: float = MAX_EDIT_SHARE):
         self.patterns = [(i, Pattern(t), edit_budget(len(t), share)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, p, budget) in enumerate(self.patterns):
@@ -81,14 +90,19 @@ class Matcher:
         if found:
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
+    def hits(self, text: str) -> list[tuple[object, int, int]]:
         """(item_id, distance, end) for every item within its budget somewhere in text: its nearest occurrence."""
         if not self.patterns or not text:
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
+        whole: dict[int, int] = {}
         for end, (size, where) in self.automaton.iter(text):
             for k, offset in where:
                 _, p, budget = self.patterns[k]
+                if not budget:
+                    if k not in whole and _alone(text, end + 1 - size, end + 1):
+                        whole[k] = end + 1
+                    continue
                 a = end + 1 - size - offset - budget
                 b = a + p.size + 2 * budget
                 near = spans.setdefault(k, [])
@@ -96,7 +110,7 @@ class Matcher:
                     near[-1] = (min(a, near[-1][0]), max(b, near[-1][1]))
                 else:
                     near.append((a, b))
-        out = []
+        out = [(self.patterns[k][0], 0, end) for k, end in whole.items()]
         for k, near in spans.items():
             item, p, budget = self.patterns[k]
             best = None
@@ -111,42 +125,70 @@ class Matcher:
         return out
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
+    """The distinct items (id, normalised text) that are not blank, dealt by hash into blocks of about BLOCK_CHARS
+    characters; the driver holds one block at a time."""
+    items = benchmark.select("item_id", normalised("text").alias("item")).where(F.length("item") > 0).distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // BLOCK_CHARS))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield [(r.item_id, r.item) for r in own.toLocalIterator()]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SHARE) -> DataFrame:
     """doc_id, item_id, distance, end for every row of docs (doc_id, text) and item of benchmark (item_id, text) that
     occurs in it with at most share * length edits: the nearest occurrence, end being its last position in the
-    normalised text.
-
-    Texts and items are lower-cased and blanks are run together. Null and empty texts have no hits; items that are
-    null or shorter than 20 characters are left out; items of one text all hit; repeated rows hit each. The items
-    are dealt by hash into blocks of about BLOCK_CHARS characters, and each block is sent to the executors and is a scan
-    of its own over docs: nothing is shuffled, and no document is paired with an item without a common piece.
+    normalised text. Ids are of any type.
+
+    Texts and items are lower-cased and blanks are run together. Null and empty texts have no hits, and neither have null
+    and blank items; an item too short for an edit (below 20 characters at 5 %) must occur exactly, between word borders;
+    items of one text all hit; of equally near occurrences the first counts; repeated rows hit each; null ids are kept.
+    Whole texts are looked at, however long. Other columns are ignored, whatever their names; an empty table on either
+    side gives an empty result. The items are dealt into blocks of bounded size; each is sent to the executors and is a
+    scan of its own over docs, so that nothing is shuffled and no document is paired with an item without a common
+    piece. With several blocks the hits of each are stored before the next is sent.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", normalised("text").alias("item")).where(F.length("item") >= MIN_CHARS).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // BLOCK_CHARS))
-    kinds = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
+    kinds = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance int, `end` long"
+    arrow = [to_arrow_type(kinds[0]), to_arrow_type(kinds[1]), pa.int32(), pa.int64()]
     texts = docs.where("text is not null").select("doc_id", normalised("text").alias("text"))
-    out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast([(r.item_id, r.item) for r in own.collect()])
+    before = None
+    for items in _blocks(benchmark):
+        if before is not None:
+            before = (materialise(before[0], "leaks"), before[1])
+            before[1].unpersist()
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, share)
             for batch in batches:
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for h in matcher.hits(t.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column(0).type), pa.array([f[1] for f in found]).cast(_ITEM[kinds[1]]), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())], ["doc_id", "item_id", "distance", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(arrow)], ["doc_id", "item_id", "distance", "end"])
 
-        hits = texts.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, `end` long")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        hits = texts.mapInArrow(run, schema)
+        before = (hits if before is None else before[0].unionByName(hits), sent)
+    return before[0]
 
 
-_ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SHARE) -> DataFrame:
+    """docs without the rows in which find_leaks() finds an item of benchmark; same columns, whatever their names.
+
+    Every row is judged by its own text, so ids may be of any type, null or repeated, and nothing is shuffled. Null and
+    empty texts stay; an empty benchmark takes nothing away.
+    """
+    names = docs.columns
+    left = docs
+    for items in _blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, share)
+            for batch in batches:
+                clean = [not matcher.hits(t.as_py() or "") for t in batch.column(0)]
+                yield pa.RecordBatch.from_struct_array(batch.column(1).filter(pa.array(clean, pa.bool_())))
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SHARE) -> DataFrame:
-    """docs without the documents that hold an item of benchmark; same columns. A document is its doc_id."""
-    leaks = find_leaks(docs, benchmark, share).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("__leak")).distinct()
-    return docs.join(leaks, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col("__leak"), "left_anti")
+        whole = left.select(normalised("text").alias("plain"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+        left = whole.mapInArrow(run, docs.schema)
+    return left
