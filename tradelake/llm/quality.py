@@ -1,10 +1,12 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Two logistic models see different things: one the words and the make-up of the whole text, one the page's metadata
-(source, language, length). Both start from the labelled rows; in each round each labels the pooled unlabelled rows
-of which its calibrated probability is beyond CONFIDENT and hands them to the other. Each view is then calibrated on
-a held-out fold, and a third logistic model combines the two calibrated views. This is done for two targets, low
-quality and toxicity, and a document is kept if neither is more likely than not.
+(source, language, length). Both start from the labelled rows; in each round each labels all the unlabelled documents
+of which its calibrated probability is beyond CONFIDENT and hands them to the other, which is fitted again. The handed
+documents stay where they are: what the fit needs of them, the gradient and the curvature of their loss at the round's
+model, is summed up on the executors. Each view is calibrated on one held-out fold, and a third logistic model combines
+the calibrated views on another. This is done for two targets, low quality and toxicity, and a document is kept if
+neither is more likely than not.
 """
 
 from __future__ import annotations
@@ -17,17 +19,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The fit's bounds: labelled rows and pooled unlabelled rows at most (those with the smallest hash of their id).
-LABELLED_ROWS, POOL_ROWS = 10_000, 6_000
-#: Rounds of exchange, calibrated probability from which on a row is handed over, rows per round and class at most.
-ROUNDS, CONFIDENT, HANDED = 3, 0.97, 400
+from .common import materialise, partitions
+
+#: Labelled rows that are fitted at most (those with the smallest hash of their id); a parameter of train().
+LABELLED_ROWS = 10_000
+#: Rounds of exchange, and the calibrated probability from which on a document is handed over. The documents handed over
+#: for a class count together as much as its labelled rows.
+ROUNDS, CONFIDENT = 3, 0.97
 #: Buckets that a model of a view is fitted over at most, and the least chi-squared that they have (99.8 %).
 SELECTED, LEAST_CHI = 250, 10.0
 #: Lengths of the word beginnings that are features beside whole words (inflected words share them).
 PREFIXES = (4, 5)
-#: Buckets of words, and of metadata values; share of labelled rows that calibrates.
-WORD_BUCKETS, META_BUCKETS, CALIBRATION = 1 << 18, 1 << 12, 4
+#: Buckets of words, and of metadata values; one in FOLDS labelled rows calibrates, and another one combines.
+WORD_BUCKETS, META_BUCKETS, FOLDS = 1 << 18, 1 << 12, 6
+#: Tasks that add up what the executors send to the driver.
+ADDERS = 4
 _BINS, _STYLES = 16, 12
 _UPPER, _LETTERS, _DIGITS, _BLANK = (bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)]), bytes(range(48, 58)), b" \t\n\r\x0b\x0c")
 _EDGE = ".,!?;:*#$%&|\"'()[]{}<>-_=+/\\`~^@"
@@ -99,6 +107,7 @@ class Linear:
     bias: float = 0.0
     scale: float = 1.0
     shift: float = 0.0
+    chosen: np.ndarray | None = None
 
     def logit(self, rows: Rows) -> np.ndarray:
         """Calibrated log-odds."""
@@ -121,24 +130,38 @@ def telling(rows: Rows, y: np.ndarray, buckets: int, most: int = SELECTED) -> np
     return np.sort(order[chi[order] >= LEAST_CHI])
 
 
-def fit_linear(rows: Rows, y: np.ndarray, buckets: int) -> Linear:
-    """Ridge logistic regression over the telling buckets."""
-    chosen = telling(rows, y, buckets)
-    column = np.full(buckets, -1)
+@dataclass
+class Handed:
+    """Of the documents handed to a view for a class: how many, and the gradient and curvature of their loss at the model at."""
+
+    n: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+    at: np.ndarray
+
+
+def dense(rows: Rows, chosen: np.ndarray, buckets: int) -> np.ndarray:
+    """0/1 columns of the chosen buckets."""
+    column = np.full(buckets, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     owner = np.repeat(np.arange(len(rows)), np.diff(rows.start))
     own = column[rows.index]
     x = np.zeros((len(rows), len(chosen)), np.float32)
     x[owner[own >= 0], own[own >= 0]] = 1
-    w = fit_dense(x, y, steps=10, penalty=1.0)
+    return x
+
+
+def fit_linear(rows: Rows, y: np.ndarray, buckets: int, chosen: np.ndarray, handed: list[Handed]) -> Linear:
+    """Ridge logistic regression over the chosen buckets, of labelled rows and what was handed over."""
+    w = fit_dense(dense(rows, chosen, buckets), y, steps=10, penalty=1.0, handed=[(min(1.0, (y == c).sum() / h.n), h) for c, h in enumerate(handed) if h.n])
     weights = np.zeros(buckets, np.float32)
     weights[chosen] = w[:-1]
-    return Linear(weights, float(w[-1]))
+    return Linear(weights, float(w[-1]), chosen=chosen)
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-2) -> np.ndarray:
+def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e-2, handed: list[tuple[float, Handed]] = ()) -> np.ndarray:
     """Newton steps of a logistic regression; the last weight is the bias. A step is halved while it makes the loss
-    larger."""
+    larger. What was handed over counts by its weight, as a quadratic loss around the model that it was taken at."""
     x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), penalty)
@@ -146,13 +169,18 @@ def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * w * w).sum())
+        own = float(np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * w * w).sum())
+        return own + sum(a * float(h.gradient @ (w - h.at) + 0.5 * (w - h.at) @ h.curvature @ (w - h.at)) for a, h in handed)
 
     now = loss(w)
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None].astype(x.dtype)).T @ x + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(h.astype(float), x.T @ (p - y) + ridge * w)
+        curve = ((x * (p * (1 - p))[:, None].astype(x.dtype)).T @ x + np.diag(ridge + 1e-9)).astype(float)
+        slope = x.T @ (p - y) + ridge * w
+        for a, h in handed:
+            curve += a * h.curvature
+            slope = slope + a * (h.gradient + h.curvature @ (w - h.at))
+        step = np.linalg.solve(curve, slope)
         size = 1.0
         while (then := loss(w - size * step)) > now and size > 1e-3:
             size /= 2
@@ -165,7 +193,7 @@ def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 1e
 def calibrated(view: Linear, rows: Rows, y: np.ndarray) -> Linear:
     """The view with its log-odds scaled to fit held-out labels."""
     a, b = fit_dense(np.clip(rows.sums(view.weights) + view.bias, -30, 30)[:, None], y)
-    return Linear(view.weights, view.bias, max(float(a), 0.0), float(b))
+    return Linear(view.weights, view.bias, max(float(a), 0.0), float(b), view.chosen)
 
 
 @dataclass
@@ -179,43 +207,110 @@ class Head:
         return _sigmoid(self.combine[0] * a + self.combine[1] * b + self.combine[2])
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray, pool_text: Rows, pool_meta: Rows) -> Head | None:
-    """A head from labelled rows (held: those that only calibrate) and a pool; None without rows of both classes."""
-    base, fold = np.nonzero(~held)[0], np.nonzero(held)[0]
-    if min(len(np.unique(y[base])), len(np.unique(y[fold]))) < 2:
-        base = fold = np.arange(len(y))
-        if len(np.unique(y)) < 2:
-            return None
-    views = {"text": (text, pool_text, WORD_BUCKETS + _STYLES * _BINS), "meta": (meta, pool_meta, META_BUCKETS)}
-    given: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-    for left in range(ROUNDS, -1, -1):
-        models = {}
-        for name, (rows, pool, size) in views.items():
-            more = given[name]
-            joined = Rows.of([rows.index[rows.start[i] : rows.start[i + 1]] for i in base] + [pool.index[pool.start[i] : pool.start[i + 1]] for i in more])
-            models[name] = calibrated(fit_linear(joined, np.concatenate([y[base], np.array(list(more.values()), float)]), size), rows.take(fold), y[fold])
-        if not left or not len(pool_text):
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(models[name].logit(views[name][1]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                picked = [int(i) for i in order[: HANDED * 4] if sure[i] >= CONFIDENT and int(i) not in given[other]][:HANDED]
-                given[other] |= dict.fromkeys(picked, label)
-    x = np.column_stack([np.clip(models[n].logit(views[n][0].take(fold)), -30, 30) for n in views])
-    return Head(models["text"], models["meta"], fit_dense(x, y[fold], penalty=1.0))
+_SIZES = {"text": WORD_BUCKETS + _STYLES * _BINS, "meta": META_BUCKETS}
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, lang, n_chars, quality, toxic) as rows of bucket numbers."""
+class CoTraining:
+    """One target: labelled rows in three parts (fit, calibrate, combine), and the models of both views. Where a part lacks
+    a class, as with very few labels, all rows serve for all three."""
+
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray):
+        self.rows, self.y = {"text": text, "meta": meta}, y
+        part = np.arange(len(y)) % FOLDS
+        self.base, self.calibrate, self.combine = (np.nonzero(w)[0] for w in (part > 1, part == 0, part == 1))
+        if any(len(np.unique(y[f])) < 2 for f in (self.base, self.calibrate, self.combine)):
+            self.base = self.calibrate = self.combine = np.arange(len(y))
+        self.chosen = {v: telling(rows.take(self.base), y[self.base], _SIZES[v]) for v, rows in self.rows.items()}
+        self.models: dict[str, Linear] = {}
+        self.fit({})
+
+    def fit(self, handed: dict[str, list[Handed]]) -> None:
+        for v, rows in self.rows.items():
+            fitted = fit_linear(rows.take(self.base), self.y[self.base], _SIZES[v], self.chosen[v], handed.get(v, []))
+            self.models[v] = calibrated(fitted, rows.take(self.calibrate), self.y[self.calibrate])
+
+    def head(self) -> Head:
+        x = np.column_stack([np.clip(self.models[v].logit(rows.take(self.combine)), -30, 30) for v, rows in self.rows.items()])
+        return Head(self.models["text"], self.models["meta"], fit_dense(x, self.y[self.combine], penalty=1.0))
+
+
+def handed_over(features: DataFrame, models: list[dict[str, Linear]]) -> list[dict[str, list[Handed]]]:
+    """For each of the models (a target's two views): what each view is handed by the other of all unlabelled documents,
+    class 0 and class 1. Every task adds up its documents, and a few more add up the tasks."""
+    sent = features.sparkSession.sparkContext.broadcast(models)
+
+    def empty(models: list[dict[str, Linear]]) -> dict[int, np.ndarray]:
+        widths = [len(m[v].chosen) + 1 for m in models for v in ("text", "meta")]
+        return {2 * k + c: np.zeros(1 + w + w * w) for k, w in enumerate(widths) for c in (0, 1)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
+        total = empty(models)
+        for batch in batches:
+            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
+                rows = {"text": _rows(part.column(0)), "meta": _rows(part.column(1))}
+                for k, m in enumerate(models):
+                    chance = {v: _sigmoid(m[v].logit(rows[v])) for v in rows}
+                    for i, (v, other) in enumerate((("text", "meta"), ("meta", "text"))):
+                        x = None
+                        for c in (0, 1):
+                            sure = chance[other] >= CONFIDENT if c else chance[other] <= 1 - CONFIDENT
+                            if not sure.any():
+                                continue
+                            if x is None:
+                                x = np.column_stack([dense(rows[v], m[v].chosen, _SIZES[v]), np.ones(len(part), np.float32)])
+                            own, w = x[sure], np.append(m[v].weights[m[v].chosen], m[v].bias).astype(np.float32)
+                            p = _sigmoid(own @ w)
+                            t = total[4 * k + 2 * i + c]
+                            t[0] += len(own)
+                            t[1 : 1 + len(w)] += own.T @ (p - c)
+                            t[1 + len(w) :] += ((own * (p * (1 - p))[:, None]).T @ own).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slot", "sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty(sent.value)
+        for batch in batches:
+            for slot, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[slot] += np.frombuffer(sums.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slot", "sums"])
+
+    pool = features.where("quality is null and toxic is null").select("text", "meta").coalesce(partitions(features.sparkSession))
+    added = pool.mapInArrow(add, "slot int, sums binary").repartition(ADDERS).mapInArrow(merge, "slot int, sums binary")
+    total = empty(models)
+    for r in added.toLocalIterator():
+        total[r.slot] += np.frombuffer(r.sums)
+    out = []
+    for k, m in enumerate(models):
+        views = {}
+        for i, v in enumerate(("text", "meta")):
+            w = np.append(m[v].weights[m[v].chosen], m[v].bias).astype(float)
+            sums = [total[4 * k + 2 * i + c] for c in (0, 1)]
+            views[v] = [Handed(t[0], t[1 : 1 + len(w)], t[1 + len(w) :].reshape(len(w), len(w)), w) for t in sums]
+        out.append(views)
+    return out
+
+
+def _rows(column: pa.Array) -> Rows:
+    """Bucket lists of a batch."""
+    ends = column.offsets.to_numpy()
+    return Rows(column.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64))
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """(row, text, meta, quality, toxic) with text and meta as bucket numbers, of rows (row, text, source, lang, n_chars, quality,
+    toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [text_features(t.as_py()) for t in batch.column(1)]
-            meta = [meta_features(*m) for m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32())), batch.column(5), batch.column(6)], ["doc_id", "text", "meta", "quality", "toxic"])
+            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
+                text = [text_features(t.as_py()) for t in part.column(1)]
+                meta = [meta_features(*m) for m in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (text, meta)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, part.column(5), part.column(6)], ["row", "text", "meta", "quality", "toxic"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text array<int>, meta array<int>, quality int, toxic int")
+    buckets = T.ArrayType(T.IntegerType())
+    schema = T.StructType([rows.schema["row"], T.StructField("text", buckets), T.StructField("meta", buckets), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _inputs(docs: DataFrame) -> list[F.Column]:
@@ -226,65 +321,90 @@ def _inputs(docs: DataFrame) -> list[F.Column]:
     return [F.col("text"), *metadata, size.alias("n_chars")]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, Head | None]:
-    """Heads `low` (quality 0) and `toxic` from labels (doc_id, quality 0/1, toxic 0/1) of docs.
-
-    The fit uses at most LABELLED_ROWS labelled documents and a pool of POOL_ROWS others, picked by hash of the id,
-    whatever the corpus; only their features reach the driver. Labels that are null count for nothing, and of
-    several labels for a document the larger ones do. A head is None where its labels hold fewer than two classes.
-    """
-    inputs = docs.select("doc_id", *_inputs(docs))
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64(F.col("doc_id"))
-    picked = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(LABELLED_ROWS)
-    others = docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL_ROWS)
+def _prepared(docs: DataFrame, columns: list[str], labels: DataFrame | None = None, most: int = LABELLED_ROWS) -> DataFrame:
+    """Features of every row of docs with the given columns in row, and the labels of at most `most` documents."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     nothing = F.lit(None).cast("int")
-    chosen = picked.unionByName(others.select("doc_id", nothing.alias("quality"), nothing.alias("toxic")))  # bounded, so broadcast
-    rows = _features(inputs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "quality", "toxic"))
-    sample = sorted(((r.doc_id, np.array(r.text, np.int32), np.array(r.meta, np.int32), r.quality, r.toxic) for r in rows.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    heads: dict[str, Head | None] = {}
-    pool = [r for r in sample if r[3] is None and r[4] is None]
+    if labels is None:
+        return _features(docs.select(row, *_inputs(docs), nothing.alias("quality"), nothing.alias("toxic")))
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    picked = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = F.broadcast(picked.select(F.col("doc_id").alias("id"), "quality", "toxic"))
+    inputs = docs.select(row, *_inputs(docs), F.col("doc_id").alias("id"))
+    return _features(inputs.join(sample, "id", "left").select("row", "text", "source", "lang", "n_chars", "quality", "toxic"))
+
+
+def _fit(features: DataFrame) -> dict[str, Head | None]:
+    labelled = features.where("quality is not null or toxic is not null").select(F.col("row.doc_id").alias("doc_id"), "text", "meta", "quality", "toxic")
+    sample = sorted(((r.doc_id, np.array(r.text, np.int32), np.array(r.meta, np.int32), r.quality, r.toxic) for r in labelled.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].tolist(), r[2].tolist()))
+    heads: dict[str, Head | None] = {"low": None, "toxic": None}
+    targets: dict[str, CoTraining] = {}
     for name, column, target in (("low", 3, 0), ("toxic", 4, 1)):
         own = [r for r in sample if r[column] is not None]
-        held = np.arange(len(own)) % CALIBRATION == 0
         y = np.array([float(r[column] == target) for r in own])
-        heads[name] = co_train(Rows.of([r[1] for r in own]), Rows.of([r[2] for r in own]), y, held, Rows.of([r[1] for r in pool]), Rows.of([r[2] for r in pool])) if own else None
-    return heads
+        if len(np.unique(y)) == 2:
+            targets[name] = CoTraining(Rows.of([r[1] for r in own]), Rows.of([r[2] for r in own]), y)
+    for _ in range(ROUNDS if targets else 0):
+        for t, handed in zip(targets.values(), handed_over(features, [t.models for t in targets.values()]), strict=True):
+            t.fit(handed)
+    return heads | {name: t.head() for name, t in targets.items()}
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict[str, Head | None]:
+    """Heads `low` (quality 0) and `toxic` from docs (doc_id, text, and where there are any source, lang, n_chars) and labels
+    (doc_id, quality 0/1, toxic 0/1).
+
+    At most `most` labelled documents are fitted, picked by hash of the id; their features and sums over all others are
+    what reaches the driver. All other documents are the unlabelled ones that the views exchange. Labels that are null count
+    for nothing, and of several labels for a document the larger ones do; rows that share an id share its labels. A head is
+    None where its labels hold fewer than two classes, so with empty tables. Ids are of any type, null ids have no label.
+    """
+    return _fit(materialise(_prepared(docs, ["doc_id"], labels, most), "quality-features"))
 
 
-def _scores(batch: pa.RecordBatch, heads: dict[str, Head | None]) -> tuple[np.ndarray, np.ndarray]:
-    text = Rows.of([text_features(t.as_py()) for t in batch.column("text")])
-    meta = Rows.of([meta_features(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)])
+def _chances(batch: pa.RecordBatch, heads: dict[str, Head | None]) -> tuple[np.ndarray, np.ndarray]:
+    text, meta = _rows(batch.column(1)), _rows(batch.column(2))
     low, toxic = (heads[n].probability(text, meta) if heads[n] else np.zeros(len(batch)) for n in ("low", "toxic"))
     return low, toxic
 
 
+def _score(features: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
+    sent = features.sparkSession.sparkContext.broadcast(heads)
+    kind = features.schema["row"].dataType["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, toxic = _chances(batch, sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).field(0), pa.array(1 - low), pa.array(toxic), pa.array((low <= 0.5) & (toxic < 0.5))], ["doc_id", "quality_score", "toxic_score", "kept"])
+
+    return features.select("row", "text", "meta").mapInArrow(run, f"doc_id {kind}, quality_score double, toxic_score double, kept boolean")
+
+
 def score(docs: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
     """doc_id, quality_score and toxic_score (probabilities), kept for every row of docs (doc_id, text, and where
     there are any source, lang, n_chars); kept is quality_score >= 0.5 and toxic_score < 0.5.
 
-    Whole texts are looked at. A null text counts as empty; null metadata are a value of their own; a head that could
-    not be fitted gives quality 1 and toxicity 0. Repeated rows score alike. No shuffle.
+    Whole texts are looked at, however long. A null text counts as empty; null metadata are a value of their own; a head
+    that could not be fitted gives quality 1 and toxicity 0. Repeated rows score alike. Other columns are ignored,
+    whatever their names; an empty table gives an empty result. No shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(heads)
+    return _score(_prepared(docs, ["doc_id"]), heads)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, toxic = _scores(batch, sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 - low), pa.array(toxic), pa.array((low <= 0.5) & (toxic < 0.5))], ["doc_id", "quality_score", "toxic_score", "kept"])
 
-    return docs.select("doc_id", *_inputs(docs)).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality_score double, toxic_score double, kept boolean")
+def classify(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
+    """score() of docs by heads that train() fits on them; the features of each document are made once, and stored."""
+    features = materialise(_prepared(docs, ["doc_id"], labels, most), "quality-features")
+    return _score(features, _fit(features))
 
 
-def keep_good(docs: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
-    """The rows of docs that score() keeps; same columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(heads)
-    names = [f.name for f in docs.schema.fields]
-    inputs = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), *_inputs(docs))
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of docs that classify() keeps; same columns, whatever their names. Odd rows fare as in score()."""
+    features = materialise(_prepared(docs, docs.columns, labels, most), "quality-features")
+    sent = docs.sparkSession.sparkContext.broadcast(_fit(features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, toxic = _scores(batch, sent.value)
+            low, toxic = _chances(batch, sent.value)
             yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array((low <= 0.5) & (toxic < 0.5))))
 
-    return inputs.mapInArrow(run, docs.schema)
+    return features.select("row", "text", "meta").mapInArrow(run, docs.schema)
