@@ -4,6 +4,10 @@ The new words of a batch are concatenated and indexed by a suffix array; every p
 it by binary search, and each occurrence is an edge (start, length, rank) over the text. The edges, sorted by
 position, are then relaxed: a word's symbols are merged over the best remaining edge until none is left. A
 longest-path relaxation would give the result of a unigram model; for a BPE model only this order is right.
+
+A very long unbroken word is indexed in overlapping parts of fixed size, and its edges are relaxed in the order of their
+positions with one piece kept for each position: the last piece of the encoding of the text up to there. That is the only
+one whose pair with the piece before it is an encoding itself.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SPACE = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
-#: Code points that are indexed at once; words up to LOCKSTEP_CHARS are relaxed together.
-INDEX_CHARS, LOCKSTEP_CHARS = 250_000, 64
+#: Code points that are indexed at once; words up to LOCKSTEP_CHARS are relaxed together; longer words than LONG_CHARS are
+#: relaxed by position. All change the cost and no result.
+INDEX_CHARS, LOCKSTEP_CHARS, LONG_CHARS = 250_000, 64, 100_000
+#: Ids that are decoded at once, and pairs of pieces that a worker remembers.
+DECODED, PAIRS = 1 << 18, 1 << 20
 NO_EDGE = 2**30
 
 
@@ -83,6 +91,9 @@ class PieceModel:
         self.split = regex.compile(f"(?s){SPACE}(.*)" if inner else f"{SPACE}({SPACE}*[^{SPACE}]+|{SPACE}*)")
         self.whole = inner
         self.words: dict[str, bytes] = {}
+        self.number = {self.pieces[i]: int(self.rank[k]) for k, i in enumerate(by_score)}
+        self.name = {self.pieces[i]: i for i in normal}
+        self.pairs: dict[int, bool] = {}
         #: What an id stands for; bytes beyond ASCII only mean something together.
         self.text = [chr(self.bytes[i]) if i in self.bytes else "" if i in self.special else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.high = np.array([self.bytes.get(i, 0) > 127 for i in ids])
@@ -137,6 +148,56 @@ class PieceModel:
             i = end[i]
         return np.array(out, np.int32).tobytes()
 
+    def is_encoding(self, a: int, b: int) -> bool:
+        """Whether the text of piece a (-1: none) and then of piece b is encoded as just these."""
+        key = a << 32 | b
+        if (known := self.pairs.get(key)) is not None:
+            return known
+        left, right = self.pieces[a] if a >= 0 else "", self.pieces[b]
+        word = left + right
+        edges = {(i, n): (r, self.name[word[i : i + n]]) for i in range(len(word)) for n in range(1, len(word) - i + 1) if (r := self.number.get(word[i : i + n])) is not None}
+        want = np.array([a, b] if a >= 0 else [b], np.int32).tobytes()
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        out = self.pairs[key] = self.relax(word, edges) == want
+        return out
+
+    def relax_by_position(self, word: str) -> bytes:
+        """The ids of a long word, from its edges in parts of INDEX_CHARS."""
+        n = len(word)
+        last = np.full(n + 1, -2, np.int32)  # -2: not reached, -1: a character without a piece, or the start
+        last[0] = -1
+        for s in range(0, n, INDEX_CHARS):
+            part = word[s : s + INDEX_CHARS + self.width]
+            _, at, length, _, piece = self.edges([part])
+            own = at < INDEX_CHARS
+            begin = np.searchsorted(at[own], np.arange(min(INDEX_CHARS, n - s) + 1)).tolist()
+            length, piece = length[own].tolist(), piece[own].tolist()
+            reached = last[s : s + len(part) + 1].tolist()
+            for i in range(len(begin) - 1):
+                before, alone = reached[i], True
+                for j in range(begin[i], begin[i + 1]):
+                    e, p = i + length[j], piece[j]
+                    alone &= length[j] > 1
+                    if e < len(reached) and reached[e] == -2 and self.is_encoding(before, p):
+                        reached[e] = p
+                if alone:
+                    reached[i + 1] = -1
+            last[s : s + len(part) + 1] = reached
+        out, held, i = [], [], n
+        while i > 0:
+            p = int(last[i])
+            if p >= 0:
+                held.append(p)
+                i -= len(self.pieces[p])
+            else:
+                held += [self.byte_id[b] for b in word[i - 1].encode()[::-1]]
+                i -= 1
+            if len(held) >= DECODED or i <= 0:
+                out.append(np.array(held[::-1], np.int32).tobytes())
+                held = []
+        return b"".join(out[::-1])
+
     def learn(self, bare: list[str]) -> dict[str, bytes]:
         """The ids of words that are not known yet; a word comes without its first space mark."""
         out: dict[str, bytes] = {}
@@ -212,6 +273,9 @@ class PieceModel:
         split = [self.words_of(t) for t in texts]
         known, fresh, size, now = self.words, [], 0, {}
         for w in {w for ws in split for w in ws}.difference(known):
+            if len(w) > LONG_CHARS:
+                now[w] = self.relax_by_position(SPACE + w)
+                continue
             fresh.append(w)
             size += len(w) + 2
             if size >= INDEX_CHARS:
@@ -231,8 +295,18 @@ class PieceModel:
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: pieces joined, runs of byte pieces as UTF-8, without the leading space that encoding adds."""
         ids = np.asarray(ids, np.int64)
+        out, a = [], 0
+        while a < len(ids):
+            b = min(len(ids), a + DECODED)
+            while b < len(ids) and int(ids[b]) in self.bytes:  # bytes only mean something together
+                b += 1
+            out.append(self._decoded(ids[a:b]))
+            a = b
+        return "".join(out).removeprefix(" ")
+
+    def _decoded(self, ids: np.ndarray) -> str:
         if not self.high[ids].any():
-            return "".join(map(self.text.__getitem__, ids.tolist())).removeprefix(" ")
+            return "".join(map(self.text.__getitem__, ids.tolist()))
         out, run = [], bytearray()
         for i in ids.tolist():
             if i in self.bytes:
@@ -243,7 +317,7 @@ class PieceModel:
                 run.clear()
             out.append(self.text[i])
         out.append(run.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(" ")
+        return "".join(out)
 
 
 _models: dict[str, PieceModel] = {}
@@ -260,7 +334,8 @@ def encode_pieces(docs: DataFrame, model_path: str, column: str = "text", verify
     """docs with an added column piece_ids (array<int>): the library's encoding, without begin or end marks.
 
     A null text gives null, an empty one no ids. Repeated rows are encoded alike. Columns of docs with the added
-    names are replaced. Rows are independent: no shuffle. model_path is read on every node. With verify there are
+    names are replaced, others kept whatever their names; an empty table gives an empty result. Whole texts are encoded,
+    however long: a text in one unbroken word takes a few bytes of memory a character. Rows are independent: no shuffle. model_path is read on every node. With verify there are
     also n_pieces (0 for null) and decodes_back: whether decoding the ids gives the text again (the model keeps no
     difference between a space and its space mark, so both count as a space).
     """
@@ -281,8 +356,8 @@ def encode_pieces(docs: DataFrame, model_path: str, column: str = "text", verify
 
     names = ["piece_ids", "n_pieces", "decodes_back"] if verify else ["piece_ids"]
     rows = docs.drop(*names)
-    kinds = ["array<int>", "long", "boolean"]
-    return rows.mapInArrow(run, ", ".join([_ddl(rows), *[f"{n} {k}" for n, k in zip(names, kinds, strict=False)]]))
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType()]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]]))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -298,11 +373,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     rows = encoded.drop(into)
-    return rows.mapInArrow(run, f"{_ddl(rows)}, {into} string")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def _parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
