@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialise, partitions
+from .common import fresh, materialise, partitions, with_long_id
 
 #: Least length of a key in code points, and the number of documents from which on it is a shared line.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -27,7 +27,7 @@ def line_key(line: str) -> str:
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for every line with a key of at least min_chars: 128-bit key hash, doc (null id: smallest), version (hash
+    """A row for every line of docs (doc long, text) with a key of at least min_chars: 128-bit key hash, doc, version (hash
     of the whole text, which tells rows of one id apart) and line number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,8 +46,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs_, pa.int64()), pa.array(versions, pa.int64()), pa.array(where, pa.int32())], ["h1", "h2", "doc", "version", "pos"])
 
-    rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text", F.xxhash64("text"))
-    return rows.mapInArrow(run, _ROW)
+    return docs.where("text is not null").select("doc", "text", F.xxhash64("text")).mapInArrow(run, _ROW)
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -55,8 +54,7 @@ def _runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], window: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
-    """The sorted rows of a partition in pieces of about window rows, with the number of documents so far and the
-    first document of the key that a piece goes on with: (h1, h2, doc, version, pos)."""
+    """The sorted rows of a partition in pieces of about window rows: (h1, h2, doc, version, pos)."""
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -69,120 +67,84 @@ def _stream(batches: Iterator[pa.RecordBatch], window: int = 1 << 18) -> Iterato
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int]]:
-    """(h1, h2, documents, largest document) of every key of a sorted partition, in order; a key's rows are never
-    held, only counted."""
-    last: list | None = None
-    final_doc = None
-    for h1, h2, doc, _, _ in _stream(batches):
-        starts = _runs(h1, h2)
-        new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-        new_doc[starts] = True
-        counts = np.add.reduceat(new_doc.astype(np.int64), starts)
-        for k, (s, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-            key = (int(h1[s]), int(h2[s]))
-            if k == 0 and last is not None and (last[0], last[1]) == key:
-                last[2] += n - (final_doc == int(doc[s]))
-                continue
-            if last is not None:
-                yield tuple(last)
-            last = [*key, n, int(doc[s])]
-        final_doc = int(doc[-1])
-    if last is not None:
-        yield tuple(last)
-
-
 def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, version, pos) of the lines to drop: those of keys in at least min_docs documents, but for the largest.
 
     lines is range-partitioned by (key hash, document, largest first) and sorted within partitions by these and by
-    position, so that the first document of a key comes first and is the one that stays. A key in very many
-    documents spans partitions. A first pass streams each partition and sums up its first and its last key (no more
-    than two rows a partition, so the sum is small and is broadcast); a second pass streams again and drops. Rows of
-    one key and document never lie in two partitions.
+    position, so that the first document of a key comes first and is the one that stays. The rows stream by once. A key
+    that ends where it began is decided there; a key in very many documents may span partitions, so the rows of a
+    partition's first key, and of its last one while that has too few documents, are put off: they are decided by the sum
+    over partitions of what each has of its first and its last key (no more than two rows a partition, so it is
+    broadcast). Rows of one key and document never lie in two partitions.
     """
-    spark = lines.sparkSession
     order = [F.col("h1").asc(), F.col("h2").asc(), F.col("doc").desc()]
-    placed = materialise(lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "version", "pos").withColumn("part", F.spark_partition_id()), "lines-sorted")
-    # the stored files may be read in other splits, so each is sorted again as one stream by its partition number
-    streams = placed.repartition(partitions(spark), "part").sortWithinPartitions("part", *order, "version", "pos")
+    placed = lines.repartitionByRange(partitions(lines.sparkSession), *order).sortWithinPartitions(*order, "version", "pos")
 
-    def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-        for batch in batches:
-            part = batch.column(5).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(part)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    yield int(part[a]), batch.slice(a, b - a)
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _by_part(per_part(batches)):
-            first = last = None
-            for s in _summaries(rows):
-                first, last = first or s, s
-            out += [first] if first is last else [first, last]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], ["h1", "h2", "docs", "top"])
-
-    ends = streams.mapInArrow(edges, "h1 long, h2 long, docs long, top long").groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
-    sent = spark.sparkContext.broadcast({(r.h1, r.h2): (r.docs, r.top) for r in ends.collect()})
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = sent.value
-        for rows in _by_part(per_part(batches)):
-            waiting: list[tuple] = []  # rows of a key whose documents are still fewer than min_docs
-            key, n, top, last_doc, known = None, 0, None, None, False
-            for h1, h2, doc, version, pos in _stream(rows):
-                out = np.zeros(len(h1), bool)
-                starts = _runs(h1, h2)
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h1)], strict=True):
-                    now = (int(h1[s]), int(h2[s]))
-                    if now != key:
-                        waiting, key, last_doc = [], now, None
-                        n, top = whole.get(now, (0, int(doc[s])))
-                        known = now in whole
-                    if not known and n < min_docs:
-                        own = doc[s:e]
-                        n += int((own[1:] != own[:-1]).sum()) + (last_doc != int(own[0]))
-                        last_doc = int(own[-1])
-                    if n >= min_docs:
-                        if waiting:
-                            early = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
-                            yield _drops(early[0], early[1], early[2], early[0] != top)
-                            waiting = []
-                        out[s:e] = doc[s:e] != top
-                    elif not known and e == len(h1):
-                        waiting.append((doc[s:e].copy(), version[s:e].copy(), pos[s:e].copy()))
-                yield _drops(doc, version, pos, out)
-
-    return streams.mapInArrow(drop, "doc long, version long, pos int")
-
-
-def _by_part(pieces: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[Iterator[pa.RecordBatch]]:
-    """A stream of batches for each partition number of a stream that is sorted by it."""
-    import itertools
-
-    for _, group in itertools.groupby(pieces, key=lambda x: x[0]):
-        yield (rows for _, rows in group)
-
-
-def _drops(doc: np.ndarray, version: np.ndarray, pos: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(version[which]), pa.array(pos[which])], ["doc", "version", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, n, top, last_doc = None, True, 0, None, None
+        waiting: list[tuple] = []  # rows of a key whose documents are still fewer than min_docs
+
+        def edge() -> Iterator[pa.RecordBatch]:
+            yield _rows(EDGE, *(np.array([x], np.int64) for x in (*key, n, top, 0)))
+
+        for h1, h2, doc, version, pos in _stream(batches):
+            out, off = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
+            starts = _runs(h1, h2)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h1)], strict=True):
+                now = (int(h1[s]), int(h2[s]))
+                if now != key:
+                    if key is not None and first:
+                        yield from edge()
+                    first, waiting, last_doc, n, top = key is None, [], None, 0, int(doc[s])
+                    key = now
+                own = doc[s:e]
+                n += int((own[1:] != own[:-1]).sum()) + (last_doc != int(own[0]))
+                last_doc = int(own[-1])
+                if first:
+                    off[s:e] = True
+                elif n >= min_docs:
+                    if waiting:
+                        early = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                        which = early[2] != top
+                        yield _rows(DROP, *(x[which] for x in early))
+                        waiting = []
+                    out[s:e] = own != top
+                elif e == len(h1):
+                    waiting.append(tuple(x[s:e].copy() for x in (h1, h2, doc, version, pos)))
+            yield _rows(DROP, *(x[out] for x in (h1, h2, doc, version, pos)))
+            yield _rows(LATER, *(x[off] for x in (h1, h2, doc, version, pos)))
+        if waiting:
+            yield _rows(LATER, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
+        if key is not None:
+            yield from edge()
+
+    found = materialise(placed.mapInArrow(run, f"what int, {_ROW}"), "lines-found")
+    edges = found.where(F.col("what") == EDGE).groupBy("h1", "h2").agg(F.sum("doc").alias("docs"), F.max("version").alias("top"))
+    later = found.where(F.col("what") == LATER).join(F.broadcast(edges.where(F.col("docs") >= min_docs)), ["h1", "h2"]).where("doc <> top")
+    return found.where(F.col("what") == DROP).select("doc", "version", "pos").unionByName(later.select("doc", "version", "pos"))
+
+
+#: Kinds of rows that a partition tells: a line to drop, a line to decide later, and (documents, largest) of an edge key.
+DROP, LATER, EDGE = 0, 1, 2
+
+
+def _rows(what: int, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, version: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), what, np.int32)), *[pa.array(x) for x in (h1, h2, doc, version)], pa.array(pos.astype(np.int32))], ["what", "h1", "h2", "doc", "version", "pos"])
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, version, bitmap) of the documents that lose lines: a compressed bitmap with a bit for each line up to the
-    last that is dropped, set where the line is dropped. Documents that keep all their lines have no row; texts are
-    not returned. doc is the doc_id (null: the smallest long), version the hash of the text."""
-    dropped = dropped_lines(materialise(hashed_lines(docs, min_chars), "lines"), min_docs)
-    lists = dropped.groupBy("doc", "version").agg(F.collect_list("pos").alias("at"))
+    """(doc, version, bitmap) of the documents of docs (doc long, text) that lose lines: a compressed bitmap with a bit for
+    each line up to the last that is dropped, set where the line is kept; all later lines are kept. Documents that keep all
+    their lines have no row; texts are not returned. version is the hash of the text."""
+    lines = materialise(hashed_lines(docs, min_chars), "lines")
+    lists = dropped_lines(lines, min_docs).groupBy("doc", "version").agg(F.collect_list("pos").alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
             for at in batch.column(2).to_pylist():
-                bits = np.zeros(max(at) + 1, np.uint8)
-                bits[at] = 1
+                bits = np.ones((max(at) + 8) // 8 * 8, np.uint8)
+                bits[at] = 0
                 maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["doc", "version", "bitmap"])
 
@@ -190,14 +152,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def dropped_positions(bitmap: bytes | None) -> list[int]:
-    return np.nonzero(np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8)))[0].tolist() if bitmap else []
+    return np.nonzero(np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8)) == 0)[0].tolist() if bitmap else []
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with its bitmap in the added column __bitmap (null: keeps all lines)."""
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("bitmap").alias("__bitmap"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__version"))
-    return docs.join(marks, same, "left").drop("__doc", "__version")
+def _with_bitmaps(docs: DataFrame, columns: list[str], min_chars: int, min_docs: int) -> DataFrame:
+    """The columns of docs and, last, the bitmap of each row (null: keeps all lines)."""
+    own = fresh(docs, "doc")
+    keyed = with_long_id(docs, own)
+    maps = keep_bitmaps(keyed.select(F.col(own).alias("doc"), "text"), min_chars, min_docs)
+    names = [fresh(keyed, n) for n in ("doc_of_map", "version_of_map", "bitmap")]
+    maps = maps.toDF(*names)
+    joined = keyed.join(maps.hint("merge"), (F.col(own) == F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], names[2])
 
 
 def _kept(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
@@ -206,8 +172,13 @@ def _kept(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
     return ("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text), len(lines), len(gone)
 
 
-def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs; a null or empty text is one empty line."""
+def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs (doc_id of any type, text) once the shared lines are gone.
+
+    A null or empty text is one empty line. A null id counts as smaller than any; rows that share an id are one document
+    where documents are counted, and each loses its own lines. Repeated rows give repeated results; whole texts are looked
+    at, however long; other columns are ignored, whatever their names; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,15 +188,15 @@ def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    rows = with_bitmaps(docs.select("doc_id", "text"), bitmaps)
+    rows = _with_bitmaps(docs.select("doc_id", "text"), ["doc_id", "text"], min_chars, min_docs)
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the shared lines taken out of text (null stays null); every other column and row as before, but
-    n_chars, where there is one, is the length of the new text."""
-    marked = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    names = [f.name for f in docs.schema.fields]
+    """docs with the shared lines taken out of text (null stays null); every other column and row as before, whatever its
+    name, but n_chars, where there is one, is the length of the new text. Odd rows fare as in digest()."""
+    names = docs.columns
+    marked = _with_bitmaps(docs, names, min_chars, min_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,10 +204,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             maps = batch.column(len(names)).to_pylist()
             if any(maps):
                 texts = columns["text"].to_pylist()
-                columns["text"] = pa.array([_kept(t, b)[0] if b else t for t, b in zip(texts, maps, strict=True)], pa.string())
+                columns["text"] = pa.array([_kept(t, b)[0] if b else t for t, b in zip(texts, maps, strict=True)], columns["text"].type)
                 if "n_chars" in columns:
                     old = columns["n_chars"].to_pylist()
                     columns["n_chars"] = pa.array([len(t) if b else n for t, b, n in zip(columns["text"].to_pylist(), maps, old, strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return marked.select(*[F.col(f"`{n}`") for n in names], "__bitmap").mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)
