@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import NULL_ID, connected_components, join_by_key, materialise, with_long_id
 from .hnsw import BATCH, Graph
 
 #: Cosine from which on vectors are linked; cosine to its leader from which on a vector is kept in the leader's list.
 THRESHOLD, LEADER = 0.95, 0.98
-#: Vectors of a shard at most (about), and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 65_536, 8
-#: Share of audit queries that a beam must find, the first beam, audit queries of a shard, and their cosine.
+#: Bytes of a shard's vectors (about; 8 a component), and shards at least.
+SHARD_BYTES, LEAST_SHARDS = 1 << 25, 8
+#: Share of the audited links, and of turned leaders, that a beam must find, the first beam, audit queries of a shard (stored
+#: ones, and again foreign ones), and the cosine of turned leaders.
 RECALL, FIRST_BEAM, AUDITS, AUDIT_COSINE = 0.98, 16, 200, 0.88
 _CELLS = 1 << 21
 
@@ -37,7 +38,12 @@ class Shard:
         order = np.argsort(leader_of, kind="stable")
         cuts = np.searchsorted(leader_of[order], np.arange(len(self.graph) + 1))
         self.members = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.width = self._audit()
+        self.leader_of = leader_of
+        self.width = FIRST_BEAM
+        self._audit_turned()
+        own = np.random.default_rng(12).choice(len(ids), min(len(ids), AUDITS), replace=False)
+        self.audit_links(vectors[own], ids[own])
+        self.strangers = AUDITS  # foreign queries that are still to be audited
 
     def _insert(self, rows: np.ndarray, leader_of: np.ndarray) -> None:
         own = self.vectors[rows].astype(np.float32)
@@ -58,8 +64,8 @@ class Shard:
         if fresh:
             self.graph.add(own[fresh])
 
-    def _audit(self) -> int:
-        """The beam that finds RECALL of the audit queries' own leaders: leaders turned by noise to AUDIT_COSINE."""
+    def _audit_turned(self) -> None:
+        """Widen the beam until it finds RECALL of leaders that noise has turned to AUDIT_COSINE."""
         n = len(self.graph)
         rng = np.random.default_rng(11)
         own = rng.choice(n, min(n, AUDITS), replace=False)
@@ -68,12 +74,26 @@ class Shard:
         noise -= np.einsum("qd,qd->q", noise, base)[:, None] * base
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-9)
         queries = AUDIT_COSINE * base + np.sqrt(1 - AUDIT_COSINE**2) * noise
-        width = FIRST_BEAM
-        while True:
-            _, found = self.graph.search(queries, width)
-            if (found == own[:, None]).any(1).mean() >= RECALL or width >= n:
-                return width
-            width *= 2
+        while self.width < n:
+            _, found = self.graph.search(queries, self.width)
+            if (found == own[:, None]).any(1).mean() >= RECALL:
+                return
+            self.width *= 2
+
+    def audit_links(self, queries: np.ndarray, ids: np.ndarray) -> None:
+        """Widen the beam until it finds RECALL of the links that brute force finds between the queries and the shard."""
+        want = []
+        step = max(1, _CELLS // max(1, len(queries)))
+        for s in range(0, len(self.ids), step):
+            rows, cols = np.nonzero(queries @ self.vectors[s : s + step].T >= THRESHOLD)
+            other = ids[rows] != self.ids[s + cols]
+            want.append(rows[other] * len(self.graph) + self.leader_of[s + cols[other]])
+        want = np.concatenate([*want, np.zeros(0, np.int64)])
+        while len(want) and self.width < len(self.graph):
+            rows, leaders = self.leaders_near(queries)
+            if np.isin(want, rows * len(self.graph) + leaders).mean() >= RECALL:
+                return
+            self.width *= 2
 
     def leaders_near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, leader) pairs within reach; the beam of a query that is full of such leaders is widened."""
@@ -91,6 +111,10 @@ class Shard:
         """Links of each query to this shard's vectors (copies count by weight), and edges that connect what is linked.
         Links of the shard's vectors to foreign queries are added to self.links."""
         links, edges = np.zeros(len(ids), np.int64), []
+        if not own and self.strangers:
+            some = min(self.strangers, len(ids))
+            self.audit_links(queries[:some], ids[:some])
+            self.strangers -= some
         for s in range(0, len(ids), BATCH):
             which, leaders = self.leaders_near(queries[s : s + BATCH])
             order = np.argsort(leaders, kind="stable")
@@ -137,14 +161,20 @@ def usable(column: str = "embedding") -> str:
 
 def near_links(classes: DataFrame) -> DataFrame:
     """(node, links, root): for each distinct vector (id, embedding, weight) rows whose links sum up to the weight of
-    the vectors linked to it, and rows with an edge to root (else null)."""
-    shards = max(LEAST_SHARDS, -(-classes.count() // SHARD_ROWS))
-    base = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    # each pair of shards meets once: a shard is sought in the half of the others that follows it in a ring
-    half = F.expr(f"filter(transform(sequence(1, {shards // 2}), d -> struct((shard + d) % {shards} as to, d)), x -> 2 * x.d < {shards} or shard < x.to)")
-    asked = base.withColumn("to", F.explode(half)).select(F.col("to.to").alias("shard"), F.lit(1).alias("role"), "id", "embedding", "weight")
-    rows = base.select("shard", F.lit(0).alias("role"), "id", "embedding", "weight").unionByName(asked)
-    placed = rows.repartition(4 * shards, "shard").sortWithinPartitions("shard", "role", "id")
+    the vectors linked to it, and rows with an edge to root (else null).
+
+    Vectors of one length are dealt by hash into shards of about SHARD_BYTES, and each pair of shards meets once: the
+    vectors of one are sought in the graph of the other."""
+    sized = classes.withColumn("size", F.size("embedding"))
+    shards = F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") * F.col("size") * 8 / SHARD_BYTES)).cast("int").alias("shards")
+    sizes = sized.groupBy("size").agg(F.count("*").alias("n")).select("size", shards)
+    total = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    base = sized.join(sizes, "size").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    # a shard is sought in the half of the others that follows it in a ring
+    half = F.expr("filter(transform(sequence(1, int(shards / 2)), d -> struct((shard + d) % shards as to, d)), x -> 2 * x.d < shards or shard < x.to)")
+    asked = base.withColumn("to", F.explode(half)).select("size", F.col("to.to").alias("shard"), F.lit(1).alias("role"), "id", "embedding", "weight")
+    rows = base.select("size", "shard", F.lit(0).alias("role"), "id", "embedding", "weight").unionByName(asked)
+    placed = rows.repartition(max(1, 4 * total), "size", "shard").sortWithinPartitions("size", "shard", "role", "id")
 
     def out(node: np.ndarray, links: np.ndarray, root: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.nulls(len(node), pa.int64()) if root is None else pa.array(root, pa.int64())], ["node", "links", "root"])
@@ -175,21 +205,21 @@ def near_links(classes: DataFrame) -> DataFrame:
                 yield out(shard.ids[some], shard.links[some], None)
 
         for batch in batches:
-            keys = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
-            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                part = batch.slice(a, b - a)
-                if number != int(keys[a]) >> 1:
+                part, where, role = batch.slice(a, b - a), tuple(keys[a, :2].tolist()), int(keys[a, 2])
+                if number != where:
                     yield from closed()
-                    number, held, shard = int(keys[a]) >> 1, [], None
-                ids, weights = part.column(2).to_numpy(), part.column(4).to_numpy()
-                flat = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                    number, held, shard = where, [], None
+                ids, weights = part.column(3).to_numpy(), part.column(5).to_numpy()
+                flat = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
                 # scaled first: squares of very large or small components would overflow or vanish
                 flat = flat / np.abs(flat).max(1, keepdims=True)
                 flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-                if int(keys[a]) & 1 == 0:
+                if role == 0:
                     held.append((ids, flat, weights))
                     continue
                 if held:
@@ -205,27 +235,35 @@ def near_links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id of any type, embedding).
 
-    Vectors are linked at a cosine, in double precision, of 0.95 or more; those that are null, empty, zero, or hold a
-    null or non-finite component link with nothing. Vectors of different lengths are never compared. n_links counts
+    Vectors are linked at a cosine, in double precision, of 0.95 or more, ties included; those that are null, empty, zero, or
+    hold a null or non-finite component link with nothing. Vectors of different lengths are never compared. n_links counts
     the other rows that were found linked to a row, component_id is the smallest vec_id that links reach, and kept
-    says whether that is the row itself. Equal vectors are one node with a weight; repeated rows link to each other.
-    Every vector is indexed; the graphs may miss some links (see the README for the recall), and none is made up.
+    says whether that is the row itself. Equal vectors (by 128 bits of hash) are one node with a weight; repeated rows link to
+    each other. A null vec_id names no component: such a row counts as a link of others with its vector's weight, and its own
+    component_id is that of its vector, null if there is none. Other columns are ignored, whatever their names; an empty table
+    gives an empty result. Every vector is indexed; the graphs may miss some links (see the README for the recall), and none
+    is made up.
     """
-    good = vectors.where(usable()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    classes = materialise(good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("weight")).where("id is not null"), "vector-classes")
-    found = None
-    for size in [r[0] for r in classes.select(F.size("embedding").alias("n")).distinct().collect()]:
-        part = near_links(classes.where(F.size("embedding") == size))
-        found = part if found is None else found.unionByName(part)
-    rows = vectors.select("vec_id", F.when(F.expr(usable()), F.col("embedding").cast("array<double>")).alias("embedding"))
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialise(found, "vector-links")
+    kind = vectors.schema["vec_id"].dataType
+    own = with_long_id(vectors.select("vec_id", "embedding"), "own", "vec_id")
+    doubles = F.col("embedding").cast("array<double>")
+    key = F.when(F.expr(usable()), F.concat(F.hex(F.xxhash64(doubles)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), doubles))))
+    rows = own.select("vec_id", "own", "embedding", key.alias("key"))
+    named = F.col("own") != NULL_ID
+    grouped = rows.where("key is not null").groupBy("key").agg(F.min(F.when(named, F.col("own"))).alias("id"), F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
+    classes = materialise(grouped, "vector-classes")
+    found = materialise(near_links(classes.where("id is not null").select("id", "embedding", "weight")), "vector-links")
     links = found.where("root is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = connected_components(found.where("root is not null"), "node", "root")
-    named = classes.join(links, F.col("id") == links.node, "left").drop("node").join(roots, F.col("id") == roots.node, "left").select("embedding", F.coalesce("n_links", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("component"))
-    joined = rows.alias("r").join(named.alias("c"), F.col("r.embedding") == F.col("c.embedding"), "left")
+    joined = classes.drop("embedding").join(links.hint("merge"), F.col("id") == links.node, "left").drop("node").join(roots.hint("merge"), F.col("id") == roots.node, "left").drop("node")
+    labelled = joined.select("key", "first", "weight", F.coalesce("n_links", F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
+    lowest = labelled.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    known = join_by_key(labelled.where("root is not null"), lowest, "root", F.col("size"), classes.count()).select("key", "weight", "n", "component")
+    nameless = labelled.where("root is null").select("key", "weight", "n", F.lit(None).cast(kind).alias("component"))
+    by_key = materialise(known.unionByName(nameless), "vector-components")
+    good = join_by_key(rows.where("key is not null").select("vec_id", "key"), by_key, "key", F.col("weight"), rows.count()).select("vec_id", "n", "component")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return good.unionByName(alone).select("vec_id", F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
