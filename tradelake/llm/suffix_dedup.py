@@ -7,8 +7,9 @@ windows have equal anchors, and neighbouring windows share one. The windows of o
 
   pass 1  digits: the 24 bytes at the anchor, 8 at a time, then a digest of the block. Blocks equal to one in a smaller
           document are covered whole. Anchors with more than one block go on.
-  pass 2  digits: the 50 bytes of every window of those blocks, 8 at a time. Windows that also start in a smaller
-          document are covered.
+  pass 2  digits: the 50 bytes of every window of those blocks, 8 at a time, turned so that the anchor comes first (which
+          keeps windows of one anchor together) and then its place. Windows that also start in a smaller document are
+          covered.
 
 In both passes the shuffle is the leading digits: a bucket is a range of byte strings in order, cut at quantiles of a
 sample so that buckets are of one size (which changes the cost and no result), and there are as many as the data need.
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ PIECE, PIECES, ENTRIES = 1 << 20, 4, 300_000
 #: Bytes of entries in a bucket and read by a task (about), ranges that are cut from the sample, and bytes of it.
 BUCKET, TASK, RANGES, SAMPLE = 8_000_000, 64_000_000, 4096, 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_REPLY = "doc long, start long, length int, open boolean"
-#: Bytes of an entry beside its key: document, start, length.
-_ENTRY = 8 + 5 + 1
+_REPLY = "doc long, start long, length int, anchor int, open boolean"
+#: Bytes of an entry beside its key: document, start, length, offset of the anchor.
+_ENTRY = 8 + 5 + 1 + 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,10 +95,17 @@ def anchored_blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...
     return own[new].astype(np.int64), _string_hash(hashes[32], first, length), first, length
 
 
-def bytes_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The size bytes at each position as big-endian words of 8 bytes, the last filled up with zeros."""
-    out = np.zeros((len(at), -(-size // 8) * 8), np.uint8)
-    out[:, :size] = data[at[:, None] + np.arange(size)]
+def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The GRAM bytes at each position as big-endian words of 8 bytes."""
+    return data[at[:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64)
+
+
+def windows_at(data: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The window at each position as big-endian words of 8 bytes: its bytes from the anchor on, those before it, and the
+    anchor's offset; filled up with zeros."""
+    out = np.zeros((len(at), -(-(WINDOW + 1) // 8) * 8), np.uint8)
+    out[:, :WINDOW] = data[at[:, None] + (anchor[:, None] + np.arange(WINDOW)) % WINDOW]
+    out[:, WINDOW] = anchor
     return out.view(">u8").astype(np.uint64)
 
 
@@ -152,24 +161,32 @@ def _bytes(values: np.ndarray, size: int, kind: str = ">u8") -> np.ndarray:
     return values.astype(kind).view(np.uint8).reshape(-1, 8)[:, 8 - size :]
 
 
-def _packed(words: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
-    """Byte columns one after the other: slowly changing bytes lie together, and the shuffle's compression takes them."""
-    columns = [words.astype(">u8").view(np.uint8).reshape(len(words), -1), _bytes(doc, 8, ">i8"), _bytes(start, 5), _bytes(length, 1)]
-    return np.concatenate(columns, axis=1).T.tobytes()
+def _text_words(width: int) -> int:
+    """How many words of a key are text: an anchor's key ends with a digest, a window's does not."""
+    return min(width, GRAM // 8) if width == GRAM // 8 + 1 else width
 
 
-def _unpacked(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(words, doc, start, length) of packed rows with keys of width words."""
-    k = 8 * width
-    m = np.concatenate([np.frombuffer(b, np.uint8).reshape(k + _ENTRY, -1) for b in blobs], axis=1)
+def _packed(words: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """Compressed keys row by row, then the bytes of the other columns one after the other: what changes slowly lies together."""
+    columns = [_bytes(doc, 8, ">i8"), _bytes(start, 5), _bytes(length, 1), _bytes(anchor, 1)]
+    text, rest = words[:, : _text_words(words.shape[1])], words[:, _text_words(words.shape[1]) :]
+    return pack.compress(text.astype(">u8").tobytes() + rest.astype(">u8").tobytes() + np.concatenate(columns, axis=1).T.tobytes())
 
-    def number(a: int, b: int) -> np.ndarray:
-        full = np.zeros((m.shape[1], 8), np.uint8)
-        full[:, 8 - (b - a) :] = m[a:b].T
-        return full.view(">u8").ravel().astype(np.uint64)
 
-    words = np.stack([number(8 * i, 8 * i + 8) for i in range(width)], axis=1)
-    return words, number(k, k + 8).view(np.int64), number(k + 8, k + 13).astype(np.int64), m[k + 13].astype(np.int64)
+def _unpacked(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(words, doc, start, length, anchor) of packed rows with keys of width words."""
+    out, unpack = [], zstandard.ZstdDecompressor()
+    own = _text_words(width)
+    for blob in blobs:
+        raw = np.frombuffer(unpack.decompress(blob), np.uint8)
+        n = len(raw) // (8 * width + _ENTRY)
+        text, rest = raw[: 8 * own * n].view(">u8").reshape(n, own), raw[8 * own * n : 8 * width * n].view(">u8").reshape(n, width - own)
+        m = raw[8 * width * n :].reshape(_ENTRY, n)
+        full = np.zeros((2, n, 8), np.uint8)
+        full[0], full[1, :, 3:] = m[:8].T, m[8:13].T
+        numbers = full.view(">i8")[:, :, 0].astype(np.int64)
+        out.append((np.concatenate([text, rest], axis=1).astype(np.uint64), numbers[0], numbers[1], m[13].astype(np.int64), m[14].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -185,8 +202,11 @@ def _spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.n
     return doc[new], start[new], reach[np.concatenate([new[1:] - 1, [len(doc) - 1]])] - start[new]
 
 
-def _reply(doc: np.ndarray, start: np.ndarray, length: np.ndarray, open_: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int32)), pa.array(np.full(len(doc), open_))], ["doc", "start", "length", "open"])
+def _reply(doc: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray | None = None) -> pa.RecordBatch:
+    """Covered ranges, or with an anchor those that go on."""
+    open_ = anchor is not None
+    columns = [pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(anchor.astype(np.int32)) if open_ else pa.nulls(len(doc), pa.int32()), pa.array(np.full(len(doc), open_))], ["doc", "start", "length", "anchor", "open"])
 
 
 def _lowest(doc: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -195,43 +215,43 @@ def _lowest(doc: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _digit_pass(entries: DataFrame, split: Callable, ranges: Ranges, width: int, leading: int, tasks: int, name: str, blocks: bool) -> DataFrame:
-    """(doc, start, length, open): covered ranges, and with blocks those that go on to the next pass (open).
+    """(doc, start, length, anchor, open): covered ranges, and with blocks those that go on to the next pass (open).
 
-    split turns the batches of entries into (words, doc, start, length) arrays with keys of width words, of which the
-    leading ones are the anchor's.
+    split turns the batches of entries into (words, doc, start, length, anchor) arrays with keys of width words, of which
+    the leading ones are the anchor's.
     """
     sent_ranges = entries.sparkSession.sparkContext.broadcast(ranges)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a bucket's entries, of the smallest document here for each key. The others are covered for certain and
         need no meeting: they go, as whole runs, to no bucket (-1) and stay spread."""
-        own = sent_ranges.value
+        own, pack = sent_ranges.value, zstandard.ZstdCompressor(level=1)
         spread = 0
-        for words, doc, start, length in split(batches):
-            if not len(doc):
+        for arrays in split(batches):
+            if not len(arrays[1]):
                 continue
-            order, head = radix_groups(words)
-            words, doc, start, length = words[order], doc[order], start[order], length[order]
+            order, head = radix_groups(arrays[0])
+            words, doc, start, length, anchor = (x[order] for x in arrays)
             over = doc != _lowest(doc, head)
             rows = []
             if over.any():
                 d, s, n = _spans(doc[over], start[over], length[over])
                 rows.append((-1, int(d[0]) + spread, np.stack([d, s, n]).tobytes()))
                 spread += 1
-            words, doc, start, length = (x[~over] for x in (words, doc, start, length))
-            bucket = own.of(words, leading)
-            by = np.argsort(bucket, kind="stable")
-            words, doc, start, length, bucket = words[by], doc[by], start[by], length[by], bucket[by]
+            bucket = own.of(words[~over], leading)
+            by = np.nonzero(~over)[0][np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket, kind="stable")
             cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(bucket)]
-            rows += [(int(bucket[a]), int(bucket[a]), _packed(words[a:b], doc[a:b], start[a:b], length[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rows.append((int(bucket[a]), int(bucket[a]), _packed(*(x[by[a:b]] for x in (words, doc, start, length, anchor)), pack)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "place", "blob"])
 
     def met(blobs: list[bytes], several: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words, doc, start, length = _unpacked(blobs, width)
-        order, head = radix_groups(words)
-        words, doc, start, length = words[order], doc[order], start[order], length[order]
+        arrays = _unpacked(blobs, width)
+        order, head = radix_groups(arrays[0])
+        words, doc, start, length, anchor = (x[order] for x in arrays)
         over = doc != _lowest(doc, head)
-        yield _reply(doc[over], start[over], length[over], False)
+        yield _reply(doc[over], start[over], length[over])
         if blocks:
             first = np.nonzero(head)[0]
             gram = np.zeros(len(doc), bool)
@@ -241,7 +261,7 @@ def _digit_pass(entries: DataFrame, split: Callable, ranges: Ranges, width: int,
             going &= np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
             going |= np.isin(_keys(words[at, :leading]), several)
             going = ~over & going[np.cumsum(gram) - 1]
-            yield _reply(doc[going], start[going], length[going], True)
+            yield _reply(doc[going], start[going], length[going], anchor[going])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket; only one bucket is held at a time."""
@@ -250,7 +270,7 @@ def _digit_pass(entries: DataFrame, split: Callable, ranges: Ranges, width: int,
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket < 0:
-                    yield _reply(*np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1), False)
+                    yield _reply(*np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1))
                     continue
                 if bucket != now and blobs:
                     yield from met(blobs, several)
@@ -294,7 +314,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         at, digest, first, length = anchored_blocks(data, ends)
         row = np.searchsorted(ends, first, side="right")
         base = np.concatenate([[0], ends[:-1]])
-        held.append((np.column_stack([bytes_at(data, at, GRAM), digest]), doc[row], first - base[row] + offset[row], length))
+        held.append((np.column_stack([grams_at(data, at), digest]), doc[row], first - base[row] + offset[row], length, at - first))
         if len(held) >= PIECES:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
             held = []
@@ -309,7 +329,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
     for batch in batches:
         data, ends = utf8_slices(batch.column(1))
         lists = batch.column(2)
-        begin, length = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        begin, length, anchor = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
         row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
         docs = batch.column(0).to_numpy(zero_copy_only=False)
         # rows of one id may differ in length, so a block may not fit
@@ -319,9 +339,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         while lo < len(count):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + ENTRIES, side="right")))
             c = count[lo:hi]
-            start = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[lo:hi], c)
-            own = np.repeat(row[lo:hi], c)
-            held.append((bytes_at(data, ends[own] + start, WINDOW), docs[own], start, np.full(len(start), WINDOW)))
+            step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            start, own = step + np.repeat(begin[lo:hi], c), np.repeat(row[lo:hi], c)
+            held.append((windows_at(data, ends[own] + start, np.repeat(anchor[lo:hi], c) - step), docs[own], start, np.full(len(start), WINDOW), np.zeros(len(start), np.int64)))
             size, lo = size + len(start), hi
             if size >= ENTRIES:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -335,7 +355,7 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    size = total * (8 * 4 + _ENTRY) // ((WINDOW - GRAM + 2) // 2)
+    size = int(total) * (GRAM + 8 + _ENTRY) // ((WINDOW - GRAM + 2) // 2)
     tasks = max(partitions(spark), -(-size // TASK))
     buckets = max(8 * tasks, -(-size // BUCKET))
     # only for the cuts between buckets, so what one text adds is bounded
@@ -343,10 +363,10 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
     grams, strings = [np.zeros((0, 4), np.uint64)], [np.zeros((0, 7), np.uint64)]
     for data, ends, _, _ in _pieces(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int64)), b.column(0)], ["doc", "text"]) for b in some.to_batches()):
         at, digest, first, _ = anchored_blocks(data, ends)
-        grams.append(np.column_stack([bytes_at(data, at, GRAM), digest]))
-        strings.append(bytes_at(data, first, WINDOW))
+        grams.append(np.column_stack([grams_at(data, at), digest]))
+        strings.append(windows_at(data, first, at - first))
     first = _digit_pass(rows, _anchors, Ranges(np.concatenate(grams), buckets, 4), 4, 3, tasks, "suffix-blocks", True)
-    going = first.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("blocks"))
+    going = first.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "length", "anchor")).alias("blocks"))
     again = rows.join(going.hint("merge"), "doc").select("doc", "text", "blocks")
     second = _digit_pass(again, _windows, Ranges(np.concatenate(strings), buckets, 7), 7, 7, tasks, "suffix-windows", False)
     return first.where("not open").unionByName(second).select("doc", "start", "length")
