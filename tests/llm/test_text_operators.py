@@ -77,12 +77,12 @@ def plain_lines(rows):
 
 
 def line_rows(docs):
-    return sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(docs, line_dedup.keep_bitmaps(docs)).collect())
+    return sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(docs).collect())
 
 
 def test_line_dedup(spark, odd, nothing):
     assert line_rows(odd) == plain_lines(ODD)
-    assert line_dedup.digest(nothing, line_dedup.keep_bitmaps(nothing)).count() == 0
+    assert line_dedup.digest(nothing).count() == 0
 
 
 def test_line_dedup_of_a_line_in_most_documents(spark):
@@ -167,7 +167,7 @@ def test_myers_distance_is_the_dynamic_programme_s():
 
 def test_leaks_with_edits(spark, nothing):
     rnd = random.Random(8)
-    items = [(i, "".join(rnd.choices("abcdefghij  ", k=120)).strip()) for i in range(8)] + [(90, "too short"), (91, None)]
+    items = [(i, "".join(rnd.choices("abcdefghij  ", k=120)).strip()) for i in range(8)] + [(90, "Too  short"), (91, None), (92, " ")]
     docs = []
     for d in range(120):
         t = " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(40))
@@ -177,11 +177,12 @@ def test_leaks_with_edits(spark, nothing):
                 leak[rnd.randrange(len(leak))] = rnd.choice(["", "z", "zz"])
             t = t[:50] + "\n " + "".join(leak).upper() + t[50:]
         docs.append((d, t))
-    docs += [(500, None), (501, "")]
+    docs += [(500, None), (501, ""), (502, "far too short, it is"), (503, "not too shorter"), (504, "TOO\nSHORT"), (505, "x" * 3_000_000 + " " + items[3][1])]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     norm = lambda s: " ".join((s or "").lower().split())
-    want = {(d, i) for d, t in docs for i, x in items if x and len(norm(x)) >= 20 and edit_distance(norm(x), norm(t)) <= decontaminate.edit_budget(len(norm(x)))}
+    want = {(d, i) for d, t in docs[:-1] for i, x in items if x and len(norm(x)) >= 20 and edit_distance(norm(x), norm(t)) <= decontaminate.edit_budget(len(norm(x)))}
+    want |= {(502, 90), (504, 90), (505, 3)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()}
     assert got == want and len(want) > 15
     assert {r.doc_id for r in decontaminate.drop_leaks(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
@@ -270,7 +271,8 @@ def test_quality(spark, odd, nothing):
     heads = quality.train(docs, marks)
     got = {r.doc_id: r.kept for r in quality.score(docs, heads).collect()}
     assert np.mean([got[i] == (i % 5 != 0 and i % 7 != 0) for i in range(300, 600)]) > 0.97
-    kept = quality.keep_good(docs, heads)
+    assert {r.doc_id: r.kept for r in quality.classify(docs, marks).collect()} == got
+    kept = quality.keep_good(docs, marks)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
     assert quality.score(odd, heads).count() == len(ODD) and quality.score(nothing, heads).count() == 0
     empty = quality.train(docs, marks.where("false"))
