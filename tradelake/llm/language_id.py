@@ -1,10 +1,13 @@
 """Language identification by prediction by partial matching.
 
-Every language has a byte context tree of variable order: contexts of up to ORDER bytes that make up at least
-MIN_SHARE of the language's bytes. A byte's probability in a context follows escape method C: c / (n + d) if it was
+Every language has a byte context tree of variable order: the contexts of up to ORDER bytes that it has at least MIN_COUNT
+times, so that the trees grow with the corpus. A byte's probability in a context follows escape method C: c / (n + d) if it was
 seen there, else the escape d / (n + d) times its share of what the next shorter context gives to the bytes not seen
 here, down to a uniform distribution. The statistics are frozen after training, so a text's code length under a
 language is an exact sum over its bytes, and the shortest code names the language.
+
+A byte that was seen in a context was seen in the shorter ones too, so what a context leaves to unseen bytes is a sum
+over its own bytes: trees are made by joins of counts, and an escape is one number a context.
 """
 
 from __future__ import annotations
@@ -18,21 +21,63 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_slices
-
-#: Longest context in bytes, least share of a language's bytes that a kept context has (so that a language keeps at
-#: most ORDER / MIN_SHARE contexts, whatever the corpus), languages that share a tree, bytes worked on at once.
-ORDER, MIN_SHARE, BLOCK_LANGUAGES, PIECE = 4, 1e-4, 4, 1 << 20
+from .common import discard, materialise, utf8_slices
+
+#: Longest context in bytes, and the least count of a context that is kept.
+ORDER, MIN_COUNT = 4, 4
+#: Bytes worked on at once, and entries of languages' trees that are sent together (about 50 bytes each); more languages are
+#: scored in several passes. Both change the cost and no result.
+PIECE, ENTRIES = 1 << 20, 4_000_000
+
+
+class Index:
+    """Positions of distinct non-negative keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        self.keys, self.at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            s = slot[todo]
+            free = self.keys[s] < 0
+            self.keys[s[free]] = keys[todo[free]]
+            placed = self.keys[s] == keys[todo]
+            self.at[s[placed]] = todo[placed]
+            todo = todo[~placed]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 for those that are not there."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.at[slot], -1)
+        todo = np.nonzero((held != keys) & (held >= 0))[0]
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.at[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
+def _key(k: int | np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return gram | np.int64(k) << 41
 
 
 @dataclass
 class Tree:
-    """The union of the context trees of a few languages: node 1 is the empty context, node 0 is none."""
+    """The context trees of a few languages: code lengths of the bytes that any of them has seen in a context, and what each
+    context adds for the others."""
 
     languages: list[str]
-    classes: np.ndarray  # of each byte value
-    child: np.ndarray  # node, class of the next older byte -> node
-    bits: np.ndarray  # node * classes + class of the byte -> code length for each language
+    grams: Index
+    bits: np.ndarray  # gram, language -> code length of its last byte
+    contexts: Index
+    escapes: np.ndarray  # context, language -> what an unseen byte's code is longer than in the shorter context
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -98,97 +143,132 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> list[Tree]:
-    """Trees from all rows of docs (text, lang) that have both. The driver gets only the contexts that are kept:
-    at most ORDER / MIN_SHARE of them for a language, with at most 256 counts each."""
+def tree_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grams, contexts) of all languages of docs (text, lang): (lang, k, gram, bits) for every byte after a kept context of k
+    bytes, and (lang, k, context, escape)."""
     orders = F.explode(F.array(*[F.lit(k) for k in range(ORDER + 1)]))
-    grams = gram_counts(docs).withColumn("k", orders).select("lang", "k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1)").alias("gram"), "n")
-    grams = grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    contexts = grams.groupBy("lang", "k", F.expr("shiftright(gram, 8)").alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.expr("gram & 255").alias("byte"), "n")).alias("follow"))
-    size = contexts.where("k = 0").select("lang", F.col("total").alias("size"))
-    kept = contexts.join(size, "lang").where(F.col("total") >= MIN_SHARE * F.col("size"))
-    counts: dict[str, list] = {}
-    for r in kept.select("lang", "k", "context", "follow").collect():
-        counts.setdefault(r.lang, []).append((r.k, r.context, r.follow))
-    langs = sorted(counts)
-    return [_tree(langs[i : i + BLOCK_LANGUAGES], counts) for i in range(0, len(langs), BLOCK_LANGUAGES)]
-
-
-def distributions(rows: list) -> dict[tuple[int, int], np.ndarray]:
-    """The probability of each of 256 bytes in each context (length, bytes) of one language."""
-    out: dict[tuple[int, int], np.ndarray] = {(-1, 0): np.full(256, 1 / 256)}
-    for k, context, follow in sorted(rows, key=lambda r: r[0]):
-        c = np.zeros(256)
-        for byte, n in follow:
-            c[byte] = n
-        shorter = out[(k - 1, context & ((1 << 8 * (k - 1)) - 1) if k > 1 else 0)]
-        n, d, seen = c.sum(), (c > 0).sum(), c > 0
-        rest = shorter[~seen].sum()
-        p = c / (n + d) if rest > 0 else c / n
-        if rest > 0:
-            p[~seen] = d / (n + d) * shorter[~seen] / rest
-        out[(k, context)] = p
-    return out
-
-
-def _tree(langs: list[str], counts: dict[str, list]) -> Tree:
-    tables = {lang: distributions(counts[lang]) for lang in langs}
-    nodes = sorted({key for t in tables.values() for key in t if key[0] >= 0})
-    number = {key: i + 1 for i, key in enumerate(nodes)}
-    used = sorted({b for lang in langs for k, context, follow in counts[lang] for b in [x[0] for x in follow] + [context >> 8 * j & 255 for j in range(k)]})
-    classes = np.zeros(256, np.int64)
-    classes[used] = np.arange(1, len(used) + 1)
-    unseen = next((b for b in range(256) if not classes[b]), 0)
-    shown = np.array([unseen, *used])
-    m = len(shown)
-    child = np.zeros((len(nodes) + 1, m), np.int32)
-    bits = np.zeros(((len(nodes) + 1) * m, len(langs)), np.float32)
-    for (k, context), i in number.items():
+    counted = gram_counts(docs).withColumn("k", orders).select("lang", "k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1)").alias("gram"), "n")
+    counted = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).withColumn("context", F.expr("shiftright(gram, 8)"))
+    counted = materialise(counted, "language-grams")
+    kept = counted.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("d")).where(F.col("total") >= MIN_COUNT)
+    seen = materialise(counted.join(kept.hint("merge"), ["lang", "k", "context"]).withColumn("p", F.col("n") / (F.col("total") + F.col("d"))), "language-seen")
+    discard(counted)
+    shorter = seen.select("lang", (F.col("k") + 1).alias("k"), F.col("gram").alias("tail"), F.col("p").alias("short_p"))
+    with_tail = seen.withColumn("tail", F.expr("gram & (shiftleft(1L, 8 * k) - 1)"))
+    joined = with_tail.join(shorter.hint("merge"), ["lang", "k", "tail"], "left")
+    used = joined.groupBy("lang", "k", "context", "total", "d").agg(F.sum(F.coalesce("short_p", F.lit(1 / 256))).alias("used"))
+    rest = F.greatest(1 - F.col("used"), F.lit(1e-12))
+    contexts = used.select("lang", "k", "context", F.log2((F.col("total") + F.col("d")) * rest / F.col("d")).alias("escape"))
+    return seen.select("lang", "k", "gram", (-F.log2("p")).alias("bits")), contexts
+
+
+def train(docs: DataFrame) -> list[Tree]:
+    """Trees from all rows of docs (text, lang) that have both, a few languages in each so that a tree has about ENTRIES
+    grams. Empty tables, null texts and null languages give no trees. The driver gets the kept contexts only."""
+    grams, contexts = (materialise(df, "language-tree") for df in tree_parts(docs))
+    blocks: list[list[str]] = []
+    size = 0
+    for r in sorted(grams.groupBy("lang").count().toLocalIterator(), key=lambda r: r.lang):
+        if not blocks or size + r["count"] > ENTRIES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r.lang)
+        size += r["count"]
+    trees = [_tree(b, *(df.where(F.col("lang").isin(b)).toArrow() for df in (grams, contexts))) for b in blocks]
+    discard(grams, contexts)
+    return trees
+
+
+def _tree(langs: list[str], grams: pa.Table, contexts: pa.Table) -> Tree:
+    number = {lang: i for i, lang in enumerate(langs)}
+
+    def spread(table: pa.Table, name: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        own = _key(table["k"].to_numpy().astype(np.int64), table[name].to_numpy())
+        keys, row = np.unique(own, return_inverse=True)
+        names = table["lang"].combine_chunks().dictionary_encode()
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        column = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(table) else np.zeros(0, np.int64)
+        out = np.full((len(keys), len(langs)), np.nan)
+        out[row, column] = table[value].to_numpy()
+        return keys, out
+
+    keys, bits = spread(grams, "gram", "bits")
+    nodes, escapes = spread(contexts, "context", "escape")
+    escapes = np.nan_to_num(escapes)  # a language that lacks a context goes on with the shorter one
+    index, inner = Index(keys), Index(nodes)
+    order, gram = keys >> 41, keys & ((np.int64(1) << 41) - 1)
+    for k in range(ORDER + 1):
+        own = np.nonzero(order == k)[0]
         if k:
-            parent = number[(k - 1, context & ((1 << 8 * (k - 1)) - 1))]
-            child[parent, classes[context >> 8 * (k - 1)]] = i
-        for j, lang in enumerate(langs):
-            depth = k
-            while (depth, context & ((1 << 8 * depth) - 1)) not in tables[lang]:
-                depth -= 1  # this language keeps only a shorter context
-            bits[i * m : (i + 1) * m, j] = -np.log2(tables[lang][(depth, context & ((1 << 8 * depth) - 1))][shown])
-    return Tree(langs, classes, child, bits)
+            short = bits[index.find(_key(k - 1, gram[own] & ((np.int64(1) << 8 * k) - 1)))]
+        else:
+            short = np.full((len(own), len(langs)), 8.0)
+        more = escapes[inner.find(_key(k, gram[own] >> 8))]
+        bits[own] = np.where(np.isnan(bits[own]), short + more, bits[own])
+    return Tree(langs, index, bits, inner, escapes)
 
 
 def code_lengths(tree: Tree, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bits of each run's own bytes under each language."""
     at = _predicted(len(data), ends)
-    cls = tree.classes[data]
-    m = tree.child.shape[1]
-    flat = tree.child.ravel()
-    now = np.ones(len(at), np.int64)
-    node = now
-    for k in range(1, ORDER + 1):
-        now = flat[now * m + cls[at - k]].astype(np.int64)
-        node = np.where(now > 0, now, node)
-    cost = tree.bits[node * m + cls[at]]
+    gram = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << 8 | data[at - k].astype(np.int64)
+    found = tree.grams.find(_key(ORDER, gram))
+    cost = tree.bits[found]
+    todo = np.nonzero(found < 0)[0]
+    if len(todo):
+        cost[todo] = 0
+    for k in range(ORDER, -1, -1):
+        if not len(todo):
+            break
+        own = gram[todo] & ((np.int64(1) << 8 * (k + 1)) - 1)
+        node = tree.contexts.find(_key(k, own >> 8))
+        cost[todo[node >= 0]] += tree.escapes[node[node >= 0]]
+        if not k:
+            cost[todo] += 8.0
+            break
+        found = tree.grams.find(_key(k - 1, own & ((np.int64(1) << 8 * k) - 1)))
+        cost[todo[found >= 0]] += tree.bits[found[found >= 0]]
+        todo = todo[found < 0]
     firsts = np.concatenate([[0], ends[:-1]]) - ORDER * np.arange(len(ends))
-    return np.add.reduceat(cost, firsts, axis=0, dtype=np.float64)
+    return np.add.reduceat(cost, firsts, axis=0)
 
 
 def predict(docs: DataFrame, trees: list[Tree]) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs (doc_id, text); only the text is looked at.
+    """doc_id, lang_pred, score for every row of docs (doc_id of any type, text); only the text is looked at.
 
     lang_pred is the language whose code for the whole lower-cased text is shortest (ties: the first by name), score
     the share of its probability among all languages. A text that is null or holds no letter, or a model without
-    languages, gives `und` and score 0. Repeated rows give repeated results. No shuffle.
+    languages, gives `und` and score 0. Repeated rows give repeated results; texts may be of any length; other columns are
+    ignored, whatever their names; an empty table gives an empty result. Each tree is a pass over the texts, and nothing is
+    shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
     langs = [x for t in trees for x in t.languages]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = sent.value
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.array().cast("array<double>").alias("bits"))
+    for tree in trees:
+        sent = docs.sparkSession.sparkContext.broadcast(tree)
+
+        def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tree = sent.value
+            for batch in batches:
+                total = np.zeros((len(batch), len(tree.languages)))
+                for at, data, ends in _pieces(pc.utf8_lower(batch.column(1))):
+                    np.add.at(total, at, code_lengths(tree, data, ends))
+                before = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, 0))
+                both = np.concatenate([before, total], axis=1)
+                lists = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * both.shape[1], both.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "text", "letter", "bits"])
+
+        rows = rows.mapInArrow(add, f"doc_id {kind}, text string, letter boolean, bits array<double>")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.zeros((len(batch), len(langs)))
-            for rows, data, ends in _pieces(pc.utf8_lower(batch.column(1))):
-                np.add.at(total, rows, np.concatenate([code_lengths(t, data, ends) for t in trees], axis=1) if trees else 0)
-            letter = np.array(batch.column(2).to_pylist(), bool)
-            if langs:
+            letter = np.array(batch.column(1).to_pylist(), bool)
+            if langs and len(batch):
+                total = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
                 best = total.argmin(1)
                 share = 1 / np.exp2(np.maximum(total.min(1, keepdims=True) - total, -1000)).sum(1)
                 names = [langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
@@ -196,5 +276,4 @@ def predict(docs: DataFrame, trees: list[Tree]) -> DataFrame:
                 names, share = ["und"] * len(batch), np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(letter, share, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.select("doc_id", "letter", "bits").mapInArrow(name, f"doc_id {kind}, lang_pred string, score double")
