@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
+#: Fixed value: the pre-token pattern that the byte-level pre-tokenizer of this family uses when its file names no other.
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct pre-tokens whose counts a worker keeps, and the longest that it keeps.
@@ -31,12 +31,30 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def check_spec(spec: dict) -> None:
+    """Raise ValueError if a tokenizer file asks for a step that BpeCounter does not take."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [
+        name
+        for name, bad in (
+            ("normalizer", bool(spec.get("normalizer"))),
+            ("pre_tokenizer", pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True)),
+            ("model", model.get("type", "BPE") != "BPE" or bool(model.get("dropout")) or bool(model.get("ignore_merges")) or bool(model.get("continuing_subword_prefix")) or bool(model.get("end_of_word_suffix"))),
+            ("added_tokens", any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"not supported: {', '.join(wrong)}")
+
+
 class BpeCounter(dict):
     """Maps a pre-token to its number of tokens; computes what it does not hold."""
 
     def __init__(self, path: str):
         super().__init__()
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        check_spec(spec)
         names = byte_symbols()
         number = {s: i for i, s in enumerate(names)}
         self.pairs: dict[int, tuple[int, int]] = {}
@@ -110,7 +128,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     vocabulary: path of a byte-level BPE tokenizer .json, present on every node. A null or empty text has zero
     bytes and tokens. Strings of added special tokens inside a text count as one token each. Repeated rows give
-    repeated results; other columns are ignored. Rows are independent: no shuffle, and a lost task reruns alone.
+    repeated results; other columns are ignored, whatever their names; ids are of any type; an empty table gives an empty
+    result. Whole texts are counted, however long. A vocabulary with a normalizer, another pre-tokenizer, or added tokens that
+    strip blanks raises ValueError. Rows are independent: no shuffle, and a lost task reruns alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
