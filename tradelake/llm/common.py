@@ -132,6 +132,18 @@ def join_by_key(rows: DataFrame, sides: DataFrame, key: str, size: Column, total
     return rows.join(hubs, key).unionByName(rest)
 
 
+def attach_by_key(rows: DataFrame, sides: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left-joined with sides, a stored table that has one row for some of the keys and in column size how many of rows
+    each has. Where keys are common enough to burden a task they are broadcast, as in join_by_key()."""
+    total, most = sides.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    least = max(int(total) // HUBS, HUB_ROWS)
+    if most <= least:
+        return rows.join(sides.hint("merge"), key, "left")
+    hubs = sides.where(F.col(size) > least)
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(sides.where(F.col(size) <= least).hint("merge"), key, "left")
+    return rows.join(F.broadcast(hubs), key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge list of long ids; root is the smallest id of the component.
 
