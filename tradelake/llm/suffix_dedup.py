@@ -32,7 +32,7 @@ from .common import fresh, materialise, partitions, utf8_slices, with_long_id
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text that are anchored at once, pieces and windows that are sorted together before they are sent.
-PIECE, PIECES, ENTRIES = 1 << 20, 4, 300_000
+PIECE, PIECES, ENTRIES = 1 << 20, 3, 200_000
 #: Bytes of entries in a bucket and read by a task (about), ranges that are cut from the sample, and bytes of it.
 BUCKET, TASK, RANGES, SAMPLE = 8_000_000, 64_000_000, 4096, 4_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -104,7 +104,10 @@ def windows_at(data: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarr
     """The window at each position as big-endian words of 8 bytes: its bytes from the anchor on, those before it, and the
     anchor's offset; filled up with zeros."""
     out = np.zeros((len(at), -(-(WINDOW + 1) // 8) * 8), np.uint8)
-    out[:, :WINDOW] = data[at[:, None] + (anchor[:, None] + np.arange(WINDOW)) % WINDOW]
+    turned = (np.arange(WINDOW)[:, None] + np.arange(WINDOW)) % WINDOW
+    for s in range(0, len(at), 1 << 14):  # the index is eight times the text
+        e = s + (1 << 14)
+        out[s:e, :WINDOW] = data[at[s:e, None] + turned[anchor[s:e]]]
     out[:, WINDOW] = anchor
     return out.view(">u8").astype(np.uint64)
 
