@@ -1,6 +1,7 @@
 """Text operators against the libraries, plain versions and held-out rows."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -198,34 +199,49 @@ def test_leaks_do_not_change_with_blocks(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == want and len(want) == 6
 
 
-def test_context_distributions_sum_to_one(spark, odd):
-    rows = {}
-    for r in language_id.gram_counts(odd.select("text", "lang")).where("lang = 'en'").collect():
-        for k in range(language_id.ORDER + 1):
-            g = r.gram & ((1 << 8 * (k + 1)) - 1)
-            rows.setdefault((k, g >> 8), {}).setdefault(g & 255, 0)
-            rows[(k, g >> 8)][g & 255] += r.n
-    for p in language_id.distributions([(k, c, list(f.items())) for (k, c), f in rows.items()]).values():
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
+def plain_ppm(texts, least):
+    """Code length in bits of a byte after a context, by escape method C with exclusion, from plain counts."""
+    counts = {}
+    for t in texts:
+        raw = bytes(language_id.ORDER) + t.lower().encode()
+        for i in range(language_id.ORDER, len(raw)):
+            for k in range(language_id.ORDER + 1):
+                own = counts.setdefault(raw[i - k : i], {})
+                own[raw[i]] = own.get(raw[i], 0) + 1
+    counts = {c: own for c, own in counts.items() if sum(own.values()) >= least}
+
+    def chances(context):
+        if context not in counts:
+            return chances(context[1:]) if context else [1 / 256] * 256
+        own = counts[context]
+        n, d = sum(own.values()), len(own)
+        shorter = chances(context[1:]) if context else [1 / 256] * 256
+        rest = sum(p for b, p in enumerate(shorter) if b not in own)
+        return [own[b] / (n + d) if b in own else d / (n + d) * shorter[b] / rest for b in range(256)]
+
+    return lambda context, byte: -math.log2(chances(context)[byte])
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_code_lengths_are_those_of_a_plain_model(spark, odd, monkeypatch, least):
+    monkeypatch.setattr(language_id, "MIN_COUNT", least)
+    trees = language_id.train(odd.select("text", "lang"))
+    langs = [x for t in trees for x in t.languages]
+    assert langs == ["de", "en", "fr"]
+    text = "the quick lazy fox \u00e9 LINE vorher zz".lower().encode()
+    data = np.concatenate([np.zeros(language_id.ORDER, np.uint8), np.frombuffer(text, np.uint8)])
+    got = np.concatenate([language_id.code_lengths(t, data, np.array([len(data)]))[0] for t in trees])
+    raw = data.tobytes()
+    for lang, bits in zip(langs, got, strict=True):
+        code = plain_ppm([r[1] for r in ODD if r[1] and r[2] == lang], least)
+        assert bits == pytest.approx(sum(code(raw[i - language_id.ORDER : i], raw[i]) for i in range(language_id.ORDER, len(raw))), rel=1e-9)
 
 
-def test_code_lengths_follow_the_tree(spark, odd):
-    """The vectorised walk against a plain one over the same statistics."""
+def test_languages_in_several_trees(spark, odd, monkeypatch):
+    one = sorted(map(str, language_id.predict(odd, language_id.train(odd.select("text", "lang"))).collect()))
+    monkeypatch.setattr(language_id, "ENTRIES", 10)
     trees = language_id.train(odd.select("text", "lang"))
-    text = "the quick lazy fox é".encode()
-    data = np.concatenate([np.zeros(language_id.ORDER, np.uint8), np.frombuffer(text, np.uint8)])
-    tree = trees[0]
-    want = np.zeros(len(tree.languages))
-    m = tree.child.shape[1]
-    for i in range(language_id.ORDER, len(data)):
-        node = 1
-        for k in range(1, language_id.ORDER + 1):
-            nxt = tree.child[node, tree.classes[data[i - k]]]
-            if not nxt:
-                break
-            node = nxt
-        want += tree.bits[node * m + tree.classes[data[i]]]
-    assert language_id.code_lengths(tree, data, np.array([len(data)]))[0] == pytest.approx(want, rel=1e-6)
+    assert len(trees) == 3 and sorted(map(str, language_id.predict(odd, trees).collect())) == one
 
 
 def test_languages(spark, odd, nothing):
