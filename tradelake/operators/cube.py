@@ -69,9 +69,12 @@ def cube_by(df: DataFrame, dims: list[str], measures: dict[str, Column]) -> Data
 
 
 def growth(df: DataFrame, measure: str, order: str = "time_key", keys: list[str] | None = None) -> DataFrame:
-    """df with growth: change against the month before, across years."""
-    before = F.lag(measure).over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(order))
-    return df.withColumn("growth", (F.col(measure) - before) / F.nullif(before, F.lit(0.0)))
+    """df with growth: change against the month before in the calendar (order is year * 100 + month), across years; null where
+    that month has no facts."""
+    following = F.when(F.col(order) % 100 == 12, F.col(order) + 89).otherwise(F.col(order) + 1)
+    before = df.select(*(keys or []), following.alias(order), F.col(measure).alias("__before"))
+    joined = df.join(before, [*(keys or []), order], "left")
+    return joined.withColumn("growth", (F.col(measure) - F.col("__before")) / F.nullif("__before", F.lit(0.0))).drop("__before")
 
 
 def tail_member(df: DataFrame, order: str = "time_key") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import matched_null_safe
+
 LATE_REASON = "late_arriving_not_yet_propagated_to_nds"
 
 
@@ -20,6 +22,11 @@ def detect_late(df: DataFrame, watermark: DataFrame, loaded: DataFrame, keys: li
     return marked.join(known, same, "left").withColumn("is_late_arriving", F.coalesce(late, F.lit(False))).select(*df.columns, "is_late_arriving")
 
 
+def audit_late(audit: DataFrame, late: DataFrame, keys: list[str]) -> DataFrame:
+    """audit with the newly detected late keys, each once; what it holds stays as it is. Null equals null."""
+    return audit.unionByName(matched_null_safe(late.select(*keys).distinct(), audit, keys, "left_anti").select(*audit.columns))
+
+
 def split_propagated(late: DataFrame, nds: DataFrame, key: str = "ods_id") -> tuple[DataFrame, DataFrame]:
     """(propagated, not yet) of the late rows."""
     ids = nds.select(key).distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIRST_DATE, LAST_DATE
-from .relational import changed_rows, new_keys_only
+from .keys import number_rows
+from .relational import changed_rows, matched_null_safe, new_keys_only
 
 
 def _merge(target: DataFrame, source: DataFrame, keys: list[str], both: Callable[[str], Column]) -> DataFrame:
@@ -47,9 +48,12 @@ def merge_coalesce(target: DataFrame, source: DataFrame, keys: list[str]) -> Dat
 
 
 def merge_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """The target's row stays; of source rows with one key one is added."""
-    fresh = source.join(target.select(*keys), keys, "left_anti").dropDuplicates(keys)
-    return target.unionByName(fresh.select(*target.columns))
+    """The target's row stays; of source rows with one key the largest by its other columns is added. A null in a key equals
+    a null."""
+    rest = [c for c in target.columns if c not in keys]
+    fresh = matched_null_safe(source, target, keys, "left_anti")
+    one = fresh.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else fresh.select(*keys).distinct()
+    return target.unionByName(one.select(*target.columns))
 
 
 def replace_members(target: DataFrame, source: DataFrame, scope: DataFrame | None, key: str) -> DataFrame:
@@ -66,10 +70,7 @@ def replace_slice(target: DataFrame, new: DataFrame, predicate: Column) -> DataF
 def scd2_apply(dim: DataFrame, src: DataFrame, key: str, attrs: list[str], run_date: str, surrogate: str) -> DataFrame:
     """A dimension with history: unknown keys come as version 1 without end on either side; of changed ones the
     current version ends at run_date and the next begins there; unchanged ones stay. A second change on one day
-    leaves a version that no period falls into. Surrogate keys go on from the largest, in key order: a dimension is
-    small, so one window over its new versions is no burden."""
-    from pyspark.sql import Window
-
+    leaves a version that no period falls into. Surrogate keys go on from the largest, in key order."""
     current = dim.where("is_current")
     changed = changed_rows(src.select(key, *attrs), current.select(key, *attrs), key, attrs)
     ended = dim.join(changed.select(key, F.lit(True).alias("__c")), key, "left")
@@ -80,13 +81,11 @@ def scd2_apply(dim: DataFrame, src: DataFrame, key: str, attrs: list[str], run_d
     first = new_keys_only(src.select(key, *attrs), dim.select(key), key).select(key, *attrs, F.lit(1).alias("version"), F.lit(FIRST_DATE).cast("date").alias("effective_date"))
     later = changed.join(current.select(key, (F.col("version") + 1).alias("version")), key).select(key, *attrs, F.col("version").cast("int"), F.lit(run_date).cast("date").alias("effective_date"))
     top = dim.agg(F.coalesce(F.max(surrogate), F.lit(0)).cast("long").alias("__top"))
-    new = first.unionByName(later).join(top)
-    numbered = new.withColumn(surrogate, (F.col("__top") + F.row_number().over(Window.orderBy(key, "version"))).cast("long")).withColumns({"expiry_date": F.lit(LAST_DATE).cast("date"), "is_current": F.lit(True)})
+    new = number_rows(first.unionByName(later), key, "__n", "version").join(top)
+    numbered = new.withColumn(surrogate, F.col("__top") + F.col("__n")).withColumns({"expiry_date": F.lit(LAST_DATE).cast("date"), "is_current": F.lit(True)})
     return kept.unionByName(numbered.select(*dim.columns))
 
 
 def first_load(src: DataFrame, key: str, attrs: list[str], surrogate: str) -> DataFrame:
     """The first version of a dimension from its source."""
-    from pyspark.sql import Window
-
-    return src.select(F.row_number().over(Window.orderBy(key)).cast("long").alias(surrogate), key, *attrs, F.lit(1).alias("version"), F.lit(FIRST_DATE).cast("date").alias("effective_date"), F.lit(LAST_DATE).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"))
+    return number_rows(src, key, surrogate).select(surrogate, key, *attrs, F.lit(1).alias("version"), F.lit(FIRST_DATE).cast("date").alias("effective_date"), F.lit(LAST_DATE).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"))

@@ -47,10 +47,6 @@ def matched_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str
     return df.join(o, reduce(Column.__and__, [df[k].eqNullSafe(o[f"__{k}"]) for k in keys]), how)
 
 
-def not_yet_loaded(df: DataFrame, ods: DataFrame, keys: list[str]) -> DataFrame:
-    return matched_null_safe(df, ods, keys, "left_anti")
-
-
 def delete_matching(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return target.join(keys.select(*on).distinct(), on, "left_anti")
 
@@ -75,10 +71,6 @@ def role_play_currency(rates: DataFrame, dim_currency: DataFrame) -> DataFrame:
     return rates
 
 
-def left_enrich(fact: DataFrame, fta_keys: DataFrame, fx: DataFrame) -> DataFrame:
-    return fact.join(fta_keys, "trade_id", "left").join(fx, ["year", "month"], "left")
-
-
 def actual_vs_forecast(actual: DataFrame, forecast: DataFrame, keys: list[str]) -> DataFrame:
     return actual.join(forecast, keys, "full_outer")
 
@@ -87,9 +79,10 @@ def restrict_to_panel(actual: DataFrame, forecast: DataFrame, keys: list[str]) -
     return actual.join(forecast.select(*keys).distinct(), keys, "left_semi")
 
 
-def late_ratio(monthly: DataFrame, late: DataFrame) -> DataFrame:
+def late_ratio(monthly: DataFrame, late: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """monthly (keys, year, month, total_count) with the share of late rows (keys, year, month, late_count) of each series."""
     share = F.coalesce("late_count", F.lit(0)) / F.nullif(F.col("total_count").cast("double"), F.lit(0.0))
-    return monthly.join(late, ["year", "month"], "left").withColumn("late_ratio", F.coalesce(share, F.lit(0.0)))
+    return monthly.join(late, [*(keys or []), "year", "month"], "left").withColumn("late_ratio", F.coalesce(share, F.lit(0.0)))
 
 
 def chapter_proxy(dim_product: DataFrame) -> DataFrame:
@@ -138,8 +131,10 @@ def most_frequent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key).distinct().join(out, key, "left")
 
 
-def month_end_rate(rates: DataFrame) -> DataFrame:
-    return rates.groupBy(F.year("rate_date").alias("year"), F.month("rate_date").alias("month")).agg(F.max_by("vnd_per_usd", "rate_date").alias("exchange_rate"))
+def month_end_rate(rates: DataFrame, base: str, quote: str) -> DataFrame:
+    """The last rate of each month of one currency pair."""
+    pair = rates.where((F.col("base_currency") == base) & (F.col("quote_currency") == quote))
+    return pair.groupBy(F.year("rate_date").alias("year"), F.month("rate_date").alias("month")).agg(F.max_by("vnd_per_usd", "rate_date").alias("exchange_rate"))
 
 
 def agreement_keys(pairs: DataFrame) -> DataFrame:
@@ -152,15 +147,25 @@ def conditional_sums(df: DataFrame, keys: list[str], value: str = "value") -> Da
     )
 
 
-def utilization_by_agreement(bridge: DataFrame, fact: DataFrame) -> DataFrame:
-    """Distinct trades per agreement name and period, and a row ALL per period with all trades."""
-    own = bridge.groupBy("fta_name", "time_key").agg(F.countDistinct("trade_id").alias("trades"))
+def _trades_by_agreement(fact: DataFrame) -> DataFrame:
+    """(time_key, partner_code, fta_key, trades): agreements hang on the partner and the period, so facts are counted by
+    these first and never by agreement one by one."""
+    counted = fact.groupBy("time_key", "partner_code", "fta_keys").agg(F.count("*").alias("trades"))
+    return counted.select("time_key", "partner_code", "trades", F.explode("fta_keys").alias("fta_key"))
+
+
+def utilization_by_agreement(fact: DataFrame, dim_fta: DataFrame) -> DataFrame:
+    """Distinct trades per agreement name and period, and a row ALL per period with all trades. Versions of one name count a
+    trade once."""
+    named = _trades_by_agreement(fact).join(dim_fta.select("fta_key", "fta_name"), "fta_key").select("time_key", "partner_code", "fta_name", "trades").distinct()
+    own = named.groupBy("fta_name", "time_key").agg(F.sum("trades").alias("trades"))
     return with_total_member(own, fact.groupBy("time_key").agg(F.count("*").alias("trades")), "fta_name")
 
 
-def utilization_summary(bridge: DataFrame, fact: DataFrame) -> DataFrame:
+def utilization_summary(fact: DataFrame) -> DataFrame:
+    """Trades per agreement version, of all trades, and their percentage."""
     total = fact.agg(F.count("*").alias("total"))
-    own = bridge.groupBy("fta_key").agg(F.countDistinct("trade_id").alias("trades"))
+    own = _trades_by_agreement(fact).groupBy("fta_key").agg(F.sum("trades").alias("trades"))
     return own.join(total).withColumn("rate", F.round((F.col("trades").cast("decimal(18,4)") * 100 / F.nullif("total", F.lit(0))), 2).cast("double"))
 
 
@@ -236,11 +241,6 @@ def latest_row(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
-def share_of_parent(measure: str, parents: list[str]) -> Column:
-    total = F.sum(measure).over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
-    return F.col(measure) / F.nullif(total, F.lit(0).cast("double")) * 100
-
-
 def top_count(df: DataFrame, n: int, measure: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(measure).desc(), F.col(tie)).limit(n)
 

@@ -79,9 +79,5 @@ def scope_to_batch(df: DataFrame, batch_id: str | None) -> DataFrame:
     return df if batch_id is None else df.where(F.col("batch_id") == batch_id)
 
 
-def current_only(dim: DataFrame) -> DataFrame:
-    return dim.where("is_current")
-
-
 def reject_summary(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("reject_reason").agg(F.count("*").alias("n"))
