@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import store
 from . import relational as R
 
 MIN_DAYS, MIN_MONTHS, MIN_LABELLED = 120, 12, 4
-FX_FEATURES = ["change_pct", "vol_7", "vol_30", "mean_7", "mean_30", "change_pct_lag1", "change_pct_lag2", "change_pct_lag3", "day_of_week", "month"]
-BALANCE_FEATURES = ["balance", "balance_delta", "export_growth", "import_growth", "balance_lag1", "balance_lag2", "balance_lag3", "month", "late_ratio"]
+FX_FEATURES = ["rate", "change_pct", "vol_7", "vol_30", "mean_7", "mean_30", "change_pct_lag1", "change_pct_lag2", "change_pct_lag3", "day_of_week", "month"]
+BALANCE_FEATURES = ["export_value", "import_value", "balance", "balance_delta", "export_growth", "import_growth", "balance_lag1", "balance_lag2", "balance_lag3", "month", "late_ratio"]
 
 
 class SkipJob(Exception):
@@ -31,10 +32,11 @@ def fx_labels(features: DataFrame, keys: list[str], horizons: list[int]) -> Data
 
 
 def balance_features(monthly: DataFrame, late: DataFrame, keys: list[str]) -> DataFrame:
-    """monthly (keys, year, month, export_value, import_value, n) with balance, changes, lags and the late share."""
+    """monthly (keys, year, month, export_value, import_value, n) with balance, changes, lags and the share of late rows, which
+    late (keys, year, month, late_count) has by series."""
     w = Window.partitionBy(*keys).orderBy("year", "month")
     zero = F.lit(0).cast("decimal(28,2)")
-    df = R.late_ratio(monthly.withColumn("total_count", F.col("n")), late)
+    df = R.late_ratio(monthly.withColumn("total_count", F.col("n")), late, keys)
     df = df.withColumns({"export_value": F.coalesce("export_value", zero).cast("double"), "import_value": F.coalesce("import_value", zero).cast("double")})
     df = df.withColumn("balance", F.col("export_value") - F.col("import_value"))
     df = df.withColumns({"balance_delta": R.delta("balance", w), "export_growth": R.pct_change("export_value", w), "import_growth": R.pct_change("import_value", w)})
@@ -68,37 +70,68 @@ def require_history(df: DataFrame, least: int) -> None:
         raise SkipJob(f"fewer than {least} rows")
 
 
-def train_horizons(features: DataFrame, columns: list[str], source: str, keys: list[str], order: str, horizons: list[int], trees: int = 200, depth: int = 4, rate: float = 0.1) -> DataFrame:
-    """(keys, horizon, prediction, n_labelled, last_value): a boosted-tree regressor per horizon over all series, fitted
-    on the first 80 % of each in time, that predicts from each series' newest row with all features."""
+#: Models that are fitted at a time: their jobs are short, and the cluster is shared by as many.
+PARALLEL = 8
+
+
+def train_horizons(features: DataFrame, columns: list[str], source: str, keys: list[str], order: str, horizons: list[int], trees: int = 200, depth: int = 4, rate: float = 0.1, level: str | None = None) -> DataFrame:
+    """(keys, as_of, horizon, prediction, n_labelled, last_value, level, metrics): a boosted-tree regressor per horizon over all
+    series, fitted on the first 80 % of each in time, that predicts from each series' newest row with all features. level is
+    a column of that row to pass on. A series with too few labelled rows gets its last value.
+
+    mae and rmse are those of the model over the last 20 % of all series, naive_mae and naive_rmse those of `no change`
+    (level given) or of the last value there; null without such rows. Features and labels of all horizons are computed in
+    one pass and stored; models are fitted some at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    spark = features.sparkSession
     w = Window.partitionBy(*keys).orderBy(order)
+    carried = [c for c in (level,) if c]
     full = features.withColumns({f"__y{k}": R.horizon_label(source, w, k).cast("double") for k in horizons}).na.drop(subset=columns)
-    rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(full.withColumns({c: F.col(c).cast("double") for c in columns})).select(*keys, order, source, "__x", *[f"__y{k}" for k in horizons]).cache()
-    newest = R.latest_row(rows.select(*keys, order, source, "__x"), keys, order)
-    out = None
-    for k in horizons:
-        labelled = rows.where(F.col(f"__y{k}").isNotNull())
-        train = R.time_split(labelled, keys, order).where("is_train").select("__x", F.col(f"__y{k}").alias("label"))
-        n = labelled.count()
-        base = newest.withColumns({"horizon": F.lit(k), "n_labelled": F.lit(n), "last_value": F.col(source).cast("double")})
-        if n >= MIN_LABELLED:
-            base = GBTRegressor(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42).fit(train).transform(base)
+    numbers = full.select(*keys, order, F.col(source).cast("double").alias("__last"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(carried)], *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(columns)], *[f"__y{k}" for k in horizons])
+    whole = Window.partitionBy(*keys)
+    has = {k: F.col(f"__y{k}").isNotNull().cast("int") for k in horizons}
+    split = {f"__t{k}": F.sum(has[k]).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= F.floor(F.sum(has[k]).over(whole) * 0.8) for k in horizons}
+    rows = spark.read.parquet(store(numbers.withColumns(split), "risk-features"))
+    ready = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x").transform(rows)
+    newest = R.latest_row(rows.select(*keys, order, "__last", *[f"__c{i}" for i in range(len(carried))], *[f"__f{i}" for i in range(len(columns))]), keys, order)
+    newest = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x").transform(newest)
+    counts = rows.groupBy(*keys).agg(*[F.sum(has[k]).alias(f"{k}") for k in horizons])
+    totals = rows.agg(*[F.coalesce(F.sum(has[k]), F.lit(0)).alias(f"{k}") for k in horizons]).first()
+
+    def fit(k: int) -> DataFrame:
+        labelled = ready.where(F.col(f"__y{k}").isNotNull()).withColumn("label", F.col(f"__y{k}"))
+        base = newest.join(counts.select(*keys, F.col(f"{k}").alias("n_labelled")), keys).withColumns({"horizon": F.lit(k), "last_value": F.col("__last")})
+        nothing = F.lit(None).cast("double")
+        if totals[f"{k}"] < MIN_LABELLED:
+            out = base.withColumns({n: nothing for n in ("prediction", "mae", "rmse", "naive_mae", "naive_rmse")})
         else:
-            base = base.withColumn("prediction", F.lit(None).cast("double"))
-        part = persistence_fallback(base).select(*keys, F.col(order).alias("as_of"), "horizon", "prediction", "n_labelled", "last_value")
-        out = part if out is None else out.unionByName(part)
-    return out
+            model = GBTRegressor(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42).fit(labelled.where(f"__t{k}").select("__x", "label"))
+            tested = model.transform(labelled.where(f"not __t{k}")).withColumn("naive", F.lit(0.0) if level else F.col("__last"))
+            metrics = tested.agg(*[how(c).alias(f"{p}{n}") for p, c in (("", F.col("label") - F.col("prediction")), ("naive_", F.col("label") - F.col("naive"))) for n, how in (("mae", lambda e: F.avg(F.abs(e))), ("rmse", lambda e: F.sqrt(F.avg(e * e))))]).first()
+            out = model.transform(base).withColumns({n: F.lit(metrics[n]).cast("double") for n in ("mae", "rmse", "naive_mae", "naive_rmse")})
+        return persistence_fallback(out).select(*keys, F.col(order).alias("as_of"), "horizon", "prediction", "n_labelled", "last_value", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], "mae", "rmse", "naive_mae", "naive_rmse")
 
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = list(pool.map(fit, horizons))
+    return R.union_sources(*parts)
 
-def risk_flags(pred: DataFrame, threshold: DataFrame, upper: bool) -> DataFrame:
-    """high_risk: the prediction lies beyond the tail threshold (a single row)."""
+
+def risk_flags(pred: DataFrame, threshold: DataFrame, upper: bool, keys: list[str] | None = None) -> DataFrame:
+    """high_risk: the prediction lies beyond the tail threshold, of its series where keys are given."""
     over = F.col("prediction") > F.col("threshold") if upper else F.col("prediction") < F.col("threshold")
-    return pred.join(threshold).withColumn("high_risk", F.coalesce(over, F.lit(False)))
+    joined = pred.join(threshold, keys, "left") if keys else pred.join(threshold)
+    return joined.withColumn("high_risk", F.coalesce(over, F.lit(False)))
+
+
+def fx_targets(flagged: DataFrame) -> DataFrame:
+    """Predicted changes as rates: the rate of the last day moved by the change, and the day that each is for."""
+    return flagged.withColumns({"target_date": F.date_add("as_of", F.col("horizon")), "predicted_rate": F.col("rate") * (1 + F.col("prediction")), "as_of_rate": F.col("rate")})
 
 
-def risk_report_data(flagged: DataFrame, keys: list[str]) -> DataFrame:
-    """The report's figures per series: horizons, how many are high-risk, threshold, as-of value."""
-    return flagged.groupBy(*keys).agg(F.count("*").alias("horizons"), F.count_if("high_risk").alias("high_risk"), F.max("threshold").alias("threshold"), F.max("as_of").alias("as_of"), F.max("last_value").alias("as_of_value"))
+def risk_report_data(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """The report's rows, one per series and target: change and rate predicted, flag and threshold, and the rate of the last day."""
+    return targets.select(*keys, "target_date", "horizon", F.col("prediction").alias("predicted_change"), "predicted_rate", "high_risk", "threshold", "as_of", "as_of_rate")
