@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import sanitize_forecast
 from . import relational as R
@@ -28,53 +31,70 @@ def series_gate(series: DataFrame, keys: list[str]) -> DataFrame:
     return gated.withColumn("n_test", F.when(F.col("n_obs") >= HOLDOUT_FROM, F.least(F.col("n_obs") - TRAIN_LEAST, F.lit(HOLDOUT_MOST))).otherwise(0).cast("int"))
 
 
+_PENALTY = np.diag([0.0, 0.1, 1.0, 1.0, 1.0, 1.0]) + 1e-9 * np.eye(6)
+
+
 def _design(months: np.ndarray) -> np.ndarray:
+    """Trend and two yearly harmonics."""
     t = months / 12.0
     return np.column_stack([np.ones(len(t)), t, *[f(2 * np.pi * k * t) for k in (1, 2) for f in (np.sin, np.cos)]])
 
 
-def _fit(months: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Ridge regression on trend and two yearly harmonics, and the residuals' 10 % and 90 % quantiles."""
-    x = _design(months)
-    penalty = np.diag([0.0, 0.1, 1.0, 1.0, 1.0, 1.0])
-    w = np.linalg.solve(x.T @ x + penalty + 1e-9 * np.eye(len(penalty)), x.T @ y)
-    low, high = np.quantile(y - x @ w, [0.1, 0.9])
-    return w, float(low), float(high)
+def _fit(x: np.ndarray, y: np.ndarray, starts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Ridge weights of the series that begin at starts, from their rows in use."""
+    own = x * used[:, None]
+    a = np.add.reduceat(own[:, :, None] * x[:, None, :], starts)
+    b = np.add.reduceat(own * y[:, None], starts)
+    return np.linalg.solve(a + _PENALTY, b[:, :, None])[:, :, 0]
+
+
+def _quantile(values: np.ndarray, series: np.ndarray, starts: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
+    """The q-quantile of each series' values, between neighbours in proportion."""
+    ordered = values[np.lexsort((values, series))]
+    at = q * (n - 1)
+    low = np.floor(at).astype(int)
+    a, b = ordered[starts + low], ordered[starts + np.minimum(low + 1, n - 1)]
+    return a + (b - a) * (at - low)
 
 
 def forecast_groups(series: DataFrame, keys: list[str], horizon: int = 12) -> DataFrame:
     """(keys, time_key, point, lower, upper, mape) for horizon months after each series' last month; mape is that of the
-    hold-out tail, null without one. A series that cannot be fitted gives no rows.
-
-    A series is a few hundred months at most, so each is one small task."""
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "time_key", "point", "lower", "upper", "mape"]
-        pdf = pdf.sort_values("time_key")
-        month = (pdf["time_key"] // 100 * 12 + pdf["time_key"] % 100 - 1).to_numpy(float)
-        y = pdf["y"].astype(float).to_numpy()
-        n = len(y)
-        try:
-            test = min(n - TRAIN_LEAST, HOLDOUT_MOST) if n >= HOLDOUT_FROM else 0
-            base = month[0] if n else 0.0
-            mape = None
-            if test:
-                w, _, _ = _fit(month[:-test] - base, y[:-test])
-                mape = float(np.mean(np.abs((y[-test:] - _design(month[-test:] - base) @ w) / (y[-test:] + 1e-9))) * 100)
-            w, low, high = _fit(month - base, y)
-            ahead = month[-1] + np.arange(1, horizon + 1)
-            point = _design(ahead - base) @ w
-        except (np.linalg.LinAlgError, IndexError):
-            return pd.DataFrame(columns=names)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * horizon for k in keys})
-        out["time_key"] = (ahead // 12 * 100 + ahead % 12 + 1).astype(int)
-        out["point"], out["lower"], out["upper"], out["mape"] = point, point + low, point + high, mape
-        return out
-
-    gated = series.join(series_gate(series, keys).select(*keys), keys)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", time_key int, point double, lower double, upper double, mape double"
-    return gated.groupBy(*keys).applyInPandas(run, schema)
+    hold-out tail, null without one. Rows without a value do not count; series with fewer than MIN_OBS rows give none.
+
+    Each series is a ridge regression on trend and two yearly harmonics, with the residuals' 10 % and 90 % quantiles as its
+    band. A series is a few hundred months at most, so it travels as one row, and a batch of series is solved at once."""
+    kinds = [series.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(len(keys))
+            n = rows.value_lengths().to_numpy().astype(int)
+            if not len(n):
+                continue
+            month, y = (rows.flatten().field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2))
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            own = np.repeat(np.arange(len(n)), n)
+            base, last = month[starts], month[starts + n - 1]
+            x = _design(month - base[own])
+            test = np.where(n >= HOLDOUT_FROM, np.minimum(n - TRAIN_LEAST, HOLDOUT_MOST), 0)
+            held = np.arange(len(own)) - starts[own] >= (n - test)[own]
+            miss = np.abs((y - (x * _fit(x, y, starts, ~held)[own]).sum(1)) / (y + 1e-9)) * held
+            mape = np.where(test > 0, np.add.reduceat(miss, starts) / np.maximum(test, 1) * 100, np.nan)
+            w = _fit(x, y, starts, np.ones(len(own), bool))
+            left = y - (x * w[own]).sum(1)
+            low, high = (_quantile(left, own, starts, n, q) for q in (0.1, 0.9))
+            which = np.repeat(np.arange(len(n)), horizon)
+            ahead = last[which] + np.tile(np.arange(1, horizon + 1), len(n))
+            point = (_design(ahead - base[which]) * w[which]).sum(1)
+            columns = [batch.column(i).take(pa.array(which)) for i in range(len(keys))]
+            key = (ahead // 12 * 100 + ahead % 12 + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(key), pa.array(point), pa.array(point + low[which]), pa.array(point + high[which]), pa.array(mape[which], from_pandas=True)], [*keys, "time_key", "point", "lower", "upper", "mape"])
+
+    month = (F.floor(F.col("time_key") / 100) * 12 + F.col("time_key") % 100 - 1).cast("int").alias("month")
+    observed = series.where("y is not null").select(*keys, F.struct(month, F.col("y").cast("double").alias("y")).alias("row"))
+    whole = observed.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") >= MIN_OBS)
+    out = T.StructType([*kinds, T.StructField("time_key", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("point", "lower", "upper", "mape")]])
+    return whole.mapInArrow(run, out)
 
 
 def to_forecast_table(forecast: DataFrame, model_version: str) -> DataFrame:
