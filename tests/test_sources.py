@@ -66,6 +66,19 @@ def test_bilateral_table(spark, tmp_path, flow, pair, values):
     assert [r.value_usd_k for r in got] == values and {(r.exporter_name, r.importer_name) for r in got} == {pair} and got[0].product_code == "0901"
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """Data lines that equal a header or preamble line stay, and columns may stand in another order in the next file."""
+    (tmp_path / "w1.csv").write_text("Japan,7\nExporters,Value in 2025-M01\nJapan,7\n")
+    (tmp_path / "w2.csv").write_text("Exporters,Value in 2025-M02,Value in 2025-M01\nKorea,5,6\n")
+    got = files.read_wide_monthly_csv(spark, str(tmp_path / "w*.csv"), importer="Viet Nam", product="x").collect()
+    assert sorted((r.exporter_name, r.month, r.value_usd_k) for r in got) == [("Japan", 1, 7.0), ("Korea", 1, 6.0), ("Korea", 2, 5.0)]
+    body = "Product code,Japan's imports from Viet Nam\n,Value in 2025-M01\n'0901,3\n"
+    (tmp_path / "Bilateral trade between Viet Nam and Japan.csv").write_text(body)
+    (tmp_path / "Bilateral x.csv").write_text("Bilateral trade between Korea and Viet Nam,,\n" + body.replace("Japan's", "Korea's"))
+    both = files.read_bilateral_csv(spark, str(tmp_path / "Bilateral*.csv"), None, "Viet Nam", "export").collect()
+    assert sorted((r.exporter_name, r.importer_name, r.value_usd_k) for r in both) == [("Viet Nam", "Japan", 3.0), ("Viet Nam", "Korea", 3.0)]
+
+
 def test_nomenclature_and_countries(spark, tmp_path):
     (tmp_path / "n.csv").write_text("hscode,description,level\n1,Live animals,2\n01,Second,2\n0901,Coffee,4\n090111,Coffee not roasted,6\n")
     table = files.read_nomenclature(spark, str(tmp_path / "n.csv"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import clean
-from ..operators.relational import carry_forward, first_of
+from ..operators.relational import carry_forward, first_of, union_sources
 from .agreement_columns import HEADERS
 
 #: Columns of the trade CSV and their names in the stage table.
@@ -92,9 +92,19 @@ def unpivot_months(wide: DataFrame, ids: list[str]) -> DataFrame:
     return long.select(*ids, part(1).alias("year"), part(2).alias("month"), clean.to_number("cell", "double").alias("value_usd_k")).na.drop(subset=["year", "month", "value_usd_k"])
 
 
-def _head(spark: SparkSession, path: str, lines: int) -> list[str]:
-    """The first lines of a file: its headers, a bounded number."""
-    return [r.value for r in spark.read.text(path).limit(lines).collect()]
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of every line of the files, line from 0. A file is read by one task, as one stream."""
+    content = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\r\\n?", "\n").alias("value"))
+    lines = content.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
+    return lines
+
+
+def _heads(lines: DataFrame, most: int) -> dict[str, list[str]]:
+    """The first lines of each file: its headers, a bounded number."""
+    out: dict[str, list[str]] = {}
+    for r in lines.where(F.col("line") < most).orderBy("file", "line").collect():
+        out.setdefault(r.file, []).append(r.value)
+    return out
 
 
 def _cells(line: str) -> list[str]:
@@ -103,26 +113,34 @@ def _cells(line: str) -> list[str]:
     return next(csv.reader([line])) if line else []
 
 
-def _body(spark: SparkSession, path: str, header_lines: list[str], names: list[str]) -> DataFrame:
-    """The file's data lines, read as CSV by position; the lines up to the header are left out."""
-    text = spark.read.text(path).where(~F.col("value").isin(*header_lines))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return text.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", "), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+def _body(lines: DataFrame, file: str, header_lines: int, names: list[str]) -> DataFrame:
+    """A file's data lines, read as CSV by position; the first header_lines are left out."""
+    text = lines.where((F.col("file") == file) & (F.col("line") >= header_lines) & (F.trim("value") != ""))
+    schema = ", ".join(f"{n} string" for n in names)
+    return text.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def read_wide_monthly_csv(spark: SparkSession, path: str, markers: tuple[str, ...] = ("Exporters", "Importers", "Product code"), exporter: str | None = None, importer: str | None = None, product: str | None = None) -> DataFrame:
-    """(exporter_name, importer_name, product_code, year, month, value_usd_k) of a table with a column for each month.
-    The header is the first line with a marker; a side that has no column is the given constant."""
-    head = _head(spark, path, 60)
-    at = next((i for i, line in enumerate(head) if any(m in line for m in markers)), None)
-    if at is None:
-        raise ValueError(f"no header with one of {markers} in {path}")
-    header = [c.strip() for c in _cells(head[at])]
+    """(exporter_name, importer_name, product_code, year, month, value_usd_k) of tables with a column for each month.
+    The header of each file is its first line with a marker; a side that has no column is the given constant."""
+    lines = _numbered(spark, path)
+    parts = []
+    for file, head in _heads(lines, 60).items():
+        at = next((i for i, line in enumerate(head) if any(m in line for m in markers)), None)
+        if at is None:
+            raise ValueError(f"no header with one of {markers} in {file}")
+        parts.append(_wide_file(lines, file, head[at], at, exporter, importer, product))
+    if not parts:
+        raise ValueError(f"no lines in {path}")
+    return union_sources(*parts)
+
+
+def _wide_file(lines: DataFrame, file: str, header_line: str, at: int, exporter: str | None, importer: str | None, product: str | None) -> DataFrame:
+    header = [c.strip() for c in _cells(header_line)]
     periods = {i: re.search(_PERIOD, c) for i, c in enumerate(header)}
     names = [f"v{i}_{m[1]}-M{m[2]}" if (m := periods[i]) else f"c{i}" for i in range(len(header))]
     # names must be plain for the CSV schema; the month stands in them with underscores
-    plain = [n.replace("-", "_") for n in names]
-    wide = _body(spark, path, head[: at + 1], plain).toDF(*names)
+    wide = _body(lines, file, at + 1, [n.replace("-", "_") for n in names]).toDF(*names)
     lower = {c.lower(): f"c{i}" for i, c in enumerate(header) if not periods[i]}
 
     def side(wanted: tuple[str, ...], constant: str | None) -> F.Column:
@@ -136,14 +154,36 @@ def read_wide_monthly_csv(spark: SparkSession, path: str, markers: tuple[str, ..
     return unpivot_months(tagged, ["exporter_name", "importer_name", "product_code"])
 
 
-def read_bilateral_csv(spark: SparkSession, path: str, partner: str, target: str, flow: str) -> DataFrame:
-    """The months of one direction of a two-country table: its first header line names a group of columns (blank cells
+def pair_of_title(text: str) -> tuple[str, str] | None:
+    """The two countries of a title or file name like `Bilateral trade between A and B`; None if it names none."""
+    m = re.search(r"between[\s_]+(.+?)[\s_]+and[\s_]+(.+?)(?:\.csv|[,;(]|$)", re.sub(r"^.*/", "", text).strip().strip('"'), re.IGNORECASE)
+    return (clean_text(m[1].replace("_", " ")), clean_text(m[2].replace("_", " "))) if m else None
+
+
+def read_bilateral_csv(spark: SparkSession, path: str, partner: str | None, target: str, flow: str) -> DataFrame:
+    """The months of one direction of two-country tables: a file's first header line names a group of columns (blank cells
     go on with the last), the second the months. flow `import` keeps the partner's exports to target, `export` the
-    target's to the partner."""
-    head = _head(spark, path, 60)
-    at = next((i for i, line in enumerate(head) if "Product code" in line), None)
-    if at is None or at + 1 >= len(head):
-        raise ValueError(f"no two header lines in {path}")
+    target's to the partner. Without a partner it is the other country of the file's title line or name."""
+    lines = _numbered(spark, path)
+    parts = []
+    for file, head in _heads(lines, 60).items():
+        at = next((i for i, line in enumerate(head) if "Product code" in line), None)
+        if at is None or at + 1 >= len(head):
+            raise ValueError(f"no two header lines in {file}")
+        own = partner
+        if own is None:
+            pair = next((p for t in (*head[:at], unquote(file)) if (p := pair_of_title(t))), None)
+            others = [c for c in pair or () if c.lower() != target.lower()]
+            if len(others) != 1:
+                raise ValueError(f"no pair of countries with {target} in {file}")
+            own = others[0]
+        parts.append(_bilateral_file(lines, file, head, at, own, target, flow))
+    if not parts:
+        raise ValueError(f"no lines in {path}")
+    return union_sources(*parts)
+
+
+def _bilateral_file(lines: DataFrame, file: str, head: list[str], at: int, partner: str, target: str, flow: str) -> DataFrame:
     groups, last = [], ""
     for cell in _cells(head[at]):
         last = cell.strip() or last
@@ -154,10 +194,10 @@ def read_bilateral_csv(spark: SparkSession, path: str, partner: str, target: str
     wanted = (f"exports to {sink}".lower(), f"imports from {source}".lower())
     periods = {i: m for i, c in enumerate(months) if (m := re.search(_PERIOD, c)) and any(w in groups[i] for w in wanted)}
     if not periods:
-        raise ValueError(f"no monthly columns of {wanted} in {path}")
+        raise ValueError(f"no monthly columns of {wanted} in {file}")
     names = [f"v{i}_{periods[i][1]}_M{periods[i][2]}" if i in periods else f"c{i}" for i in range(len(groups))]
     code = f"c{groups.index('product code')}"
-    body = _body(spark, path, head[: at + 2], names)
+    body = _body(lines, file, at + 2, names)
     kept = [n for i, n in enumerate(names) if i in periods]
     wide = body.select(F.lit(source).alias("exporter_name"), F.lit(sink).alias("importer_name"), F.nullif(clean.clean_product_code(code), F.lit("")).alias("product_code"), *[F.col(n).alias(re.sub(r"_M(\d+)$", r"-M\1", n)) for n in kept])
     return unpivot_months(wide.where("product_code is not null"), ["exporter_name", "importer_name", "product_code"])
@@ -167,21 +207,6 @@ def clean_text(s: str) -> str:
     return re.sub(r"\s+", " ", s.replace("\u0099", "ô").replace("™", "ô")).strip()
 
 
-def read_bilateral_records(spark: SparkSession, base: str) -> DataFrame:
-    """Trade records with their countries' names and product label, from tables trade_record, country and product."""
-    from ..operators.relational import denormalize_bilateral
-
-    return denormalize_bilateral(*[read_table(spark, base, n) for n in ("trade_record", "country", "product")])
-
-
-def read_bilateral_jdbc(spark: SparkSession, url: str, properties: dict[str, str], partitions: int, lower: int, upper: int) -> DataFrame:
-    """The same from a database, read in ranges of the record id."""
-    from ..operators.relational import denormalize_bilateral
-
-    records = spark.read.jdbc(url, "trade_record", column="id", lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=properties)
-    return denormalize_bilateral(records, spark.read.jdbc(url, "country", properties=properties), spark.read.jdbc(url, "product", properties=properties))
-
-
 def since_last_rates(new: DataFrame, existing: DataFrame, start: str = "1999-01-04", overlap_days: int = 7) -> DataFrame:
     """Rates from overlap_days before the newest known date on (revisions), or from start if there are none."""
     cut = existing.agg(F.coalesce(F.date_sub(F.max("rate_date"), overlap_days), F.lit(start).cast("date")).alias("__cut"))
@@ -208,8 +233,8 @@ def read_nomenclature(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_country_list(spark: SparkSession, path: str, preamble: int = 7) -> DataFrame:
-    """Distinct country names of a CSV with preamble lines before its header, and World."""
-    skip = _head(spark, path, preamble + 1)
+    """Distinct country names of CSV files with preamble lines before their header, and World."""
+    body = _numbered(spark, path).where(F.col("line") > preamble)
     first = F.regexp_extract("value", r'^\s*("([^"]*)"|([^,]*))', 0)
-    names = spark.read.text(path).where(~F.col("value").isin(*skip)).select(clean.fix_mojibake(F.regexp_replace(first, '"', "")).alias("name")).where("name <> ''")
+    names = body.select(clean.fix_mojibake(F.regexp_replace(first, '"', "")).alias("name")).where("name <> ''")
     return names.distinct().unionByName(spark.range(1).select(F.lit("World").alias("name"))).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators.merge import replace_slice
 
@@ -26,16 +26,40 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def save_slice(spark, path: str, new: DataFrame, predicate: Column) -> None:
-    """Replace the rows for which predicate holds. The new table is written beside the old one before it takes its
-    place, as Spark cannot overwrite what it reads."""
-    beside = f"{path}.{uuid.uuid4().hex}"
-    replace_slice(spark.read.parquet(path), new, predicate).write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir, else the warehouse."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def store(df: DataFrame, name: str) -> str:
+    """Write df under a new name in the shared folder, and return the path."""
+    path = f"{scratch_folder(df.sparkSession)}/tradelake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
 
+def _place(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
-def save_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table that df may read from, by way of a copy beside it."""
-    beside = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    df.sparkSession.read.parquet(beside).write.mode("overwrite").parquet(path)
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, time of change) of a file or folder: others if it was written again."""
+    place, files = _place(spark, path)
+    status = files.getFileStatus(place)
+    return files.getContentSummary(place).getLength(), status.getModificationTime()
+
+
+def save_slice(spark: SparkSession, path: str, new: DataFrame, predicate: Column) -> None:
+    """Replace the rows for which predicate holds. Spark cannot overwrite what it reads, so the new table is written beside the
+    old one and then takes its place by renaming: a run that fails leaves either the old table or, under the name of the
+    copy, the new one."""
+    beside, before = (f"{path}.{uuid.uuid4().hex}" for _ in range(2))
+    replace_slice(spark.read.parquet(path), new, predicate).write.parquet(beside)
+    old, files = _place(spark, path)
+    aside, _ = _place(spark, before)
+    if not files.rename(old, aside) or not files.rename(_place(spark, beside)[0], old):
+        raise OSError(f"{beside} could not take the place of {path}")
+    files.delete(aside, True)
