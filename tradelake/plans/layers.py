@@ -11,6 +11,7 @@ from ..functions import clean
 from ..operators import agreements, late, match, merge, rules
 from ..operators import relational as R
 from ..schemas import TRADE_KEY
+from ..sources.sinks import store
 from . import star as S
 
 #: Keywords, in order, and the commodity code that they stand for.
@@ -122,25 +123,41 @@ def ods_to_nds(ods: DataFrame, fta: DataFrame, rates: DataFrame, refs: Reference
     }
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored layer table, from which the next layer reads."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+
+
 def nds_to_dds(nds: dict[str, DataFrame], dims: dict[str, DataFrame], run_date: str, home: str) -> dict[str, DataFrame]:
-    """The star schema: dimensions with history, the agreement bridge and the facts. dims holds the dimensions so far."""
+    """The star schema: dimensions with history, which are stored, the agreement bridge and the facts. dims holds the
+    dimensions so far, and under fact_trade the facts, if there are any: facts with the same business key are replaced."""
     country = merge.scd2_apply(dims["dim_country"], nds["country"].withColumnRenamed("partner_code", "country_code").withColumnRenamed("partner_name", "country_name"), "country_code", ["country_name", "region", "continent"], run_date, "country_key")
     product = merge.scd2_apply(dims["dim_product"], nds["product"], "hs_code", ["product_name", "heading", "chapter"], run_date, "product_key")
     fta = merge.scd2_apply(dims["dim_fta"], nds["fta"], "fta_id", ["fta_name"], run_date, "fta_key")
+    country, product, fta = kept(country, "dds-country"), kept(product, "dds-product"), kept(fta, "dds-fta")
     time = nds["time"].select(clean.time_key("year", "month").alias("time_key"), "year", "quarter", "month")
     fact = S.build_trade_fact(nds["trade_transaction"], product, country, nds["exchange_rate"], nds["fta_member"], fta, home)
+    if "fact_trade" in dims:
+        fact = S.upsert_facts(dims["fact_trade"], fact)
     return {"dim_country": country, "dim_product": product, "dim_fta": fta, "dim_time": time, "dim_fta_country": R.agreement_bridge(nds["fta_member"], fta, country), "fact_trade": fact, "fact_rejects": S.unresolved_facts(nds["trade_transaction"], product, country)}
 
 
-def batch_metrics(extracted: DataFrame, loaded: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Rows per batch in each of the three, and the batch's status: it failed if rows came and none was loaded."""
+def batch_metrics(extracted: DataFrame, loaded: DataFrame, rejects: DataFrame, stored: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Rows per batch in each of the three, and the batch's status: it failed if rows came and none was loaded. With the rows
+    stored before and the business key, also how many loaded rows replaced one (rows_upserted)."""
     counts = [df.groupBy("batch_id").agg(F.count("*").alias(n)) for df, n in ((extracted, "rows_extracted"), (loaded, "rows_loaded"), (rejects, "rows_rejected"))]
-    out = counts[0].join(counts[1], "batch_id", "full_outer").join(counts[2], "batch_id", "full_outer").na.fill(0)
-    return out.withColumn("status", F.when((F.col("rows_extracted") > 0) & (F.col("rows_loaded") == 0), "FAILED").otherwise("SUCCESS"))
+    if stored is not None:
+        counts.append(R.matched_null_safe(loaded, stored, keys, "left_semi").groupBy("batch_id").agg(F.count("*").alias("rows_upserted")))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c, "batch_id", "full_outer")
+    return out.na.fill(0).withColumn("status", F.when((F.col("rows_extracted") > 0) & (F.col("rows_loaded") == 0), "FAILED").otherwise("SUCCESS"))
 
 
 def layered_load(unified: DataFrame, fta: DataFrame, rates: DataFrame, refs: References, ods: DataFrame, watermark: DataFrame, dims: dict[str, DataFrame], run_date: str, home: str, batch_id: str, full: bool = True) -> dict[str, DataFrame]:
-    """Stage to star in one plan; with full=False only the batch's rows go on from ods."""
+    """Stage to star, with every layer's tables stored before the next reads them; with full=False only the batch's rows go on
+    from ods."""
     new_ods, new_watermark, late_rows = stage_to_ods(unified, refs, watermark, ods, batch_id)
-    nds = ods_to_nds(new_ods, fta, rates, refs, home, None if full else batch_id)
+    new_ods, new_watermark, late_rows = kept(new_ods, "ods-trade"), kept(new_watermark, "ods-watermark"), kept(late_rows, "ods-late")
+    nds = {n: kept(df, f"nds-{n}") for n, df in ods_to_nds(new_ods, fta, rates, refs, home, None if full else batch_id).items()}
     return {"ods": new_ods, "watermark": new_watermark, "late": late_rows, **{f"nds_{n}": df for n, df in nds.items()}, **nds_to_dds(nds, dims, run_date, home)}
