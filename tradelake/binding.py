@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import merge, relational
+from .plans import star
 from .schemas import TRADE_KEY
+from .sources import sinks
 
 HOME, RUN_DATE = "C00", "1998-06-15"
 
@@ -98,9 +102,41 @@ def members(spark: SparkSession, d: str) -> DataFrame:
     return own.select("fta_id", F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("country_code"))
 
 
+def agreements(spark: SparkSession, d: str, changed: bool = False) -> DataFrame:
+    """The agreement source; changed: the second snapshot, in which every third agreement has another name."""
+    name = F.concat(F.lit("FTA "), (F.col("fta_id") % 8).cast("string"))
+    own = F.when(F.col("fta_id") % 3 == 1, F.concat(name, F.lit(" NEW"))).otherwise(name) if changed else name
+    return members(spark, d).select("fta_id").distinct().withColumn("fta_name", own)
+
+
 def dim_fta(spark: SparkSession, d: str) -> DataFrame:
-    ids = members(spark, d).select("fta_id").distinct()
-    return ids.select((F.col("fta_id") + 1).cast("long").alias("fta_key"), "fta_id", F.concat(F.lit("FTA "), (F.col("fta_id") % 8).cast("string")).alias("fta_name"), F.lit(True).alias("is_current"))
+    first = merge.first_load(agreements(spark, d), "fta_id", ["fta_name"], "fta_key")
+    return merge.scd2_apply(first, agreements(spark, d, True), "fta_id", ["fta_name"], RUN_DATE, "fta_key")
+
+
+def build_fact(spark: SparkSession, d: str) -> DataFrame:
+    """The trade fact from the line items and the stored dimensions."""
+    dims = [stored(spark, d, n) for n in ("dim_product", "dim_country")]
+    return star.build_trade_fact(grain(spark, d), *dims, rates(spark, d), members(spark, d), stored(spark, d, "dim_fta"), HOME)
+
+
+#: Tables of the star schema, which are stored once and then read.
+STAR = {"dim_country": dim_country, "dim_product": dim_product, "dim_fta": dim_fta, "dim_time": dim_time, "fact": build_fact}
+_stored: dict[tuple, str] = {}
+
+
+#: What the stored tables come from.
+SOURCES = {"dim_country": ["nation", "region"], "dim_product": ["part"], "dim_fta": ["nation"], "dim_time": ["lineitem"], "fact": ["lineitem", "orders", "part", "supplier", "nation", "region"], "fx_risk": ["orders"]}
+
+
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """A table of the star schema, or what build makes: built and stored in the shared scratch folder when it is first asked
+    for in a session, and again when the files that it comes from are others."""
+    sources = SOURCES[name]
+    key = (spark.sparkContext.applicationId, d, name, *[sinks.state_of(spark, f"{d}/{t}.parquet") for t in sources])
+    if key not in _stored:
+        _stored[key] = sinks.store((build or STAR[name])(spark, d), f"dds-{name}")
+    return spark.read.parquet(_stored[key])
 
 
 #: The same in SQL; each name may use those before it.
@@ -130,20 +166,23 @@ SQL = {
     "dim_product": """select row_number() over (order by hs_code) product_key, hs_code, product_name, heading_name, heading, chapter, 1 as version, true is_current from products""",
     "dim_time": """select distinct (year * 100 + month)::int time_key, year, quarter, month from trade""",
     "members": """select i::int fta_id, 'C' || lpad(n_nationkey::varchar, 2, '0') country_code from nation, range(10) t(i) where n_nationkey % (i + 2) = 0 and (i % 2 = 0 or n_nationkey <> 0)""",
-    "dim_fta": """select distinct (fta_id + 1)::bigint fta_key, fta_id, 'FTA ' || (fta_id % 8) fta_name, true is_current from members""",
+    "fta_v1": """select row_number() over (order by fta_id) fta_key, fta_id, 'FTA ' || (fta_id % 8) fta_name from (select distinct fta_id from members)""",
+    "dim_fta": """select fta_key, fta_id, fta_name, 1 as version, date '0001-01-01' effective_date, case when fta_id % 3 = 1 then date '1998-06-15' else date '9999-12-31' end expiry_date, fta_id % 3 <> 1 is_current from fta_v1
+        union all select (select max(fta_key) from fta_v1) + row_number() over (order by fta_id), fta_id, fta_name || ' NEW', 2, date '1998-06-15', date '9999-12-31', true from fta_v1 where fta_id % 3 = 1""",
     "fxm": """select year(rate_date)::int as year, month(rate_date)::int as month, arg_max(vnd_per_usd, rate_date) exchange_rate from rates group by 1, 2""",
-    "home_keys": """select country_code partner_code, list(fta_key order by fta_key) fta_keys from members join dim_fta using (fta_id) where fta_id in (select fta_id from members where country_code = 'C00') group by 1""",
+    "home_keys": """select g.partner_code, g.year, g.month, list(f.fta_key order by f.fta_key) fta_keys from (select distinct partner_code, year, month from grain) g join members m on m.country_code = g.partner_code
+        join dim_fta f on f.fta_id = m.fta_id and f.effective_date <= make_date(g.year, g.month, 1) and make_date(g.year, g.month, 1) < f.expiry_date where m.fta_id in (select fta_id from members where country_code = 'C00') group by 1, 2, 3""",
     "fact": """select md5(concat_ws('|', g.year, g.month, g.hs_code, g.partner_code, g.flow_type, g.source_system)) trade_key, (g.year * 100 + g.month)::int time_key, product_key, country_key partner_key, flow_type, source_system,
         value, quantity, exchange_rate, round(value::decimal(19,2) * exchange_rate::decimal(18,6), 2)::decimal(38,2) value_vnd, fta_keys, g.partner_code
         from grain g join dim_product p on p.hs_code = g.hs_code and p.is_current join dim_country c on c.country_code = g.partner_code and c.effective_date <= make_date(g.year, g.month, 1) and make_date(g.year, g.month, 1) < c.expiry_date
-        left join fxm on fxm.year = g.year and fxm.month = g.month left join home_keys h on h.partner_code = g.partner_code""",
+        left join fxm on fxm.year = g.year and fxm.month = g.month left join home_keys h on h.partner_code = g.partner_code and h.year = g.year and h.month = g.month""",
     "star": """select f.*, p.hs_code, p.heading, p.chapter, p.product_name, c.country_name, c.region, c.continent, t.year, t.quarter, t.month from fact f
         join (select * from dim_product where is_current) p using (product_key) join (select * from dim_country where is_current) c on c.country_key = f.partner_key join dim_time t using (time_key)""",
     "bridge": """select trade_key, time_key, unnest(fta_keys) fta_key from fact where fta_keys is not null""",
 }
 _USES = {
-    "dirty": ["trade"], "grain": ["trade"], "iso": ["countries"], "country_v1": ["countries"], "dim_country": ["country_v1"], "dim_product": ["products"], "dim_time": ["trade"], "dim_fta": ["members"],
-    "fxm": ["rates"], "home_keys": ["members", "dim_fta"], "fact": ["grain", "dim_product", "dim_country", "fxm", "home_keys"], "star": ["fact", "dim_product", "dim_country", "dim_time"], "bridge": ["fact"],
+    "dirty": ["trade"], "grain": ["trade"], "iso": ["countries"], "country_v1": ["countries"], "dim_country": ["country_v1"], "dim_product": ["products"], "dim_time": ["trade"], "fta_v1": ["members"], "dim_fta": ["fta_v1"],
+    "fxm": ["rates"], "home_keys": ["grain", "members", "dim_fta"], "fact": ["grain", "dim_product", "dim_country", "fxm", "home_keys"], "star": ["fact", "dim_product", "dim_country", "dim_time"], "bridge": ["fact"],
 }
 
 
