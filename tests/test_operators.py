@@ -3,13 +3,16 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradelake.functions import clean as C
 from tradelake.operators import agreements, cube, features, forecast, late, match, merge, rules
+from tradelake.operators.keys import number_rows
 from tradelake.operators import relational as R
+from tradelake.plans import layers, star
 from tradelake.schemas import conform
 
 D = datetime.date
@@ -123,15 +126,66 @@ def test_co_membership(spark):
 
 
 def test_utilization_counts_a_name_once(spark):
-    fact = spark.createDataFrame([(f"t{i}", 202501) for i in range(4)], ["trade_id", "time_key"])
-    bridge = spark.createDataFrame([("A", 202501, "t0"), ("A", 202501, "t0")], ["fta_name", "time_key", "trade_id"])
-    out = cube.utilization_rate(R.utilization_by_agreement(bridge, fact))
+    fact = spark.createDataFrame([(f"t{i}", 202501, "JPN", [1, 2] if i == 0 else None) for i in range(4)], "trade_key string, time_key int, partner_code string, fta_keys array<long>")
+    dim = spark.createDataFrame([(1, "A"), (2, "A")], "fta_key long, fta_name string")
+    out = cube.utilization_rate(R.utilization_by_agreement(fact, dim))
     assert rows(out.select("fta_name", "trades", "rate")) == [("A", 1, 25.0)]
+    assert sorted(rows(R.utilization_summary(fact))) == [(1, 1, 4, 25.0), (2, 1, 4, 25.0)]
 
 
-def test_month_end_rate(spark):
-    r = spark.createDataFrame([(D(2025, 1, 30), 2.0), (D(2025, 1, 10), 1.0)], ["rate_date", "vnd_per_usd"])
-    assert rows(R.month_end_rate(r)) == [(2025, 1, 2.0)]
+def test_month_end_rate_is_of_one_pair(spark):
+    r = spark.createDataFrame([(D(2025, 1, 30), 2.0, "VND", "USD"), (D(2025, 1, 10), 1.0, "VND", "USD"), (D(2025, 1, 31), 9.0, "VND", "EUR")], ["rate_date", "vnd_per_usd", "base_currency", "quote_currency"])
+    assert rows(R.month_end_rate(r, "VND", "USD")) == [(2025, 1, 2.0)]
+
+
+def test_agreements_are_those_of_the_period(spark):
+    """Two versions of an agreement, and one that ends: each month has the keys that were valid then."""
+    members = spark.createDataFrame([(1, "VNM"), (1, "JPN"), (2, "VNM"), (2, "JPN"), (3, "JPN")], ["fta_id", "country_code"])
+    first, cut_, last = D(1, 1, 1), D(2025, 3, 15), D(9999, 12, 31)
+    dim = spark.createDataFrame([(10, 1, first, cut_), (11, 1, cut_, last), (20, 2, D(2025, 1, 1), D(2025, 4, 1)), (30, 3, first, last)], "fta_key long, fta_id int, effective_date date, expiry_date date")
+    spans = star.home_agreements(members, dim, "VNM")
+    fact = spark.createDataFrame([("JPN", D(2024, 12, 1)), ("JPN", D(2025, 3, 1)), ("JPN", D(2025, 4, 1)), ("KOR", D(2025, 3, 1))], ["partner_code", "period_start"])
+    got = {(r.partner_code, r.period_start): r.fta_keys for r in R.as_of_dimension(fact, spans, ["partner_code"], "left").collect()}
+    assert got == {("JPN", D(2024, 12, 1)): [10], ("JPN", D(2025, 3, 1)): [10, 20], ("JPN", D(2025, 4, 1)): [11], ("KOR", D(2025, 3, 1)): None}
+
+
+def test_late_share_is_of_the_same_series(spark):
+    monthly = spark.createDataFrame([("A", 2025, 1, 10.0, 4.0, 4), ("B", 2025, 1, 5.0, 1.0, 2)], "p string, year int, month int, export_value double, import_value double, n long")
+    late_rows = spark.createDataFrame([("A", 2025, 1, 1)], "p string, year int, month int, late_count long")
+    got = {r.p: r.late_ratio for r in features.balance_features(monthly, late_rows, ["p"]).collect()}
+    assert got == {"A": 0.25, "B": 0.0}
+
+
+def test_numbers_follow_the_key(spark):
+    keys = [f"{i * 7919 % 100000:06d}" for i in range(500)]
+    got = number_rows(spark.createDataFrame([(k,) for k in keys], "k string").repartition(7), "k", "n").orderBy("k").collect()
+    assert [(r.k, r.n) for r in got] == [(k, i + 1) for i, k in enumerate(sorted(keys))]
+    numbers = [-5000, -1, 0, 3, 4095, 4096, 10**12]
+    assert [(r.k, r.n) for r in number_rows(spark.createDataFrame([(k,) for k in reversed(numbers)], "k long"), "k", "n").orderBy("k").collect()] == [(k, i + 1) for i, k in enumerate(numbers)]
+
+
+def test_ignoring_merge_knows_null_keys(spark):
+    t = spark.createDataFrame([(None, 1, 5)], "k string, j int, v int")
+    s = spark.createDataFrame([(None, 1, 9), (None, 2, 7), (None, 2, 8), ("a", 1, 1)], "k string, j int, v int")
+    once = merge.merge_ignore(t, s, ["k", "j"])
+    assert sorted(rows(once), key=str) == sorted(rows(merge.merge_ignore(once, s, ["k", "j"])), key=str) == sorted([(None, 1, 5), (None, 2, 8), ("a", 1, 1)], key=str)
+
+
+def test_facts_are_upserted_by_their_key(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "trade_key string, value int")
+    assert sorted(rows(star.upsert_facts(old, spark.createDataFrame([("b", 9), ("c", 3)], "trade_key string, value int")))) == [("a", 1), ("b", 9), ("c", 3)]
+
+
+def test_audit_has_each_late_key_once(spark):
+    audit = spark.createDataFrame([(1, None)], "a int, b string")
+    found = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "a int, b string")
+    assert sorted(rows(late.audit_late(audit, found, ["a", "b"])), key=str) == [(1, None), (2, "x")]
+
+
+def test_batch_log_counts_replaced_rows(spark):
+    loaded = spark.createDataFrame([("B", 1), ("B", 2)], "batch_id string, k int")
+    got = rows(layers.batch_metrics(loaded, loaded, loaded.where("false"), loaded.where("k = 1"), ["k"]))
+    assert got == [("B", 2, 2, 0, 1, "SUCCESS")]
 
 
 def test_rolling_waits_for_full_windows(spark):
@@ -141,9 +195,51 @@ def test_rolling_waits_for_full_windows(spark):
     assert [r.m is not None for r in df.collect()] == [False] * 7 + [True]
 
 
-def test_growth_crosses_years(spark):
-    df = spark.createDataFrame([(202412, 100.0), (202501, 110.0)], ["time_key", "v"])
-    assert [r.growth for r in cube.growth(df, "v").orderBy("time_key").collect()] == [None, pytest.approx(0.1)]
+def test_growth_crosses_years_and_sees_gaps(spark):
+    df = spark.createDataFrame([(202412, 10.0), (202501, 11.0), (202503, 22.0)], ["time_key", "v"])
+    assert [r.growth for r in cube.growth(df, "v").orderBy("time_key").collect()] == [None, pytest.approx(0.1), None]
+
+
+def plain_forecast(months, y, horizon):
+    """One series by itself: ridge on trend and harmonics, and the band of the residuals."""
+    def design(m):
+        t = m / 12.0
+        return np.column_stack([np.ones(len(t)), t, np.sin(2 * np.pi * t), np.cos(2 * np.pi * t), np.sin(4 * np.pi * t), np.cos(4 * np.pi * t)])
+
+    def fit(m, v):
+        x = design(m)
+        return np.linalg.solve(x.T @ x + np.diag([0.0, 0.1, 1, 1, 1, 1]) + 1e-9 * np.eye(6), x.T @ v)
+
+    m = months - months[0]
+    w = fit(m, y)
+    low, high = np.quantile(y - design(m) @ w, [0.1, 0.9])
+    test = min(len(y) - 9, 3) if len(y) >= 11 else 0
+    mape = None
+    if test:
+        v = fit(m[:-test], y[:-test])
+        mape = np.mean(np.abs((y[-test:] - design(m[-test:]) @ v) / (y[-test:] + 1e-9))) * 100
+    point = design(m[-1] + np.arange(1, horizon + 1)) @ w
+    return point, point + low, point + high, mape
+
+
+def test_forecasts_are_those_of_each_series_by_itself(spark):
+    rnd, rows_, want = np.random.default_rng(5), [], {}
+    for k, n in enumerate([5, 6, 10, 11, 30, 47]):
+        start = 2020 * 12 + int(rnd.integers(12))
+        months = start + np.arange(n)
+        y = 100 + 3 * np.arange(n) + 20 * np.sin(months) + rnd.normal(0, 5, n)
+        rows_ += [(k, 1, True, int(m // 12 * 100 + m % 12 + 1), float(v)) for m, v in zip(months, y, strict=True)]
+        if n >= 6:
+            want[k] = plain_forecast(months.astype(float), y, 4)
+    df = spark.createDataFrame(rows_, "product_key long, partner_key long, flow_type boolean, time_key int, y double").repartition(5)
+    got = {}
+    for r in forecast.forecast_groups(df, forecast.SERIES, 4).orderBy("product_key", "time_key").collect():
+        got.setdefault(r.product_key, []).append(r)
+    assert set(got) == set(want)
+    for k, (point, low, high, mape) in want.items():
+        for name, values in (("point", point), ("lower", low), ("upper", high)):
+            assert [r[name] for r in got[k]] == pytest.approx(list(values), rel=1e-6)
+        assert got[k][0].mape == (None if mape is None else pytest.approx(mape, rel=1e-6))
 
 
 @pytest.mark.parametrize(("n", "want"), [(5, None), (6, 0), (10, 0), (11, 2), (20, 3)])
