@@ -32,9 +32,11 @@ from .common import fresh, materialise, partitions, utf8_slices, with_long_id
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text that are anchored at once, pieces and windows that are sorted together before they are sent.
-PIECE, PIECES, ENTRIES = 1 << 20, 3, 200_000
+PIECE, PIECES, ENTRIES = 1 << 19, 5, 150_000
 #: Bytes of entries in a bucket and read by a task (about), ranges that are cut from the sample, and bytes of it.
-BUCKET, TASK, RANGES, SAMPLE = 8_000_000, 64_000_000, 4096, 4_000_000
+BUCKET, TASK, RANGES, SAMPLE = 8_000_000, 16_000_000, 4096, 4_000_000
+#: Tasks of a pass at most; beyond that they read more, but never hold more than a bucket.
+TASKS = 50_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _REPLY = "doc long, start long, length int, anchor int, open boolean"
 #: Bytes of an entry beside its key: document, start, length, offset of the anchor.
@@ -359,8 +361,8 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
     rows = rows.where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     size = int(total) * (GRAM + 8 + _ENTRY) // ((WINDOW - GRAM + 2) // 2)
-    tasks = max(partitions(spark), -(-size // TASK))
-    buckets = max(8 * tasks, -(-size // BUCKET))
+    tasks = max(partitions(spark), min(TASKS, -(-size // TASK)))
+    buckets = max(4 * tasks, -(-size // BUCKET))
     # only for the cuts between buckets, so what one text adds is bounded
     some = rows.sample(min(1.0, SAMPLE / max(1, total)), 1).limit(SAMPLE // 100).select(F.left("text", F.lit(PIECE)).alias("text")).toArrow()
     grams, strings = [np.zeros((0, 4), np.uint64)], [np.zeros((0, 7), np.uint64)]
