@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ NULL_ID = -(2**63)
 HUBS, HUB_ROWS = 1000, 100_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,17 +53,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of materialise(); only for those that nothing unfinished reads."""
     for df in tables:
         path = _paths.pop(df, None) if df is not None else None
         if path:
-            context = df.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(df.sparkSession, path)
+
+
+def result_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialise() what make returns, and delete every other table that was written on the way."""
+    before = set(_made)
+    out = materialise(make(), name)
+    for path in set(_made) - before - {_paths[out]}:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

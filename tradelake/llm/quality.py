@@ -296,6 +296,13 @@ def _rows(column: pa.Array) -> Rows:
     return Rows(column.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64))
 
 
+def _lists(batch: pa.RecordBatch, first: int) -> list[pa.Array]:
+    """Bucket lists of both views, from the columns text, source, lang, n_chars."""
+    text = [text_features(t.as_py()) for t in batch.column(first)]
+    meta = [meta_features(*m) for m in zip(*(batch.column(first + i).to_pylist() for i in (1, 2, 3)), strict=True)]
+    return [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int32)])) for x in (text, meta)]
+
+
 def _features(rows: DataFrame) -> DataFrame:
     """(row, text, meta, quality, toxic) with text and meta as bucket numbers, of rows (row, text, source, lang, n_chars, quality,
     toxic)."""
@@ -303,10 +310,7 @@ def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
-                text = [text_features(t.as_py()) for t in part.column(1)]
-                meta = [meta_features(*m) for m in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (text, meta)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists, part.column(5), part.column(6)], ["row", "text", "meta", "quality", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_lists(part, 1), part.column(5), part.column(6)], ["row", "text", "meta", "quality", "toxic"])
 
     buckets = T.ArrayType(T.IntegerType())
     schema = T.StructType([rows.schema["row"], T.StructField("text", buckets), T.StructField("meta", buckets), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
@@ -362,9 +366,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
     return _fit(materialise(_prepared(docs, ["doc_id"], labels, most), "quality-features"))
 
 
-def _chances(batch: pa.RecordBatch, heads: dict[str, Head | None]) -> tuple[np.ndarray, np.ndarray]:
-    text, meta = _rows(batch.column(1)), _rows(batch.column(2))
-    low, toxic = (heads[n].probability(text, meta) if heads[n] else np.zeros(len(batch)) for n in ("low", "toxic"))
+def _chances(text: Rows, meta: Rows, heads: dict[str, Head | None]) -> tuple[np.ndarray, np.ndarray]:
+    low, toxic = (heads[n].probability(text, meta) if heads[n] else np.zeros(len(text)) for n in ("low", "toxic"))
     return low, toxic
 
 
@@ -374,7 +377,7 @@ def _score(features: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, toxic = _chances(batch, sent.value)
+            low, toxic = _chances(_rows(batch.column(1)), _rows(batch.column(2)), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).field(0), pa.array(1 - low), pa.array(toxic), pa.array((low <= 0.5) & (toxic < 0.5))], ["doc_id", "quality_score", "toxic_score", "kept"])
 
     return features.select("row", "text", "meta").mapInArrow(run, f"doc_id {kind}, quality_score double, toxic_score double, kept boolean")
@@ -398,13 +401,16 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
-    """The rows of docs that classify() keeps; same columns, whatever their names. Odd rows fare as in score()."""
-    features = materialise(_prepared(docs, docs.columns, labels, most), "quality-features")
-    sent = docs.sparkSession.sparkContext.broadcast(_fit(features))
+    """The rows of docs that score() keeps with heads that train() fits on them; same columns, whatever their names. Odd rows
+    fare as in score(). Features are made again for the rows that pass by, so that texts are not stored with them."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
+    inputs = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *_inputs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, toxic = _chances(batch, sent.value)
-            yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array((low <= 0.5) & (toxic < 0.5))))
+            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
+                text, meta = _lists(part, 1)
+                low, toxic = _chances(_rows(text), _rows(meta), sent.value)
+                yield pa.RecordBatch.from_struct_array(part.column(0).filter(pa.array((low <= 0.5) & (toxic < 0.5))))
 
-    return features.select("row", "text", "meta").mapInArrow(run, docs.schema)
+    return inputs.mapInArrow(run, docs.schema)
