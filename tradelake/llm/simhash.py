@@ -147,10 +147,10 @@ def keep_one(docs: DataFrame, linked: Callable[[DataFrame], DataFrame] = near_du
     """docs without those that have a near duplicate with a smaller doc_id in their component (of linked); same columns,
     whatever their names, and rows with ids of any type.
 
-    A document is its doc_id: rows that share one stay or go together, and so do all rows with a null id, which are larger
-    than any other. Empty tables and null or empty texts are treated as linked() does.
+    A document is its doc_id: rows that share one stay or go together. Rows with a null id cannot be told apart, so they all
+    stay. Empty tables and null or empty texts are treated as linked() does.
     """
     gone = fresh(docs, "gone")
-    groups = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).where("component_id is not null")
+    groups = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).where("component_id is not null and doc_id is not null")
     dropped = groups.select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(dropped[gone]), "left_anti")
