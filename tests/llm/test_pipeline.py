@@ -1,12 +1,18 @@
 """The pipeline's stages on the smallest tables."""
 
 import os
+import re
 
+import public_tokenizers
 import pytest
+import sentencepiece
 
 import corpus_pipeline
+from tradelake.llm import decontaminate
 from tradelake.llm.queries import QUERIES
 
+from .test_near_copies import plain_components
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -27,6 +33,27 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(r.doc_id for r in now.collect())
 
 
+def test_run_is_what_plain_steps_make_of_the_first_stage(spark):
+    """Line dedup, near copies, decontamination and pieces by plain loops over the quality stage's rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, docs, DATA).collect()]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower()
+    held = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            held.setdefault(key(line), set()).add(d)
+    shared = {k: max(ds) for k, ds in held.items() if len(k.decode()) >= 40 and len(ds) >= 5}
+    rows = [(d, t if t is None else "\n".join(x for x in t.split("\n") if shared.get(key(x), d) == d)) for d, t in rows]
+    first = {int(d): int(c) for d, c in plain_components(rows)}
+    rows = [(d, t) for d, t in rows if first[d] == d]
+    norm = lambda x: re.sub(r"[\s\u00a0]+", " ", (x or "").lower()).strip()
+    items = [decontaminate.Pattern(norm(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if norm(r.text)]
+    rows = [(d, t) for d, t in rows if not any(p.best(norm(t))[0] <= decontaminate.edit_budget(p.size) for p in items)]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((d, library.encode(t or "")) for d, t in rows)
+    assert sorted((r.doc_id, list(r.piece_ids or [])) for r in corpus_pipeline.run(spark, DATA).collect()) == want
+
+
 def test_odd_rows_pass_all_stages(spark, odd, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
