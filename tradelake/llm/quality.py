@@ -296,6 +296,15 @@ def _rows(column: pa.Array) -> Rows:
     return Rows(column.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64))
 
 
+def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column, as views of its numbers."""
+    out = []
+    for chunk in column.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
 def _lists(batch: pa.RecordBatch, first: int) -> list[pa.Array]:
     """Bucket lists of both views, from the columns text, source, lang, n_chars."""
     text = [text_features(t.as_py()) for t in batch.column(first)]
@@ -340,7 +349,9 @@ def _prepared(docs: DataFrame, columns: list[str], labels: DataFrame | None = No
 
 def _fit(features: DataFrame) -> dict[str, Head | None]:
     labelled = features.where("quality is not null or toxic is not null").select(F.col("row.doc_id").alias("doc_id"), "text", "meta", "quality", "toxic")
-    sample = sorted(((r.doc_id, np.array(r.text, np.int32), np.array(r.meta, np.int32), r.quality, r.toxic) for r in labelled.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].tolist(), r[2].tolist()))
+    table = labelled.toArrow()
+    ids, text, meta, marks = table["doc_id"].to_pylist(), _slices(table["text"]), _slices(table["meta"]), [table[c].to_pylist() for c in ("quality", "toxic")]
+    sample = sorted(zip(ids, text, meta, *marks, strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].tolist(), r[2].tolist()))
     heads: dict[str, Head | None] = {"low": None, "toxic": None}
     targets: dict[str, CoTraining] = {}
     for name, column, target in (("low", 3, 0), ("toxic", 4, 1)):
