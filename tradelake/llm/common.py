@@ -45,7 +45,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
