@@ -247,7 +247,7 @@ def handed_over(features: DataFrame, models: list[dict[str, Linear]]) -> list[di
         models = sent.value
         total = empty(models)
         for batch in batches:
-            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
+            for part in (batch.slice(s, 1000) for s in range(0, len(batch), 1000)):
                 rows = {"text": _rows(part.column(0)), "meta": _rows(part.column(1))}
                 for k, m in enumerate(models):
                     chance = {v: _sigmoid(m[v].logit(rows[v])) for v in rows}
@@ -318,7 +318,7 @@ def _features(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
+            for part in (batch.slice(s, 500) for s in range(0, len(batch), 500)):
                 yield pa.RecordBatch.from_arrays([part.column(0), *_lists(part, 1), part.column(5), part.column(6)], ["row", "text", "meta", "quality", "toxic"])
 
     buckets = T.ArrayType(T.IntegerType())
@@ -415,13 +415,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) ->
     """The rows of docs that score() keeps with heads that train() fits on them; same columns, whatever their names. Odd rows
     fare as in score(). Features are made again for the rows that pass by, so that texts are not stored with them."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
-    inputs = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *_inputs(docs))
+    rest = _inputs(docs)[1:]
+    inputs = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *rest)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(s, 2000) for s in range(0, len(batch), 2000)):
-                text, meta = _lists(part, 1)
+            for part in (batch.slice(s, 500) for s in range(0, len(batch), 500)):
+                row = part.column(0)
+                text, meta = _lists(pa.RecordBatch.from_arrays([row.flatten()[at], *part.columns[1:]], ["text", "source", "lang", "n_chars"]), 0)
                 low, toxic = _chances(_rows(text), _rows(meta), sent.value)
-                yield pa.RecordBatch.from_struct_array(part.column(0).filter(pa.array((low <= 0.5) & (toxic < 0.5))))
+                yield pa.RecordBatch.from_struct_array(row.filter(pa.array((low <= 0.5) & (toxic < 0.5))))
 
     return inputs.mapInArrow(run, docs.schema)
