@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, piece_codec, quality, simhash, suffix_dedup, token_count, warc
+from . import centroids, decontaminate, embedding_dedup, language_id, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, token_count, warc
 from .common import table
 
 
@@ -60,9 +60,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_token_count, op4_embedding_dedup, op5_piece_codec, op6_quality, op7_simhash_dedup, op8_line_dedup, op9_suffix_dedup, op10_warc)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+OPERATORS = (
+    op1_decontaminate, op2_language_id, op3_token_count, op4_embedding_dedup, op5_piece_codec, op6_quality, op7_simhash_dedup, op8_line_dedup, op9_suffix_dedup, op10_warc,
+    op12_centroids, op13_packing,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL = {
+    "op12_centroids": centroids.oracle(),
     "op4_embedding_dedup": """
         with recursive v as (
             select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings
