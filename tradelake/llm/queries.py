@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, embedding_dedup, language_id, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, token_count, warc
+from . import centroids, collocations, decontaminate, embedding_dedup, language_id, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, token_count, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -71,11 +75,12 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_decontaminate, op2_language_id, op3_token_count, op4_embedding_dedup, op5_piece_codec, op6_quality, op7_simhash_dedup, op8_line_dedup, op9_suffix_dedup, op10_warc,
-    op12_centroids, op13_packing,
+    op11_collocations, op12_centroids, op13_packing,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL = {
+    "op11_collocations": collocations.oracle(),
     "op12_centroids": centroids.oracle(),
     "op4_embedding_dedup": """
         with recursive v as (
