@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import store
+from . import boosting
 from . import relational as R
 
 MIN_DAYS, MIN_MONTHS, MIN_LABELLED = 120, 12, 4
@@ -70,54 +71,42 @@ def require_history(df: DataFrame, least: int) -> None:
         raise SkipJob(f"fewer than {least} rows")
 
 
-#: Models that are fitted at a time: their jobs are short, and the cluster is shared by as many.
-PARALLEL = 8
-
-
 def train_horizons(features: DataFrame, columns: list[str], source: str, keys: list[str], order: str, horizons: list[int], trees: int = 200, depth: int = 4, rate: float = 0.1, level: str | None = None) -> DataFrame:
-    """(keys, as_of, horizon, prediction, n_labelled, last_value, level, metrics): a boosted-tree regressor per horizon over all
-    series, fitted on the first 80 % of each in time, that predicts from each series' newest row with all features. level is
+    """(keys, as_of, horizon, prediction, n_labelled, last_value, level, metrics): boosted trees for each horizon over all
+    series, fitted on the first 80 % of each in time, that predict from each series' newest row with all features. level is
     a column of that row to pass on. A series with too few labelled rows gets its last value.
 
     mae and rmse are those of the model over the last 20 % of all series, naive_mae and naive_rmse those of `no change`
     (level given) or of the last value there; null without such rows. Features and labels of all horizons are computed in
-    one pass and stored; models are fitted some at a time."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    spark = features.sparkSession
+    one pass and stored, and the trees of all horizons are grown together."""
     w = Window.partitionBy(*keys).orderBy(order)
     carried = [c for c in (level,) if c]
+    inputs, targets, marks = [f"__f{i}" for i in range(len(columns))], [f"__y{k}" for k in horizons], [f"__t{k}" for k in horizons]
     full = features.withColumns({f"__y{k}": R.horizon_label(source, w, k).cast("double") for k in horizons}).na.drop(subset=columns)
-    numbers = full.select(*keys, order, F.col(source).cast("double").alias("__last"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(carried)], *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(columns)], *[f"__y{k}" for k in horizons])
+    numbers = full.select(*keys, order, F.col(source).cast("double").alias("__last"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(carried)], *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(columns)], *targets)
     whole = Window.partitionBy(*keys)
     has = {k: F.col(f"__y{k}").isNotNull().cast("int") for k in horizons}
     split = {f"__t{k}": F.sum(has[k]).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= F.floor(F.sum(has[k]).over(whole) * 0.8) for k in horizons}
-    rows = spark.read.parquet(store(numbers.withColumns(split), "risk-features"))
-    ready = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x").transform(rows)
-    newest = R.latest_row(rows.select(*keys, order, "__last", *[f"__c{i}" for i in range(len(carried))], *[f"__f{i}" for i in range(len(columns))]), keys, order)
-    newest = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x").transform(newest)
-    counts = rows.groupBy(*keys).agg(*[F.sum(has[k]).alias(f"{k}") for k in horizons])
-    totals = rows.agg(*[F.coalesce(F.sum(has[k]), F.lit(0)).alias(f"{k}") for k in horizons]).first()
-
-    def fit(k: int) -> DataFrame:
-        labelled = ready.where(F.col(f"__y{k}").isNotNull()).withColumn("label", F.col(f"__y{k}"))
-        base = newest.join(counts.select(*keys, F.col(f"{k}").alias("n_labelled")), keys).withColumns({"horizon": F.lit(k), "last_value": F.col("__last")})
-        nothing = F.lit(None).cast("double")
-        if totals[f"{k}"] < MIN_LABELLED:
-            out = base.withColumns({n: nothing for n in ("prediction", "mae", "rmse", "naive_mae", "naive_rmse")})
-        else:
-            model = GBTRegressor(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42).fit(labelled.where(f"__t{k}").select("__x", "label"))
-            tested = model.transform(labelled.where(f"not __t{k}")).withColumn("naive", F.lit(0.0) if level else F.col("__last"))
-            metrics = tested.agg(*[how(c).alias(f"{p}{n}") for p, c in (("", F.col("label") - F.col("prediction")), ("naive_", F.col("label") - F.col("naive"))) for n, how in (("mae", lambda e: F.avg(F.abs(e))), ("rmse", lambda e: F.sqrt(F.avg(e * e))))]).first()
-            out = model.transform(base).withColumns({n: F.lit(metrics[n]).cast("double") for n in ("mae", "rmse", "naive_mae", "naive_rmse")})
-        return persistence_fallback(out).select(*keys, F.col(order).alias("as_of"), "horizon", "prediction", "n_labelled", "last_value", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], "mae", "rmse", "naive_mae", "naive_rmse")
-
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        parts = list(pool.map(fit, horizons))
-    return R.union_sources(*parts)
+    rows = features.sparkSession.read.parquet(store(numbers.withColumns(split), "risk-features"))
+    model, (absolute, squared, tested) = boosting.fit(rows, inputs, targets, marks, trees, depth, rate)
+    naive = {k: F.when(~F.col(f"__t{k}"), F.col(f"__y{k}") - (F.lit(0.0) if level else F.col("__last"))) for k in horizons}
+    base = rows.agg(*[F.coalesce(F.sum(has[k]), F.lit(0)).alias(f"n{k}") for k in horizons], *[F.avg(F.abs(naive[k])).alias(f"a{k}") for k in horizons], *[F.sqrt(F.avg(naive[k] * naive[k])).alias(f"s{k}") for k in horizons]).first()
+    counts = rows.groupBy(*keys).agg(*[F.sum(has[k]).alias(f"n{k}") for k in horizons])
+    newest = R.latest_row(rows.select(*keys, order, "__last", *[f"__c{i}" for i in range(len(carried))], *inputs), keys, order)
+    predicted = boosting.predict(newest, inputs, model, [f"p{k}" for k in horizons]).join(counts, keys)
+
+    def of(i: int, k: int) -> Column:
+        """The horizon's numbers; those of a model that no rows could be fitted to are null."""
+        few = base[f"n{k}"] < MIN_LABELLED
+        errors = [None, None] if few or not tested[i] else [float(absolute[i] / tested[i]), float((squared[i] / tested[i]) ** 0.5)]
+        values = [*errors, *([None, None] if few else [base[f"a{k}"], base[f"s{k}"]])]
+        guess = F.lit(None).cast("double") if few else F.col(f"p{k}")
+        metrics = [F.lit(v).cast("double").alias(n) for v, n in zip(values, ("mae", "rmse", "naive_mae", "naive_rmse"), strict=True)]
+        return F.struct(F.lit(k).alias("horizon"), guess.alias("prediction"), F.col(f"n{k}").alias("n_labelled"), *metrics)
+
+    each = predicted.select(*keys, F.col(order).alias("as_of"), F.col("__last").alias("last_value"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], F.explode(F.array(*[of(i, k) for i, k in enumerate(horizons)])).alias("h"))
+    rows_out = persistence_fallback(each.select("*", "h.*").drop("h"))
+    return rows_out.select(*keys, "as_of", "horizon", "prediction", "n_labelled", "last_value", *carried, "mae", "rmse", "naive_mae", "naive_rmse")
 
 
 def risk_flags(pred: DataFrame, threshold: DataFrame, upper: bool, keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edits import similarity_join
 from .relational import best_match
 
 #: English words that carry no meaning for matching.
@@ -15,15 +16,9 @@ STOP_WORDS = (
 )
 
 
-def similarity(a: str, b: str) -> Column:
-    """1 - edit distance / longer length, times 100."""
-    longer = F.greatest(F.length(a), F.length(b)).cast("double")
-    return F.round((1 - F.levenshtein(F.col(a), F.col(b)) / F.nullif(longer, F.lit(0.0))) * 100, 6)
-
-
-def close_lengths(a: str, b: str, floor: float) -> Column:
-    """False only where the lengths alone keep similarity below floor."""
-    return (F.length(a) * 100.0 >= F.length(b) * (floor - 1e-6)) & (F.length(b) * 100.0 >= F.length(a) * (floor - 1e-6))
+def variant_key(c: str) -> Column:
+    """A name without its punctuation, its case and a leading article, as synonym tables list names."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(F.col(c)), r"[^\p{L}\p{N}]+", " "), r"^ ?THE (?=.)", ""))
 
 
 def resolve_country_by_code(df: DataFrame, ref: DataFrame, column: str = "partner_code") -> DataFrame:
@@ -33,21 +28,29 @@ def resolve_country_by_code(df: DataFrame, ref: DataFrame, column: str = "partne
     return df.drop(*names).join(r, F.upper(F.trim(F.col(column))) == F.col("__code"), "left").drop("__code")
 
 
-def resolve_country_by_name(names: DataFrame, ref: DataFrame, aliases: DataFrame, floor: float = 70.0) -> DataFrame:
-    """(name, iso3, resolved_name, how) for each distinct name: alias, exact, else the most similar above floor.
+def resolve_country_by_name(names: DataFrame, ref: DataFrame, aliases: DataFrame, floor: float = 70.0, variants: DataFrame | None = None) -> DataFrame:
+    """(name, iso3, resolved_name, how) for each distinct name: alias, exact, else a variant, else the most similar above floor.
 
-    Distinct names only; the fuzzy step compares all pairs but those whose lengths differ so much that no score can pass
-    the floor."""
+    variants (variant, iso3) is a table of synonyms such as official, short and foreign names; where one is given, every reference
+    name is its own variant too, and a variant that stands for several countries resolves none. Only names that are left by
+    these go into the join by edit distance, which finds all reference names above floor."""
     asked = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().withColumn("key", F.upper("name"))
     exact = ref.select(F.upper("name").alias("key"), F.col("iso3").alias("e_iso"), F.col("name").alias("e_name"))
     alias = aliases.select(F.upper("alias").alias("key"), F.upper("name").alias("a_key")).join(exact.select(F.col("key").alias("a_key"), F.col("e_iso").alias("a_iso"), F.col("e_name").alias("a_name")), "a_key").drop("a_key")
-    known = asked.join(alias, "key", "left").join(exact, "key", "left")
-    left = known.where("a_iso is null and e_iso is null").select("key").distinct()
-    pairs = left.join(exact.withColumnRenamed("key", "r_key"), close_lengths("key", "r_key", floor))
-    best = best_match(pairs.withColumn("score", similarity("key", "r_key")).where(F.col("score") > floor), "key", "score", "r_key", floor)
+    spelled = ref.select(variant_key("name").alias("v_key"), "iso3")
+    if variants is None:
+        spelled = spelled.where("false")
+    else:
+        spelled = spelled.unionByName(variants.select(variant_key("variant").alias("v_key"), "iso3").join(ref.select("iso3"), "iso3", "left_semi"))
+    one = spelled.where("v_key <> ''").groupBy("v_key").agg(F.min("iso3").alias("v_iso"), F.max("iso3").alias("other")).where("v_iso = other").drop("other")
+    variant = one.join(ref.select(F.col("iso3").alias("v_iso"), F.col("name").alias("v_name")), "v_iso")
+    known = asked.join(alias, "key", "left").join(exact, "key", "left").withColumn("v_key", variant_key("name")).join(variant, "v_key", "left").drop("v_key")
+    left = known.where("a_iso is null and e_iso is null and v_iso is null").select("key").distinct()
+    pairs = similarity_join(left, exact.select("key"), floor).where(F.col("score") > floor).withColumnsRenamed({"a": "key", "b": "r_key"})
+    best = best_match(pairs, "key", "score", "r_key", floor)
     fuzzy = best.join(exact.select(F.col("key").alias("r_key"), F.col("e_iso").alias("f_iso"), F.col("e_name").alias("f_name")), "r_key").select("key", "f_iso", "f_name")
-    how = F.when(F.col("a_iso").isNotNull(), "alias").when(F.col("e_iso").isNotNull(), "exact").when(F.col("f_iso").isNotNull(), "fuzzy").otherwise("unresolved")
-    return known.join(fuzzy, "key", "left").select("name", F.coalesce("a_iso", "e_iso", "f_iso").alias("iso3"), F.coalesce("a_name", "e_name", "f_name", "name").alias("resolved_name"), how.alias("how"))
+    how = F.when(F.col("a_iso").isNotNull(), "alias").when(F.col("e_iso").isNotNull(), "exact").when(F.col("v_iso").isNotNull(), "variant").when(F.col("f_iso").isNotNull(), "fuzzy").otherwise("unresolved")
+    return known.join(fuzzy, "key", "left").select("name", F.coalesce("a_iso", "e_iso", "v_iso", "f_iso").alias("iso3"), F.coalesce("a_name", "e_name", "v_name", "f_name", "name").alias("resolved_name"), how.alias("how"))
 
 
 def keyword_text(c: str) -> Column:
@@ -70,32 +73,61 @@ def grams(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
-def tfidf_best_match(queries: DataFrame, corpus: DataFrame, floor: float = 0.2) -> DataFrame:
-    """(query_id, doc_id, score): the corpus text with the highest cosine of tf-idf weights (idf ln((1+n)/(1+df))+1
-    over the corpus, unit vectors), at or above floor. An inverted-index join on shared grams."""
-    own, asked = grams(corpus, "doc_id", "text"), grams(queries, "query_id", "text")
-    n = corpus.agg(F.count("*").alias("n"))
-    idf = own.groupBy("gram").agg(F.count("*").alias("df")).join(n).select("gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+#: Scores are rounded to nine places; bounds on them give way by this much.
+SLACK = 2e-9
+#: Steps of the norm that an indexed gram and what follows it have left.
+STEPS = 16
 
-    def weighed(g: DataFrame, key: str) -> DataFrame:
-        w = g.join(idf, "gram").select(key, "gram", (F.col("tf") * F.col("idf")).alias("w"))
-        return w.join(w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
 
-    q, d = weighed(asked, "query_id").withColumnRenamed("w", "wq"), weighed(own, "doc_id").withColumnRenamed("w", "wd")
-    pairs = q.join(d, "gram").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 9).alias("score"))
-    return best_match(pairs, "query_id", "score", "doc_id", floor)
+def vectors(own: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, v): unit vectors of tf x idf as arrays of (gram, w, rest), the rarest gram first; rest is the norm of a gram and all
+    behind it."""
+    w = own.join(idf, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")))).alias("g"))
+    unit = w.withColumn("norm", F.expr("sqrt(aggregate(g, 0D, (s, x) -> s + x.w * x.w))"))
+    rest = "sqrt(aggregate(slice(g, i + 1, size(g)), 0D, (s, y) -> s + y.w * y.w)) / norm"
+    return unit.select(key, F.expr(f"transform(g, (x, i) -> struct(x.gram as gram, x.w / norm as w, {rest} as rest))").alias("v"))
 
 
-def token_sort_match(queries: DataFrame, corpus: DataFrame, cutoff: float = 60.0, same_first_word: bool = False) -> DataFrame:
-    """(query_id, doc_id, score): the most similar text once words are sorted, at or above cutoff.
+def tfidf_best_match(queries: DataFrame, corpus: DataFrame, floor: float = 0.2) -> DataFrame:
+    """(query_id, doc_id, score): the corpus text with the highest cosine of tf-idf weights (idf ln((1+n)/(1+df))+1
+    over the corpus, unit vectors), at or above floor (ties: the smallest doc_id).
 
-    All pairs are compared but those whose lengths alone keep them below cutoff; same_first_word leaves out also those
-    whose first words in that order differ, however similar."""
-    ordered = lambda c: F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
-    q = queries.select("query_id", ordered("text").alias("w")).select("query_id", F.array_join("w", " ").alias("q_text"), F.get("w", F.lit(0)).alias("block"))
-    d = corpus.select("doc_id", ordered("text").alias("w")).select("doc_id", F.array_join("w", " ").alias("d_text"), F.get("w", F.lit(0)).alias("block"))
-    pairs = q.join(d, "block") if same_first_word else q.join(d.drop("block"), close_lengths("q_text", "d_text", cutoff))
-    return best_match(pairs.withColumn("score", similarity("q_text", "d_text")), "query_id", "score", "doc_id", cutoff)
+    Grams are taken from the rarest on, in one order for all vectors. A pair whose first common gram leaves the norms x and y on the
+    two sides scores x y at most. So a query first gets a best score to beat, from the texts in which its grams weigh
+    most; then it looks up its grams only as long as what is left of it can still reach that, and only at entries of the
+    index that leave enough norm on their side. A gram that most texts share comes last and leaves little of either."""
+    own, asked = grams(corpus, "doc_id", "text"), grams(queries, "query_id", "text")
+    n = corpus.agg(F.count("*").alias("n")).scalar()
+    idf = own.groupBy("gram").agg(F.count("*").alias("df")).select("gram", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    q, d = vectors(asked, idf, "query_id"), vectors(own, idf, "doc_id")
+    spread = lambda v, key, more=(): v.select(key, *more, F.explode("v").alias("x")).select(key, *more, "x.gram", "x.w", "x.rest")
+    entries = spread(d, "doc_id").where(F.col("rest") >= floor - SLACK)
+    held = d.select("doc_id", F.expr("map_from_arrays(transform(v, x -> x.gram), transform(v, x -> x.w))").alias("weights"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(held, "doc_id").join(q.select("query_id", "v"), "query_id")
+        return met.select("query_id", "doc_id", F.expr("round(aggregate(v, 0D, (s, x) -> s + x.w * coalesce(weights[x.gram], 0D)), 9)").alias("score"))
+
+    heaviest = entries.groupBy("gram").agg(F.max_by("doc_id", F.struct("w", "doc_id")).alias("doc_id"))
+    first = scored(spread(q, "query_id").join(heaviest, "gram").select("query_id", "doc_id").distinct())
+    bar = first.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(floor)).alias("bar"))
+    step = lambda c: F.floor(F.col(c) * STEPS).cast("int")
+    least = F.floor((F.col("bar") - SLACK) / F.col("rest") * STEPS).cast("int")
+    asking = spread(q.join(bar, "query_id"), "query_id", ("bar",)).where(F.col("rest") >= F.col("bar") - SLACK)
+    asking = asking.select("query_id", "gram", "bar", F.col("rest").alias("x"), F.explode(F.sequence(F.least(least, F.lit(STEPS)), F.lit(STEPS))).alias("step"))
+    index = entries.select("doc_id", "gram", F.col("rest").alias("y"), F.least(step("rest"), F.lit(STEPS)).alias("step"))
+    met = asking.join(index, ["gram", "step"]).where(F.col("x") * F.col("y") >= F.col("bar") - SLACK).select("query_id", "doc_id").distinct()
+    return best_match(scored(met), "query_id", "score", "doc_id", floor)
+
+
+def token_sort_match(queries: DataFrame, corpus: DataFrame, cutoff: float = 60.0) -> DataFrame:
+    """(query_id, doc_id, score): the most similar text once words are sorted, at or above cutoff (ties: the smallest doc_id).
+    Distinct sorted texts are joined by edit distance, which finds all at cutoff or above."""
+    ordered = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")), " ")
+    q, d = queries.select("query_id", ordered("text").alias("a")), corpus.select("doc_id", ordered("text").alias("b"))
+    near = similarity_join(q.select("a"), d.select("b"), cutoff)
+    named = near.join(d.groupBy("b").agg(F.min("doc_id").alias("doc_id")), "b")
+    return best_match(q.join(best_match(named, "a", "score", "doc_id", cutoff), "a").select("query_id", "doc_id", "score"), "query_id", "score", "doc_id", cutoff)
 
 
 def infer_codes(df: DataFrame, key: str, text: str, code: str, rules: list[tuple[str, str]], corpus: DataFrame) -> DataFrame:

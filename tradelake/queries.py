@@ -618,19 +618,28 @@ def resolve_country(s, d):
     return out.groupBy(F.upper(F.trim("partner_code")).alias("partner_code"), "partner_name", "region").agg(F.count("*").alias("n"))
 
 
-NAMES = """ref as (select iso3, name, region, continent from iso), al as (select * from (values ('NUOC ANH', 'nation_7')) a(alias, name)),
-    asked as (select distinct name, upper(name) k from (select n_name as name from nation union all select 'nuoc anh' union all select left(n_name, length(n_name) - 1) || 'X' from nation)),
-    x as (select asked.*, case when a.alias is not null then ra.iso3 end ai, case when a.alias is not null then ra.name end an, re.iso3 ei, re.name en from asked left join al a on a.alias = k left join ref ra on upper(ra.name) = upper(a.name) left join ref re on upper(re.name) = k),
-    fz as (select k, iso3 fi, name fn from (select x.k, r.iso3, r.name, upper(r.name) rk, round((1 - levenshtein(x.k, upper(r.name)) / greatest(length(x.k), length(r.name))::double) * 100, 6) score from x join ref r on left(x.k, 1) = left(upper(r.name), 1)
-        and length(r.name) * 10 >= length(x.k) * 7 and length(x.k) * 10 >= length(r.name) * 7 where x.ai is null and x.ei is null) where score > 70 qualify row_number() over (partition by k order by score desc, rk) = 1)"""
-
-
-@query(f"with {NAMES} select x.name, coalesce(ai, ei, fi) iso3, coalesce(an, en, fn, x.name) resolved_name, case when ai is not null then 'alias' when ei is not null then 'exact' when fi is not null then 'fuzzy' else 'unresolved' end how from x left join fz using (k)", "iso")
+VARIANTS = [("Land of nation-3 (official)", 3), ("The Kingdom of N.5", 5), ("both", 6), ("both", 7)]
+VARIANT_KEY = "trim(regexp_replace(regexp_replace(upper({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '^ ?THE (.)', '\\1'))"
+NAMES = f"""ref as (select iso3, name, region, continent from iso), al as (select * from (values ('NUOC ANH', 'nation_7')) a(alias, name)),
+    va as (select {VARIANT_KEY.format("v")} vk, min(iso3) vi from (select name v, iso3 from ref union all select v, iso3 from (values {", ".join(f"('{v}', 'C0{k}')" for v, k in VARIANTS)}) t(v, iso3)) group by 1 having min(iso3) = max(iso3)),
+    asked as (select distinct name, upper(name) k from (select n_name as name from nation union all select 'nuoc anh' union all select left(n_name, length(n_name) - 1) || 'X' from nation union all select 'X' || substr(n_name, 2) from nation
+        union all select unnest(['land of NATION 3, official', 'kingdom of n 5', 'both', 'The nation 4']))),
+    x as (select asked.*, case when a.alias is not null then ra.iso3 end ai, case when a.alias is not null then ra.name end an, re.iso3 ei, re.name en, va.vi, rv.name vn from asked left join al a on a.alias = k left join ref ra on upper(ra.name) = upper(a.name) left join ref re on upper(re.name) = k
+        left join va on va.vk = {VARIANT_KEY.format("asked.name")} left join ref rv on rv.iso3 = va.vi),
+    fz as (select k, iso3 fi, name fn from (select x.k, r.iso3, r.name, upper(r.name) rk, round((1 - levenshtein(x.k, upper(r.name)) / greatest(length(x.k), length(r.name))::double) * 100, 6) score from x, ref r
+        where x.ai is null and x.ei is null and x.vi is null) where score > 70 qualify row_number() over (partition by k order by score desc, rk) = 1)"""
+
+
+@query(f"""with {NAMES} select x.name, coalesce(ai, ei, vi, fi) iso3, coalesce(an, en, vn, fn, x.name) resolved_name,
+    case when ai is not null then 'alias' when ei is not null then 'exact' when vi is not null then 'variant' when fi is not null then 'fuzzy' else 'unresolved' end how from x left join fz using (k)""", "iso")
 def resolve_country_name(s, d):
+    """The countries' names, worse spellings of them at either end, an alias and variants, one of which stands for two countries."""
     n = B.table(s, d, "nation").select(F.col("n_name").alias("name"))
-    worse = n.select(F.concat(F.expr("left(name, length(name) - 1)"), F.lit("X")).alias("name"))
-    names = n.union(worse).union(s.sql("select 'nuoc anh' as name"))
-    return match.resolve_country_by_name(names, B.iso_reference(s, d), s.sql("select 'NUOC ANH' as alias, 'nation_7' as name"))
+    last = n.select(F.concat(F.expr("left(name, length(name) - 1)"), F.lit("X")).alias("name"))
+    first = n.select(F.concat(F.lit("X"), F.expr("substring(name, 2)")).alias("name"))
+    others = s.sql("select explode(array('nuoc anh', 'land of NATION 3, official', 'kingdom of n 5', 'both', 'The nation 4')) as name")
+    variants = s.createDataFrame([(v, f"C0{k}") for v, k in VARIANTS], "variant string, iso3 string")
+    return match.resolve_country_by_name(n.union(last).union(first).union(others), B.iso_reference(s, d), s.createDataFrame([("NUOC ANH", "nation_7")], "alias string, name string"), variants=variants)
 
 
 RULES = [("widget", "870390"), ("gear", "120190"), ("red", "030399"), ("blue", "940383"), ("large", "270900"), ("a", "691200")]
@@ -645,13 +654,17 @@ TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce(t, '')), '[^a-z
 STOP = ", ".join(f"'{w}'" for w in match.STOP_WORDS)
 
 
-@query(f"""with q as (select distinct p_name query_id, p_name t from part), c as (select item_id::varchar doc_id, text t from benchmark union all select distinct p_brand || ' ' || p_name || ' ' || p_type, p_brand || ' ' || p_name || ' ' || p_type from part),
-    g as (select 'q' side, query_id id, {TOKENS.format(f"length(w) >= 2 and w not in ({STOP})")} w from q union all select 'c', doc_id, {TOKENS.format(f"length(w) >= 2 and w not in ({STOP})")} from c),
+#: The best text of c (doc_id, t) for each of q (query_id, t) by the full product.
+TFIDF = f"""g as (select 'q' side, query_id id, {TOKENS.format(f"length(w) >= 2 and w not in ({STOP})")} w from q union all select 'c', doc_id, {TOKENS.format(f"length(w) >= 2 and w not in ({STOP})")} from c),
     e as (select side, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) gram from g), tf as (select side, id, gram, count(*) tf from e group by all),
     idf as (select gram, ln((1.0::double + (select count(*) from c)) / (1.0::double + count(*))) + 1 idf from tf where side = 'c' group by 1),
     w as (select side, id, gram, tf * idf w from tf join idf using (gram)), u as (select side, id, gram, w / sqrt(sum(w * w) over (partition by side, id)) w from w),
-    p as (select a.id query_id, b.id doc_id, round(sum(a.w * b.w), 9) score from u a join u b on a.gram = b.gram and a.side = 'q' and b.side = 'c' group by 1, 2)
-    select query_id, doc_id, round(score, 6) score from p where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, doc_id) = 1""")
+    p as (select a.id query_id, b.id doc_id, round(sum(a.w * b.w), 9) score from u a join u b on a.gram = b.gram and a.side = 'q' and b.side = 'c' group by 1, 2),
+    best as (select query_id, doc_id, round(score, 6) score from p where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, doc_id) = 1)"""
+
+
+@query(f"""with q as (select distinct p_name query_id, p_name t from part), c as (select item_id::varchar doc_id, text t from benchmark union all select distinct p_brand || ' ' || p_name || ' ' || p_type, p_brand || ' ' || p_name || ' ' || p_type from part),
+    {TFIDF} select query_id, doc_id, score from best""")
 def tfidf_match(s, d):
     p = B.table(s, d, "part")
     q = p.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
@@ -672,7 +685,13 @@ def token_sort_match(s, d):
     return match.token_sort_match(n.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")), n.select(F.col("p_name").alias("doc_id"), F.replace("p_name", F.lit("e"), F.lit("")).alias("text")))
 
 
-@query()
+@query(f"""with pt as (select p_partkey, p_type || ' ' || p_name as text, case when p_size % 3 = 0 then lpad(p_size::varchar, 2, '0') || lpad((p_partkey % 10000)::varchar, 4, '0') end code from part),
+    k as (select *, case when contains(x, 'widget') then '870390' when contains(x, 'gear') then '120190' end kw from (select *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) x from pt)),
+    q as (select distinct text query_id, text t from k where code is null and kw is null), c as (select hs_code doc_id, heading_name || ' ' || product_name t from products),
+    {TFIDF}, sq as (select query_id, {SORTED} x from q anti join best using (query_id)), sc as (select doc_id, {SORTED} x from c),
+    sb as (select query_id, doc_id from (select query_id, doc_id, round((1 - levenshtein(sq.x, sc.x) / nullif(greatest(length(sq.x), length(sc.x)), 0)::double) * 100, 6) score from sq, sc) where score >= 60
+        qualify row_number() over (partition by query_id order by score desc, doc_id) = 1)
+    select p_partkey, text, coalesce(code, kw, best.doc_id, sb.doc_id) hs_code from k left join best on best.query_id = text left join sb on sb.query_id = text""", "products")
 def infer_codes(s, d):
     """Codes for the products without one: by keyword, else by text, else by sorted words."""
     p = B.table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"), F.when(F.col("p_size") % 3 == 0, B.hs_code()).alias("hs_code"))

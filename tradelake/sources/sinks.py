@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,16 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: that of spark.checkpoint.dir, else the warehouse."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (path or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that driver and executors share: that of spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own; on a cluster no other machine would see that, so it is an error there."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tradelake-")
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> str:
