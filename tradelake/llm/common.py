@@ -18,9 +18,9 @@ NULL_ID = -(2**63)
 #: A key with more than 1 / HUBS of all rows is joined by broadcast: there are less than HUBS of them. Below HUB_ROWS
 #: rows no key is a burden.
 HUBS, HUB_ROWS = 1000, 100_000
-_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that a Python worker is handed at once while tables are written: whole texts are long.
-BATCH_ROWS = 2000
+_CLEANUP, _BATCH, _BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes that a Python worker is handed at once while tables are written: whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _made: list[str] = []
 
@@ -47,11 +47,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = {k: spark.conf.get(k, v) for k, v in ((_CLEANUP, "false"), (_BATCH, "10000"))}
+    before = {k: spark.conf.get(k, v) for k, v in ((_CLEANUP, "false"), (_BATCH, "10000"), (_BYTES, "64MB"))}
     rows = int(before[_BATCH])
     try:
         spark.conf.set(_CLEANUP, "true")
         spark.conf.set(_BATCH, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+        spark.conf.set(_BYTES, BATCH_BYTES)
         df.write.parquet(path)
     finally:
         for k, v in before.items():
