@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import agreements, late, match, merge, rules
 from ..operators import relational as R
-from ..schemas import TRADE_KEY
+from ..schemas import ODS_TRADE, TRADE_KEY
+from ..sources import tables
 from ..sources.sinks import store
 from . import star as S
 
@@ -50,11 +51,13 @@ COUNTRY_ALIASES = {
 
 @dataclass
 class References:
-    """iso: (iso3, name, region, continent); aliases: (alias, name); nomenclature: (hscode, description, level)."""
+    """iso: (iso3, name, region, continent); aliases: (alias, name); nomenclature: (hscode, description, level); variants of
+    country names: (variant, iso3)."""
 
     iso: DataFrame
     aliases: DataFrame
     nomenclature: DataFrame
+    variants: DataFrame | None = None
 
 
 def csv_to_unified(df: DataFrame) -> DataFrame:
@@ -88,25 +91,54 @@ def hs_description(df: DataFrame, nomenclature: DataFrame, column: str = "hs_cod
     return df.withColumn("hs_description", F.coalesce(*found, F.lit(""))).drop(*found)
 
 
-def stage_to_ods(unified: DataFrame, refs: References, watermark: DataFrame, ods: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new ods, new watermark, late rows): blank codes inferred, hierarchy and description, countries by code or name,
-    late rows marked, rolled up to the grain and merged into ods."""
+def stage_rows(unified: DataFrame, refs: References, watermark: DataFrame, ods: DataFrame, batch_id: str, arrival: str | None = None) -> DataFrame:
+    """The batch's rows of ods: blank codes inferred, hierarchy and description, countries by code or name, late rows
+    marked, rolled up to the grain. Of texts that differ within the grain the last to arrive counts: by the column arrival, where
+    there is one, else by the texts."""
     corpus = refs.nomenclature.where("level = 6").select(F.col("hscode").alias("doc_id"), F.col("description").alias("text"))
     coded = match.infer_codes(unified, "hs_code", "product_name", "hs_code", KEYWORD_RULES, corpus)
     code, chapter, heading = clean.hs_hierarchy("hs_code")
     coded = hs_description(coded.withColumns({"chapter": chapter, "heading": heading, "hs_code": code}), refs.nomenclature)
     coded = coded.withColumn("product_name", F.coalesce(F.nullif("hs_description", F.lit("")), "product_name")).drop("hs_description")
-    resolved = match.resolve_country_by_name(coded.select(F.col("partner_name").alias("name")), refs.iso, refs.aliases).select(F.upper("name").alias("__name"), F.col("iso3").alias("__iso")).dropDuplicates(["__name"])
+    resolved = match.resolve_country_by_name(coded.select(F.col("partner_name").alias("name")), refs.iso, refs.aliases, variants=refs.variants).select(F.upper("name").alias("__name"), F.col("iso3").alias("__iso")).dropDuplicates(["__name"])
     named = coded.join(resolved, F.upper(F.trim("partner_name")) == F.col("__name"), "left").withColumn("partner_code", F.coalesce(F.nullif(F.trim("partner_code"), F.lit("")), "__iso")).drop("__name", "__iso")
     placed = match.resolve_country_by_code(named, refs.iso).withColumns({"quarter": clean.quarter_of("month"), "batch_id": F.lit(batch_id)})
     marked = late.detect_late(placed, watermark, ods, TRADE_KEY)
-    seq = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("value", "quantity", "unit", "partner_name", "product_name")])
+    texts = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("value", "quantity", "unit", "partner_name", "product_name")])
+    seq = F.struct(F.col(arrival), texts) if arrival else texts
     own = [c for c in ods.columns if c != "ods_id"]
     rolled = R.rollup_to_grain(marked.withColumn("seq", seq).select(*own, "seq"), TRADE_KEY, ["value", "quantity"], "seq")
-    typed = rolled.withColumn("ods_id", clean.surrogate_key(*TRADE_KEY)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ods.schema.fields])
+    return rolled.withColumn("ods_id", clean.surrogate_key(*TRADE_KEY)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ods.schema.fields])
+
+
+def stage_to_ods(unified: DataFrame, refs: References, watermark: DataFrame, ods: DataFrame, batch_id: str, arrival: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new ods, new watermark, late rows): stage_rows() merged into ods."""
+    typed = stage_rows(unified, refs, watermark, ods, batch_id, arrival)
     return merge.merge_accumulate(ods, typed, TRADE_KEY, ["value", "quantity"]), R.advance_watermark(typed, watermark), typed.where("is_late_arriving")
 
 
+#: The period of a trade row, by which its table is laid out; it is part of the key.
+PERIOD = "year * 100 + month"
+
+
+def load_batch(unified: DataFrame, refs: References, watermark: DataFrame, home: str, batch_id: str, arrival: str | None = None) -> dict:
+    """Load one batch into the tables under home: its rows into ods, those that break a rule with their payload into rejects,
+    late keys into late_audit. Returns the record of ods. A batch that is there already changes nothing, and one whose run ended
+    early is taken up where it ended; rows read and written follow the batch."""
+    spark = unified.sparkSession
+    if done := tables.committed(spark, f"{home}/ods", batch_id):
+        return done
+    touched = tables.periods_of(unified, PERIOD)
+    ods = tables.read(spark, f"{home}/ods", ODS_TRADE, touched)
+    rows = kept(stage_rows(unified, refs, watermark, ods, batch_id, arrival), "ods-batch")
+    broken = rules.classify_rejects(rows, refs.iso)
+    payload = broken.select("batch_id", F.lit("ods_trade").alias("source_table"), "reject_reason", clean.reject_payload(*rows.columns).alias("payload"))
+    rejected = tables.append_batch(spark, f"{home}/rejects", payload, batch_id)["rows_after"]
+    tables.append_batch(spark, f"{home}/late_audit", rows.where("is_late_arriving").select(*TRADE_KEY, "batch_id"), batch_id)
+    extracted, loaded = unified.count(), rows.count()
+    return tables.merge_batch(spark, f"{home}/ods", rows, batch_id, PERIOD, lambda old, new: merge.merge_accumulate(old, new, TRADE_KEY, ["value", "quantity"]), rows_extracted=extracted, rows_loaded=loaded, rows_rejected=rejected)
+
+
 def ods_to_nds(ods: DataFrame, fta: DataFrame, rates: DataFrame, refs: References, home: str, batch_id: str | None = None) -> dict[str, DataFrame]:
     """The normalised tables of the (batch's) valid rows, and their rejects."""
     scoped = rules.scope_to_batch(ods, batch_id)

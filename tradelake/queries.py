@@ -13,8 +13,8 @@ from .operators import agreements, cube, features, forecast, late, match, merge,
 from .operators import relational as R
 from .plans import layers
 from .plans import star as S
-from .schemas import DIM_COUNTRY, DIM_PRODUCT, ODS_TRADE, TRADE_KEY
-from .sources import files
+from .schemas import DIM_COUNTRY, DIM_PRODUCT, ODS_TRADE, REJECTS, TRADE_KEY
+from .sources import files, sinks, tables
 from .sources.agreement_columns import HEADERS, PROVISIONS, RENAMED, YES_NO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,6 +561,20 @@ def merge_ignore(s, d):
     return merged(merge.merge_ignore(*batches(s, d), TRADE_KEY))
 
 
+ACCUMULATED = MERGED.format("case when t.batch_id = s.batch_id then t.value + s.value else coalesce(s.value, t.value) end::double as value, case when t.batch_id = s.batch_id then t.quantity + s.quantity else coalesce(s.quantity, t.quantity) end::double quantity, case when s.value is not null then s.unit else t.unit end unit, coalesce(s.batch_id, t.batch_id) batch_id")
+
+
+@query(ACCUMULATED, "trade")
+def merge_periods(s, d):
+    """The two batches loaded into a table by period, the second one twice, of which only the first counts."""
+    home = sinks.new_folder(s, "merge-periods")
+    one, two = batches(s, d)
+    for name, rows in (("B1", one), ("B2", two), ("B2", two)):
+        tables.merge_batch(s, home, rows, name, layers.PERIOD, lambda old, new: merge.merge_accumulate(old, new, TRADE_KEY, ["value", "quantity"]))
+    tables.clean(s, home)
+    return merged(tables.read(s, home, one.schema))
+
+
 @query("select fta_id, country_code from members where fta_id > 3 union all select fta_id, country_code from members where fta_id <= 3 and country_code < 'C10'", "members")
 def replace_members(s, d):
     m = B.members(s, d)
@@ -1119,6 +1133,26 @@ def stage_to_ods(s, d):
     return staged(s, d)[0].select("year", "month", "hs_code", "chapter", "partner_code", "flow_type", "source_system", *dbl("value", "quantity"), "batch_id", "is_late_arriving")
 
 
+@query(f"""with {MARKS}, {STAGED}, j as (select *, {REASON} reason from st)
+    select 'rejects' table_name, reason as name, count(*) n, sum(value)::double as value from j where reason is not null group by 2
+    union all select 'late_audit', source_system, count(*), null from st join wm using (source_system) where year * 100 + month < last_year * 100 + last_month group by 2
+    union all select 'ods', source_system, count(*), sum(value)::double from st group by 2
+    union all select 'log ods', 'SUCCESS', count(*), null from st union all select 'log rejects', 'SUCCESS', count(*), null from j where reason is not null""", "trade", "iso")
+def load_batches(s, d):
+    """All rows loaded as one batch that is run twice: what ods, rejects (by payload), late audit and the logs hold then."""
+    home = sinks.new_folder(s, "load-batches")
+    for _ in range(2):
+        layers.load_batch(unified(s, d), references(s, d), watermarks(s, d), home, "B9")
+    held = lambda name, schema: tables.read(s, f"{home}/{name}", schema)
+    rejects = held("rejects", REJECTS).groupBy(F.col("reject_reason").alias("name")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("payload", "$.value").cast("decimal(28,6)")).cast("double").alias("value"))
+    late_keys = held("late_audit", "year int, month int, hs_code string, partner_code string, flow_type boolean, source_system string, batch_id string").groupBy(F.col("source_system").alias("name")).agg(F.count("*").alias("n"))
+    ods = held("ods", ODS_TRADE).groupBy(F.col("source_system").alias("name")).agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("value"))
+    logs = [tables.batch_log(s, f"{home}/{t}").select(F.lit(f"log {t}").alias("table_name"), F.col("status").alias("name"), F.col("rows_after").alias("n")) for t in ("ods", "rejects")]
+    empty = F.lit(None).cast("double")
+    parts = [rejects.withColumn("table_name", F.lit("rejects")), late_keys.withColumns({"table_name": F.lit("late_audit"), "value": empty}), ods.withColumn("table_name", F.lit("ods")), *[x.withColumn("value", empty) for x in logs]]
+    return R.union_sources(*[p.select("table_name", "name", "n", "value") for p in parts])
+
+
 def normalised(s, d):
     ods = B.dirty_trade(s, d).withColumns({"chapter": F.left("hs_code", F.lit(2)), "heading": F.left("hs_code", F.lit(4))})
     grouped = B.members(s, d).join(B.countries(s, d), "country_code").groupBy("fta_id").agg(F.collect_list("country_name").alias("members"))

@@ -40,9 +40,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{scratch_folder(spark)}/tradelake-{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, name: str) -> str:
     """Write df under a new name in the shared folder, and return the path."""
-    path = f"{scratch_folder(df.sparkSession)}/tradelake-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return path
 
