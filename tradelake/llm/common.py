@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import weakref
@@ -87,6 +89,36 @@ def result_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+_kept: dict[tuple, object] = {}
+
+
+def keep(name: tuple, make: Callable[[], object]) -> object:
+    """What is dear to make, made once by a worker process and kept between tasks; of these only the last asked for is kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: tuple | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow. Worker processes serve one stage after another: so what another stage had them keep() goes first, and
+    when the task is done its freed memory goes back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _kept if n != uses]:
+            del _kept[name]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+                if trim:
+                    trim(0)
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Edits allowed as a share of an item's characters.
 MAX_EDIT_SHARE = 0.05
@@ -167,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for h in matcher.hits(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(arrow)], ["doc_id", "item_id", "distance", "end"])
 
-        hits = texts.mapInArrow(run, schema)
+        hits = texts.mapInArrow(tidy(run), schema)
         before = (hits if before is None else before[0].unionByName(hits), sent)
     return before[0]
 
@@ -190,5 +190,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
                 yield pa.RecordBatch.from_struct_array(batch.column(1).filter(pa.array(clean, pa.bool_())))
 
         whole = left.select(normalised("text").alias("plain"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
-        left = whole.mapInArrow(run, docs.schema)
+        left = whole.mapInArrow(tidy(run), docs.schema)
     return left

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, partitions, with_long_id
+from .common import fresh, materialise, partitions, tidy, with_long_id
 
 #: Least length of a key in code points, and the number of documents from which on it is a shared line.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -46,7 +46,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs_, pa.int64()), pa.array(versions, pa.int64()), pa.array(where, pa.int32())], ["h1", "h2", "doc", "version", "pos"])
 
-    return docs.where("text is not null").select("doc", "text", F.xxhash64("text")).mapInArrow(run, _ROW)
+    return docs.where("text is not null").select("doc", "text", F.xxhash64("text")).mapInArrow(tidy(run), _ROW)
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         if key is not None:
             yield from edge()
 
-    found = materialise(placed.mapInArrow(run, f"what int, {_ROW}"), "lines-found")
+    found = materialise(placed.mapInArrow(tidy(run), f"what int, {_ROW}"), "lines-found")
     edges = found.where(F.col("what") == EDGE).groupBy("h1", "h2").agg(F.sum("doc").alias("docs"), F.max("version").alias("top"))
     later = found.where(F.col("what") == LATER).join(F.broadcast(edges.where(F.col("docs") >= min_docs)), ["h1", "h2"]).where("doc <> top")
     return found.where(F.col("what") == DROP).select("doc", "version", "pos").unionByName(later.select("doc", "version", "pos"))
@@ -148,7 +148,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                 maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["doc", "version", "bitmap"])
 
-    return lists.mapInArrow(pack, "doc long, version long, bitmap binary")
+    return lists.mapInArrow(tidy(pack), "doc long, version long, bitmap binary")
 
 
 def dropped_positions(bitmap: bytes | None) -> list[int]:
@@ -189,7 +189,7 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
             )
 
     rows = _with_bitmaps(docs.select("doc_id", "text"), ["doc_id", "text"], min_chars, min_docs)
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -210,4 +210,4 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                     columns["n_chars"] = pa.array([len(t) if b else n for t, b, n in zip(columns["text"].to_pylist(), maps, old, strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(tidy(run), docs.schema)

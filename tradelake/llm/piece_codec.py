@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import keep, tidy
+
 SPACE = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 #: Code points that are indexed at once; words up to LOCKSTEP_CHARS are relaxed together; longer words than LONG_CHARS are
@@ -320,14 +322,9 @@ class PieceModel:
         return "".join(out)
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
     """One model per file and worker process."""
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return keep(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, column: str = "text", verify: bool = False) -> DataFrame:
@@ -357,7 +354,7 @@ def encode_pieces(docs: DataFrame, model_path: str, column: str = "text", verify
     names = ["piece_ids", "n_pieces", "decodes_back"] if verify else ["piece_ids"]
     rows = docs.drop(*names)
     kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType()]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]]))
+    return rows.mapInArrow(tidy(run, ("pieces", model_path)), T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]]))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -373,7 +370,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     rows = encoded.drop(into)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
+    return rows.mapInArrow(tidy(run, ("pieces", model_path)), T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def _parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions
+from .common import materialise, partitions, tidy
 
 #: Labelled rows that are fitted at most (those with the smallest hash of their id); a parameter of train().
 LABELLED_ROWS = 10_000
@@ -275,7 +275,7 @@ def handed_over(features: DataFrame, models: list[dict[str, Linear]]) -> list[di
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slot", "sums"])
 
     pool = features.where("quality is null and toxic is null").select("text", "meta").coalesce(partitions(features.sparkSession))
-    added = pool.mapInArrow(add, "slot int, sums binary").repartition(ADDERS).mapInArrow(merge, "slot int, sums binary")
+    added = pool.mapInArrow(tidy(add), "slot int, sums binary").repartition(ADDERS).mapInArrow(tidy(merge), "slot int, sums binary")
     total = empty(models)
     for r in added.toLocalIterator():
         total[r.slot] += np.frombuffer(r.sums)
@@ -323,7 +323,7 @@ def _features(rows: DataFrame) -> DataFrame:
 
     buckets = T.ArrayType(T.IntegerType())
     schema = T.StructType([rows.schema["row"], T.StructField("text", buckets), T.StructField("meta", buckets), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _inputs(docs: DataFrame) -> list[F.Column]:
@@ -391,7 +391,7 @@ def _score(features: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
             low, toxic = _chances(_rows(batch.column(1)), _rows(batch.column(2)), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).field(0), pa.array(1 - low), pa.array(toxic), pa.array((low <= 0.5) & (toxic < 0.5))], ["doc_id", "quality_score", "toxic_score", "kept"])
 
-    return features.select("row", "text", "meta").mapInArrow(run, f"doc_id {kind}, quality_score double, toxic_score double, kept boolean")
+    return features.select("row", "text", "meta").mapInArrow(tidy(run), f"doc_id {kind}, quality_score double, toxic_score double, kept boolean")
 
 
 def score(docs: DataFrame, heads: dict[str, Head | None]) -> DataFrame:
@@ -427,4 +427,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) ->
                 low, toxic = _chances(_rows(text), _rows(meta), sent.value)
                 yield pa.RecordBatch.from_struct_array(row.filter(pa.array((low <= 0.5) & (toxic < 0.5))))
 
-    return inputs.mapInArrow(run, docs.schema)
+    return inputs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, each_text, fresh, join_by_key, materialise, partitions
+from .common import connected_components, discard, each_text, fresh, join_by_key, materialise, partitions, tidy
 
 #: Shingle length in words, hash seed, differing bits of a link.
 SHINGLE_WORDS, SEED, BITS = 3, 42, 2
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in each_text(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def popcounts(fp: str) -> str:
