@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching.
 
-Every language has a byte context tree of variable order: the contexts of up to ORDER bytes that it has at least MIN_COUNT
-times, so that the trees grow with the corpus. A byte's probability in a context follows escape method C: c / (n + d) if it was
+Every language has a byte context tree of variable order: the contexts of up to ORDER bytes that the texts it is learned from have
+at least MIN_COUNT times. Those texts are all of the language, or a random share of them with about LEARNED bytes, so that trees
+have a bounded size however large the corpus is. A byte's probability in a context follows escape method C: c / (n + d) if it was
 seen there, else the escape d / (n + d) times its share of what the next shorter context gives to the bytes not seen
 here, down to a uniform distribution. The statistics are frozen after training, so a text's code length under a
 language is an exact sum over its bytes, and the shortest code names the language.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, utf8_slices
 
-#: Longest context in bytes, and the least count of a context that is kept.
-ORDER, MIN_COUNT = 4, 4
+#: Longest context in bytes; the least count of a context that is kept, and the bytes of text that a language is learned from at
+#: most, on average (parameters of train()); seed of the share that is taken.
+ORDER, MIN_COUNT, LEARNED, SEED = 4, 1, 64_000_000, 42
 #: Bytes worked on at once, and entries of languages' trees that are sent together (about 50 bytes each); more languages are
 #: scored in several passes. Both change the cost and no result.
 PIECE, ENTRIES = 1 << 20, 4_000_000
@@ -143,14 +145,23 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def tree_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(grams, contexts) of all languages of docs (text, lang): (lang, k, gram, bits) for every byte after a kept context of k
-    bytes, and (lang, k, context, escape)."""
+def share_of(docs: DataFrame, most: int) -> DataFrame:
+    """docs (text, lang) that have both; of a language with more than `most` bytes of text a random share of its rows, with that
+    many bytes on average. The draw depends on the seed and the place of a row, so a task that is run again draws the same."""
+    own = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    sizes = own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes_")).select(F.col("lang").alias("lang_"), (F.lit(float(most)) / F.greatest("bytes_", F.lit(1))).alias("share_"))
+    drawn = own.withColumn("draw_", F.rand(SEED))
+    return drawn.join(sizes, F.col("lang") == F.col("lang_")).where("draw_ < share_").select("text", "lang")
+
+
+def tree_parts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(grams, contexts) of all languages of docs (text, lang): (lang, k, gram, bits) for every byte after a context of k bytes
+    that occurs `least` times or more, and (lang, k, context, escape)."""
     orders = F.explode(F.array(*[F.lit(k) for k in range(ORDER + 1)]))
     counted = gram_counts(docs).withColumn("k", orders).select("lang", "k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1)").alias("gram"), "n")
     counted = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).withColumn("context", F.expr("shiftright(gram, 8)"))
     counted = materialise(counted, "language-grams")
-    kept = counted.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("d")).where(F.col("total") >= MIN_COUNT)
+    kept = counted.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("d")).where(F.col("total") >= least)
     seen = materialise(counted.join(kept.hint("merge"), ["lang", "k", "context"]).withColumn("p", F.col("n") / (F.col("total") + F.col("d"))), "language-seen")
     discard(counted)
     shorter = seen.select("lang", (F.col("k") + 1).alias("k"), F.col("gram").alias("tail"), F.col("p").alias("short_p"))
@@ -162,10 +173,12 @@ def tree_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.select("lang", "k", "gram", (-F.log2("p")).alias("bits")), contexts
 
 
-def train(docs: DataFrame) -> list[Tree]:
-    """Trees from all rows of docs (text, lang) that have both, a few languages in each so that a tree has about ENTRIES
-    grams. Empty tables, null texts and null languages give no trees. The driver gets the kept contexts only."""
-    grams, contexts = (materialise(df, "language-tree") for df in tree_parts(docs))
+def train(docs: DataFrame, most: int = LEARNED, least: int | None = None) -> list[Tree]:
+    """Trees from docs (text, lang), a few languages in each so that a tree has about ENTRIES grams. Rows without a text or a
+    language teach nothing; without any there are no trees. A language is learned from about `most` bytes of its texts at most,
+    and contexts that occur less than `least` times (MIN_COUNT) are left out; so what the driver gets and sends out is bounded
+    by the number of languages."""
+    grams, contexts = (materialise(df, "language-tree") for df in tree_parts(share_of(docs, most), MIN_COUNT if least is None else least))
     blocks: list[list[str]] = []
     size = 0
     for r in sorted(grams.groupBy("lang").count().toLocalIterator(), key=lambda r: r.lang):
