@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
-#: Leading characters of text keys, and low bits of integer keys that are left out, to give the ranges that are counted.
-LEADING, BITS = 3, 12
+from .scans import numbered
 
 
 def number_rows(df: DataFrame, key: str, name: str, *ties: str) -> DataFrame:
     """df with the added long column name: 1, 2, ... in the order of key and then of ties, which together tell all rows
-    apart.
-
-    The key's leading part deals the rows into ranges. Each range is numbered on its own, from the count of the ranges
-    before it; only these counts, one a range, meet in one task."""
-    whole = isinstance(df.schema[key].dataType, T.IntegralType)
-    ranged = df.withColumn("__range", F.shiftright(F.col(key).cast("long"), BITS) if whole else F.left(F.col(key).cast("string"), F.lit(LEADING)))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    joined = ranged.join(before, ranged["__range"].eqNullSafe(before["__range"])).drop(before["__range"])
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties))
-    return joined.withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__before")
+    apart."""
+    return numbered(df, [key, *ties], name)

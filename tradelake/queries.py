@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import binding as B
 from .functions import clean as C
-from .operators import agreements, cube, features, forecast, late, match, merge, rules
+from .operators import agreements, cube, features, forecast, late, match, merge, rules, scans
 from .operators import relational as R
 from .plans import layers
 from .plans import star as S
@@ -522,6 +522,27 @@ def latest_row(s, d):
     return R.latest_row(m, ["partner_code"], "time_key")
 
 
+LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+LINES = f"""lines as (select l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_extendedprice::double v, case when l_orderkey % 13 = 0 then l_returnflag || l_linenumber when l_orderkey % 13 = 1 then ' ' end note from lineitem)"""
+
+
+@query(f"""with {LINES} select l_orderkey, l_linenumber, n, round(before, 2) before, round(mean_30, 4) mean_30, round(later, 2) later, noted from (select *, row_number() over w n, lag(v, 3) over w before,
+    case when count(v) over w30 = 30 then avg(v) over w30 end mean_30, lead(v, 7) over w later, last_value(nullif(trim(note), '') ignore nulls) over (order by {LINE_ORDER} rows between unbounded preceding and current row) noted
+    from lines window w as (order by {LINE_ORDER}), w30 as (order by {LINE_ORDER} rows between 29 preceding and current row))""")
+def one_long_series(s, d):
+    """All line items as one series: their numbers, lags, rolling means, values to come and the last note, by blocks."""
+    order = LINE_ORDER.split(", ")
+    note = F.when(F.col("l_orderkey") % 13 == 0, F.concat("l_returnflag", "l_linenumber")).when(F.col("l_orderkey") % 13 == 1, " ")
+    lines = B.table(s, d, "lineitem").select(*order, F.col("l_extendedprice").cast("double").alias("v"), note.alias("note"))
+    noted = scans.carried(scans.numbered(lines, order, "n"), [], ["n"], "note", "noted", 5_000)
+
+    def windows(df, keys):
+        w = Window.partitionBy(*keys).orderBy("n")
+        return df.withColumns({"before": F.round(F.lag("v", 3).over(w), 2), "mean_30": F.round(R.rolling("v", w, 30, "mean"), 4), "later": F.round(R.horizon_label("v", w, 7), 2)})
+
+    return scans.in_blocks(noted, [], ["n"], 29, 7, windows, 5_000).select("l_orderkey", "l_linenumber", "n", "before", "mean_30", "later", "noted")
+
+
 # ---- merges ----
 def batches(s, d):
     """(target, source): the grain of the two batches, without the rows that only differ in batch."""

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..operators.merge import replace_slice
-
 
 def overwrite_stage(df: DataFrame, path: str) -> None:
     """The stage table is always what the last run read."""
@@ -69,6 +67,8 @@ def save_slice(spark: SparkSession, path: str, new: DataFrame, predicate: Column
     """Replace the rows for which predicate holds. Spark cannot overwrite what it reads, so the new table is written beside the
     old one and then takes its place by renaming: a run that fails leaves either the old table or, under the name of the
     copy, the new one."""
+    from ..operators.merge import replace_slice  # which writes its stored tables here
+
     beside, before = (f"{path}.{uuid.uuid4().hex}" for _ in range(2))
     replace_slice(spark.read.parquet(path), new, predicate).write.parquet(beside)
     old, files = _place(spark, path)
