@@ -125,3 +125,30 @@ def test_layered_load(spark):
     assert {float(r.value_vnd) for r in out["fact_trade"].collect()} == {250000.0, 125000.0} and facts["JPN"].fta_keys == [1]
     assert {r.hs_code for r in out["nds_trade_transaction"].collect()} == {"090111", "030399"}
     assert [tuple(r) for r in out["watermark"].collect()] == [("NSO", 2025, 4)]
+
+
+def test_many_files_are_one_plan(spark, tmp_path):
+    """Headers anywhere, columns in any order; the plan does not grow with the files."""
+    plans = []
+    for n in (2, 60):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            months = ["Value in 2025-M01", "Value in 2025-M02"][:: 1 if i % 2 else -1]
+            preamble = "".join(f"note {k}\n" for k in range(100 * (i % 3)))
+            (folder / f"w{i}.csv").write_text(f"{preamble}Exporters,{','.join(months)},Product code\nLand {i},{','.join(str(i * 10 + (1 if 'M01' in m else 2)) for m in months)},'{i:04d}\n\"A, B\",,7,\n")
+        got = files.read_wide_monthly_csv(spark, str(folder / "w*.csv"), importer="Viet Nam")
+        rows = [(r.exporter_name, r.product_code, r.month, r.value_usd_k) for r in got.collect() if r.exporter_name != "A, B"]
+        assert sorted(rows) == sorted((f"Land {i}", f"{i:04d}", m, i * 10.0 + m) for i in range(n) for m in (1, 2))
+        assert got.where("exporter_name = 'A, B'").count() == n
+        plans.append(len(got._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
+    (tmp_path / "60" / "w_bad.csv").write_text("nothing,here\n1,2\n")
+    with pytest.raises(ValueError, match="w_bad"):
+        files.read_wide_monthly_csv(spark, str(tmp_path / "60" / "w*.csv"))
+    (tmp_path / "x.csv").write_text("Product code,Label,Japan's imports from Viet Nam,,World's imports\n,,2025-M01,2025-M02,2025-M03\n'0901,a,3,4,5\n,b,9,9,9\n")
+    with pytest.raises(ValueError, match="no pair"):
+        files.read_bilateral_csv(spark, str(tmp_path / "x.csv"), None, "Viet Nam", "export")
+    with pytest.raises(ValueError, match="no monthly"):
+        files.read_bilateral_csv(spark, str(tmp_path / "x.csv"), "Korea", "Viet Nam", "import")
+    assert sorted((r.product_code, r.month, r.value_usd_k) for r in files.read_bilateral_csv(spark, str(tmp_path / "x.csv"), "Japan", "Viet Nam", "export").collect()) == [("0901", 1, 3.0), ("0901", 2, 4.0)]

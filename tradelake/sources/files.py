@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators.relational import carry_forward, first_of, union_sources
+from ..operators.relational import carry_forward, first_of
 from .agreement_columns import HEADERS
 
 #: Columns of the trade CSV and their names in the stage table.
@@ -99,65 +100,78 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return lines
 
 
-def _heads(lines: DataFrame, most: int) -> dict[str, list[str]]:
-    """The first lines of each file: its headers, a bounded number."""
-    out: dict[str, list[str]] = {}
-    for r in lines.where(F.col("line") < most).orderBy("file", "line").collect():
-        out.setdefault(r.file, []).append(r.value)
-    return out
+def _csv_cells(df: DataFrame, column: str, width: int) -> DataFrame:
+    """df with the array cells: the column as a CSV line of up to width cells."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(column, schema, {"mode": "PERMISSIVE"})
+    return df.withColumn("__csv", parsed).withColumn("cells", F.array(*[F.col(f"__csv.c{i}") for i in range(width)])).drop("__csv")
 
 
-def _cells(line: str) -> list[str]:
-    import csv
+def _width(heads: DataFrame, *columns: str) -> int:
+    """Cells of the longest header line, or more."""
+    commas = [F.max(F.length(c) - F.length(F.replace(F.col(c), F.lit(","), F.lit("")))) for c in columns]
+    return 1 + max([0, *(n for n in heads.agg(*commas).first() if n is not None)])
 
-    return next(csv.reader([line])) if line else []
 
+def _must_have(found: DataFrame, condition: str, what: str) -> None:
+    bad = found.where(f"not coalesce({condition}, false)").select("file").first()
+    if bad is not None:
+        raise ValueError(f"{what} in {bad.file}")
 
-def _body(lines: DataFrame, file: str, header_lines: int, names: list[str]) -> DataFrame:
-    """A file's data lines, read as CSV by position; the first header_lines are left out."""
-    text = lines.where((F.col("file") == file) & (F.col("line") >= header_lines) & (F.trim("value") != ""))
-    schema = ", ".join(f"{n} string" for n in names)
-    return text.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+def _headers(lines: DataFrame, marks: Column, what: str) -> DataFrame:
+    """(file, at, header) for every file: its first line with a mark, wherever that is."""
+    heads = lines.groupBy("file").agg(F.min(F.when(marks, F.struct("line", "value"))).alias("h"))
+    heads = heads.select("file", F.col("h.line").alias("at"), F.col("h.value").alias("header")).persist()
+    if heads.isEmpty():
+        raise ValueError("no lines")
+    _must_have(heads, "at is not null", what)
+    return heads
+
+
+def _month_cells(lines: DataFrame, heads: DataFrame, width: int, skip: int) -> DataFrame:
+    """The rows of heads (file, at, months and more) with cells and, for each of months (pos, year, month), the number of the cell
+    at its position; empty cells go. One plan for all files."""
+    body = lines.join(heads, "file").where(F.col("line") >= F.col("at") + skip).where(F.trim("value") != "")
+    each = _csv_cells(body, "value", width).withColumn("m", F.explode("months"))
+    return each.withColumns({"year": F.col("m.year"), "month": F.col("m.month"), "value_usd_k": clean.to_number(F.get("cells", F.col("m.pos")), "double")}).where("year is not null and month is not null and value_usd_k is not null")
+
+
+def _months_of(cells: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """(pos, year, month) of the cells that name a month."""
+    part = lambda x, k: F.regexp_extract(x, _PERIOD, k).try_cast("int")
+    named = F.transform(cells, lambda x, i: F.struct(i.alias("pos"), part(x, 1).alias("year"), part(x, 2).alias("month")))
+    return F.filter(named, lambda m: m["year"].isNotNull() & (keep(m["pos"]) if keep else F.lit(True)))
 
 
 def read_wide_monthly_csv(spark: SparkSession, path: str, markers: tuple[str, ...] = ("Exporters", "Importers", "Product code"), exporter: str | None = None, importer: str | None = None, product: str | None = None) -> DataFrame:
     """(exporter_name, importer_name, product_code, year, month, value_usd_k) of tables with a column for each month.
-    The header of each file is its first line with a marker; a side that has no column is the given constant."""
+    The header of each file is its first line with a marker; a side that has no column is the given constant. Headers are a
+    small table that is joined by file, so the plan is the same for one file and for thousands."""
     lines = _numbered(spark, path)
-    parts = []
-    for file, head in _heads(lines, 60).items():
-        at = next((i for i, line in enumerate(head) if any(m in line for m in markers)), None)
-        if at is None:
-            raise ValueError(f"no header with one of {markers} in {file}")
-        parts.append(_wide_file(lines, file, head[at], at, exporter, importer, product))
-    if not parts:
-        raise ValueError(f"no lines in {path}")
-    return union_sources(*parts)
-
-
-def _wide_file(lines: DataFrame, file: str, header_line: str, at: int, exporter: str | None, importer: str | None, product: str | None) -> DataFrame:
-    header = [c.strip() for c in _cells(header_line)]
-    periods = {i: re.search(_PERIOD, c) for i, c in enumerate(header)}
-    names = [f"v{i}_{m[1]}-M{m[2]}" if (m := periods[i]) else f"c{i}" for i in range(len(header))]
-    # names must be plain for the CSV schema; the month stands in them with underscores
-    wide = _body(lines, file, at + 1, [n.replace("-", "_") for n in names]).toDF(*names)
-    lower = {c.lower(): f"c{i}" for i, c in enumerate(header) if not periods[i]}
-
-    def side(wanted: tuple[str, ...], constant: str | None) -> F.Column:
-        found = next((lower[w] for w in wanted if w in lower), None)
-        return clean.fix_mojibake(found) if found else F.lit(constant).cast("string")
-
-    tagged = wide.select(
-        side(("exporters", "exporter"), exporter).alias("exporter_name"), side(("importers", "importer"), importer).alias("importer_name"), (clean.clean_product_code(lower["product code"]) if "product code" in lower else F.lit(product).cast("string")).alias("product_code"),
-        *[F.col(f"`{n}`") for i, n in enumerate(names) if periods[i]],
-    )
-    return unpivot_months(tagged, ["exporter_name", "importer_name", "product_code"])
-
-
-def pair_of_title(text: str) -> tuple[str, str] | None:
-    """The two countries of a title or file name like `Bilateral trade between A and B`; None if it names none."""
-    m = re.search(r"between[\s_]+(.+?)[\s_]+and[\s_]+(.+?)(?:\.csv|[,;(]|$)", re.sub(r"^.*/", "", text).strip().strip('"'), re.IGNORECASE)
-    return (clean_text(m[1].replace("_", " ")), clean_text(m[2].replace("_", " "))) if m else None
+    marks = reduce(Column.__or__, [F.contains(F.col("value"), F.lit(m)) for m in markers])
+    heads = _headers(lines, marks, f"no header with one of {markers}")
+    width = _width(heads, "header")
+    heads = _csv_cells(heads, "header", width).withColumn("names", F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))))
+    position = lambda *wanted: F.coalesce(*[F.nullif(F.array_position("names", w), F.lit(0).cast("long")) for w in wanted])
+    heads = heads.select("file", "at", _months_of("cells").alias("months"), position("exporters", "exporter").alias("e"), position("importers", "importer").alias("i"), position("product code").alias("p"))
+    rows = _month_cells(lines, heads, width, 1)
+    side = lambda at, constant, tidy: F.when(F.col(at).isNotNull(), tidy(F.get("cells", F.col(at).cast("int") - 1))).otherwise(F.lit(constant).cast("string"))
+    return rows.select(side("e", exporter, clean.fix_mojibake).alias("exporter_name"), side("i", importer, clean.fix_mojibake).alias("importer_name"), side("p", product, clean.clean_product_code).alias("product_code"), "year", "month", "value_usd_k")
+
+
+#: The two countries of a title or file name like `Bilateral trade between A and B`.
+_PAIR = r"(?i)between[\s_]+(.+?)[\s_]+and[\s_]+(.+?)(?:\.csv|[,;(]|$)"
+
+
+def _pair_of(text: Column) -> Column:
+    """The countries that a title names, empty strings if it names none."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(text, "^.*/", "")), '^"+|"+$', "")
+    return F.array(*[_plain(F.replace(F.regexp_extract(plain, _PAIR, k), F.lit("_"), F.lit(" "))) for k in (1, 2)])
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "\u0099|™", "ô"), r"\s+", " "))
 
 
 def read_bilateral_csv(spark: SparkSession, path: str, partner: str | None, target: str, flow: str) -> DataFrame:
@@ -165,46 +179,31 @@ def read_bilateral_csv(spark: SparkSession, path: str, partner: str | None, targ
     go on with the last), the second the months. flow `import` keeps the partner's exports to target, `export` the
     target's to the partner. Without a partner it is the other country of the file's title line or name."""
     lines = _numbered(spark, path)
-    parts = []
-    for file, head in _heads(lines, 60).items():
-        at = next((i for i, line in enumerate(head) if "Product code" in line), None)
-        if at is None or at + 1 >= len(head):
-            raise ValueError(f"no two header lines in {file}")
-        own = partner
-        if own is None:
-            pair = next((p for t in (*head[:at], unquote(file)) if (p := pair_of_title(t))), None)
-            others = [c for c in pair or () if c.lower() != target.lower()]
-            if len(others) != 1:
-                raise ValueError(f"no pair of countries with {target} in {file}")
-            own = others[0]
-        parts.append(_bilateral_file(lines, file, head, at, own, target, flow))
-    if not parts:
-        raise ValueError(f"no lines in {path}")
-    return union_sources(*parts)
-
-
-def _bilateral_file(lines: DataFrame, file: str, head: list[str], at: int, partner: str, target: str, flow: str) -> DataFrame:
-    groups, last = [], ""
-    for cell in _cells(head[at]):
-        last = cell.strip() or last
-        groups.append(clean_text(last).lower())
-    months = _cells(head[at + 1])
-    groups += [groups[-1]] * (len(months) - len(groups))
-    source, sink = (partner, target) if flow == "import" else (target, partner)
-    wanted = (f"exports to {sink}".lower(), f"imports from {source}".lower())
-    periods = {i: m for i, c in enumerate(months) if (m := re.search(_PERIOD, c)) and any(w in groups[i] for w in wanted)}
-    if not periods:
-        raise ValueError(f"no monthly columns of {wanted} in {file}")
-    names = [f"v{i}_{periods[i][1]}_M{periods[i][2]}" if i in periods else f"c{i}" for i in range(len(groups))]
-    code = f"c{groups.index('product code')}"
-    body = _body(lines, file, at + 2, names)
-    kept = [n for i, n in enumerate(names) if i in periods]
-    wide = body.select(F.lit(source).alias("exporter_name"), F.lit(sink).alias("importer_name"), F.nullif(clean.clean_product_code(code), F.lit("")).alias("product_code"), *[F.col(n).alias(re.sub(r"_M(\d+)$", r"-M\1", n)) for n in kept])
-    return unpivot_months(wide.where("product_code is not null"), ["exporter_name", "importer_name", "product_code"])
-
-
-def clean_text(s: str) -> str:
-    return re.sub(r"\s+", " ", s.replace("\u0099", "ô").replace("™", "ô")).strip()
+    heads = _headers(lines, F.contains(F.col("value"), F.lit("Product code")), "no two header lines")
+    second = lines.join(heads, "file").where("line = at + 1").select("file", F.col("value").alias("second"))
+    titles = lines.join(heads, "file").where("line < at").where(F.element_at(_pair_of(F.col("value")), 1) != "")
+    titles = titles.groupBy("file").agg(F.min_by("value", "line").alias("title"))
+    both = heads.join(second, "file", "left").join(titles, "file", "left").persist()
+    _must_have(both, "second is not null", "no two header lines")
+    if partner is None:
+        pair = _pair_of(F.coalesce("title", F.try_url_decode("file"), "file"))
+        others = F.filter(pair, lambda c: (c != "") & (F.lower(c) != target.lower()))
+        both = both.withColumn("partner", F.when(F.size(others) == 1, F.try_element_at(others, F.lit(1))))
+    else:
+        both = both.withColumn("partner", F.lit(partner))
+    _must_have(both, "partner is not null", f"no pair of countries with {target}")
+    width = _width(both, "header", "second")
+    named = _csv_cells(_csv_cells(both, "header", width).withColumnRenamed("cells", "groups"), "second", width)
+    # a group goes on over the blank cells behind it
+    groups = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.lower(_plain(F.try_element_at(F.filter(F.slice("groups", F.lit(1), i), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(-1)))))
+    source, sink = (F.col("partner"), F.lit(target)) if flow == "import" else (F.lit(target), F.col("partner"))
+    named = named.withColumns({"source": source, "sink": sink}).withColumn("filled", groups)
+    wanted = lambda i: F.contains(F.get("filled", i), F.lower(F.concat(F.lit("exports to "), "sink"))) | F.contains(F.get("filled", i), F.lower(F.concat(F.lit("imports from "), "source")))
+    chosen = named.select("file", "at", "source", "sink", _months_of("cells", wanted).alias("months"), F.array_position("filled", "product code").cast("int").alias("p"))
+    _must_have(chosen, "size(months) > 0", f"no monthly columns of the {flow}s")
+    code = F.nullif(clean.clean_product_code(F.get("cells", F.col("p") - 1)), F.lit(""))
+    rows = _month_cells(lines, chosen, width, 2).withColumn("product_code", code).where("product_code is not null")
+    return rows.select(F.col("source").alias("exporter_name"), F.col("sink").alias("importer_name"), "product_code", "year", "month", "value_usd_k")
 
 
 def since_last_rates(new: DataFrame, existing: DataFrame, start: str = "1999-01-04", overlap_days: int = 7) -> DataFrame:
