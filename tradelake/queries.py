@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import binding as B
 from .functions import clean as C
-from .operators import agreements, cube, features, forecast, late, match, merge, rules, scans
+from .operators import agreements, cube, cuboids, features, forecast, late, match, merge, rules, scans
 from .operators import relational as R
 from .plans import layers
 from .plans import star as S
@@ -475,6 +475,41 @@ def cube_flow_source(s, d):
     return cube.cube_by(fact(s, d), ["flow_type", "source_system"], measures())
 
 
+@query("select flow_type, source_system, year, grouping(flow_type)::int grouped_flow_type, grouping(source_system)::int grouped_source_system, grouping(year)::int grouped_year, sum(value)::double as value, sum(value_vnd)::double value_vnd, count(*) trades from star group by cube (flow_type, source_system, year)", "star")
+def cuboid_cube(s, d):
+    """All combinations of three dimensions, each from its smallest parent."""
+    return cuboids.cube(star(s, d), ["flow_type", "source_system", "year"], ["value", "value_vnd", "trades"])
+
+
+#: Tiles of the dashboard: rows, the measure, and members of other dimensions that they keep or leave out.
+VIEWS = {
+    "value by year": (["year"], "value_vnd", {}, {}), "exports by year": (["year"], "value_vnd", {"flow_type": [True]}, {}), "surplus by year": (["year"], "surplus", {}, {}), "value by month": (["time_key"], "value_vnd", {}, {}),
+    "chapters": (["chapter"], "value_vnd", {}, {}), "regions": (["region"], "quantity", {}, {}), "flows": (["flow_type"], "trades", {}, {}), "products": (["hs_code"], "value_vnd", {}, {"chapter": ["01", "02"]}),
+    "countries": (["country_name"], "value_vnd", {}, {"country_name": ["nation_1"]}), "asymmetry by month": (["time_key"], "asymmetry", {}, {}), "sources by month": (["time_key", "source_system"], "value", {}, {"source_system": ["NSO", None]}),
+}
+_SHOWN = {"value_vnd": "sum(value_vnd)::double", "value": "sum(value)::double", "quantity": "sum(quantity)::double", "trades": "count(*)::double"}
+_FLOWS = "coalesce((sum(value_vnd) filter (flow_type))::double, 0) - coalesce((sum(value_vnd) filter (not flow_type))::double, 0)"
+_SHOWN |= {"surplus": _FLOWS, "asymmetry": f"abs({_FLOWS}) / nullif(sum(value_vnd)::double, 0)"}
+
+
+def _view_sql(name: str) -> str:
+    rows, measure, only, without = VIEWS[name]
+    text = lambda v: {True: "true", False: "false"}.get(v, f"'{v}'")
+    kept = [f"{c} in ({', '.join(map(text, v))})" for c, v in only.items()] + [f"not coalesce({c} in ({', '.join(text(x) for x in v if x is not None)}), {str(None in v).lower()})" for c, v in without.items()]
+    return f"select '{name}' tile, concat_ws('|', {', '.join(f'{r}::varchar' for r in rows)}) as member, round({_SHOWN[measure]}, {6 if measure == 'asymmetry' else 2}) as value from star where year in (1995, 1996, 1997) and month <> 2{''.join(' and ' + k for k in kept)} group by {', '.join(rows)}"
+
+
+@query(" union all ".join(map(_view_sql, VIEWS)), "star")
+def cuboid_views(s, d):
+    """Every tile under the dashboard's filter of years and months, from stored cuboids."""
+    held = cuboids.build(star(s, d))
+    parts = []
+    for name, (rows, measure, only, without) in VIEWS.items():
+        v = cuboids.view(held, rows, [measure], {"year": [1995, 1996, 1997], **only}, {"month": [2], **without})
+        parts.append(v.select(F.lit(name).alias("tile"), F.concat_ws("|", *[F.col(r).cast("string") for r in rows]).alias("member"), F.round(F.col(measure).cast("double"), 6 if measure == "asymmetry" else 2).alias("value")))
+    return R.union_sources(*parts)
+
+
 # ---- windows ----
 @query("""select partner_code exporter_name, year, month, sum(value)::double value_usd_k from trade group by all""", "trade")
 def unpivot_months(s, d):
