@@ -197,6 +197,8 @@ def test_leaks_do_not_change_with_blocks(spark, monkeypatch):
     want = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == want and len(want) == 6
+    more = docs.union(spark.createDataFrame([(4, "clean"), (5, None)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(more, bench).collect()) == [4, 5]
 
 
 def plain_ppm(texts, least):

@@ -9,6 +9,7 @@ an edit is one piece, and must stand between word borders.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, tidy
+from .common import discard, materialise, tidy
 
 #: Edits allowed as a share of an item's characters.
 MAX_EDIT_SHARE = 0.05
@@ -154,11 +155,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance int, `end` long"
     arrow = [to_arrow_type(kinds[0]), to_arrow_type(kinds[1]), pa.int32(), pa.int64()]
     texts = docs.where("text is not null").select("doc_id", normalised("text").alias("text"))
-    before = None
+    parts, sent = [], None
     for items in _blocks(benchmark):
-        if before is not None:
-            before = (materialise(before[0], "leaks"), before[1])
-            before[1].unpersist()
+        if sent is not None:
+            parts[-1] = materialise(parts[-1], "leaks")
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -167,20 +168,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SH
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for h in matcher.hits(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(arrow)], ["doc_id", "item_id", "distance", "end"])
 
-        hits = texts.mapInArrow(tidy(run), schema)
-        before = (hits if before is None else before[0].unionByName(hits), sent)
-    return before[0]
+        parts.append(texts.mapInArrow(tidy(run), schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDIT_SHARE) -> DataFrame:
     """docs without the rows in which find_leaks() finds an item of benchmark; same columns, whatever their names.
 
     Every row is judged by its own text, so ids may be of any type, null or repeated, and nothing is shuffled. Null and
-    empty texts stay; an empty benchmark takes nothing away.
+    empty texts stay; an empty benchmark takes nothing away. With several blocks of items what one leaves is stored before the
+    next is sent, so a worker holds one block.
     """
     names = docs.columns
-    left = docs
+    left, stored, sent = docs, None, None
     for items in _blocks(benchmark):
+        if sent is not None:
+            before, stored = stored, materialise(left, "clean")
+            sent.unpersist()
+            discard(before)
+            left = stored
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
