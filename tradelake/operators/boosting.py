@@ -22,7 +22,7 @@ from ..sources.sinks import scratch_folder
 
 #: Rows of a block, numbers of targets times rows that a task takes at least, and the trees after which the state of the rows is
 #: written to the shared folder, so that a lost executor costs no more than these. They change the cost and no result.
-BLOCK_ROWS, TASK_CELLS, CHECKPOINT_TREES = 20_000, 40_000, 25
+BLOCK_ROWS, TASK_CELLS, CHECKPOINT_TREES = 20_000, 100_000, 25
 #: A split must lower the squared error by more than this.
 LEAST_GAIN = 1e-6
 

@@ -89,3 +89,13 @@ def scd2_apply(dim: DataFrame, src: DataFrame, key: str, attrs: list[str], run_d
 def first_load(src: DataFrame, key: str, attrs: list[str], surrogate: str) -> DataFrame:
     """The first version of a dimension from its source."""
     return number_rows(src, key, surrogate).select(surrogate, key, *attrs, F.lit(1).alias("version"), F.lit(FIRST_DATE).cast("date").alias("effective_date"), F.lit(LAST_DATE).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"))
+
+
+def merge_currencies(dim: DataFrame | None, codes: DataFrame) -> DataFrame:
+    """(currency_key, currency_code): the dimension so far with the codes that it lacks; keys go on from the largest, by code."""
+    new = codes.select("currency_code").where("currency_code is not null").distinct()
+    if dim is None:
+        return number_rows(new, "currency_code", "currency_key").select("currency_key", "currency_code")
+    top = dim.agg(F.coalesce(F.max("currency_key"), F.lit(0)).cast("long")).scalar()
+    fresh = number_rows(new_keys_only(new, dim.select("currency_code"), "currency_code"), "currency_code", "__n")
+    return dim.select("currency_key", "currency_code").unionByName(fresh.select((F.col("__n") + top).alias("currency_key"), "currency_code"))

@@ -161,8 +161,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def nds_to_dds(nds: dict[str, DataFrame], dims: dict[str, DataFrame], run_date: str, home: str) -> dict[str, DataFrame]:
-    """The star schema: dimensions with history, which are stored, the agreement bridge and the facts. dims holds the
-    dimensions so far, and under fact_trade the facts, if there are any: facts with the same business key are replaced."""
+    """The star schema: dimensions with history, which are stored, the agreement bridge and the facts; with normalised currencies
+    also their dimension and the exchange-rate fact, in the months that have trade. dims holds the dimensions so far, and under fact_trade the facts, if there are any: facts with the same business key are replaced."""
     country = merge.scd2_apply(dims["dim_country"], nds["country"].withColumnRenamed("partner_code", "country_code").withColumnRenamed("partner_name", "country_name"), "country_code", ["country_name", "region", "continent"], run_date, "country_key")
     product = merge.scd2_apply(dims["dim_product"], nds["product"], "hs_code", ["product_name", "heading", "chapter"], run_date, "product_key")
     fta = merge.scd2_apply(dims["dim_fta"], nds["fta"], "fta_id", ["fta_name"], run_date, "fta_key")
@@ -171,7 +171,12 @@ def nds_to_dds(nds: dict[str, DataFrame], dims: dict[str, DataFrame], run_date:
     fact = S.build_trade_fact(nds["trade_transaction"], product, country, nds["exchange_rate"], nds["fta_member"], fta, home)
     if "fact_trade" in dims:
         fact = S.upsert_facts(dims["fact_trade"], fact)
-    return {"dim_country": country, "dim_product": product, "dim_fta": fta, "dim_time": time, "dim_fta_country": R.agreement_bridge(nds["fta_member"], fta, country), "fact_trade": fact, "fact_rejects": S.unresolved_facts(nds["trade_transaction"], product, country)}
+    rated = {}
+    if "currency" in nds:
+        currency = merge.merge_currencies(dims.get("dim_currency"), nds["currency"])
+        rated = {"dim_currency": kept(currency, "dds-currency")}
+        rated["fact_exchange_rate"] = S.one_rate_a_day(S.build_fx_fact(nds["exchange_rate"], rated["dim_currency"], time))
+    return rated | {"dim_country": country, "dim_product": product, "dim_fta": fta, "dim_time": time, "dim_fta_country": R.agreement_bridge(nds["fta_member"], fta, country), "fact_trade": fact, "fact_rejects": S.unresolved_facts(nds["trade_transaction"], product, country)}
 
 
 def batch_metrics(extracted: DataFrame, loaded: DataFrame, rejects: DataFrame, stored: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -1248,6 +1248,20 @@ def nds_to_dds(s, d):
     return facts.unionByName(R.layer_counts({n: dds[n] for n in ("dim_country", "dim_product", "dim_fta")}).withColumn("value", F.lit(None).cast("double")))
 
 
+@query(f"with {RAW_RATES} select rate_date, (year(rate_date) * 100 + month(rate_date))::int time_key, 'VND' base_currency, 'USD' quote_currency, 7::bigint base_key, 4::bigint quote_key, max(round(1 / rate::double, 6)) vnd_per_usd from raw where rate_date is not null and rate > 0 and (year(rate_date) * 100 + month(rate_date)) in (select time_key from dim_time) group by rate_date", "dim_time")
+def fx_star(s, d):
+    """The currency dimension, of which USD and others are known already, and the exchange-rate fact of the star plan."""
+    clean_rates, _ = rules.split_rate_rejects(raw_rates(s, d))
+    rates = clean_rates.withColumn("vnd_per_usd", C.inverse_rate("rate"))
+    known = s.createDataFrame([(4, "USD"), (6, "EUR")], "currency_key long, currency_code string")
+    codes = rates.select(F.explode(F.array("base_currency", "quote_currency")).alias("currency_code")).distinct()
+    currency = merge.merge_currencies(known, codes)
+    fact = S.one_rate_a_day(S.build_fx_fact(rates, currency, B.stored(s, d, "dim_time")))
+    named = {role: currency.select(F.col("currency_key").alias(f"{role}_key"), F.col("currency_code").alias(f"{role}_currency")) for role in ("base", "quote")}
+    out = fact.join(named["base"], "base_key").join(named["quote"], "quote_key")
+    return out.select("rate_date", "time_key", "base_currency", "quote_currency", "base_key", "quote_key", F.round(F.col("vnd_per_usd").cast("double"), 6).alias("vnd_per_usd"))
+
+
 @query(f"with {STAGED}, ok as (select st.* from st where value > 0 and partner_code in (select iso3 from iso)) select 'ods' table_name, count(*) n from st union all select 'nds_trade_transaction', count(*) from ok union all select 'nds_rejects', (select count(*) from st) - (select count(*) from ok) union all select 'fact_trade', count(*) from ok union all select 'dim_country', count(distinct partner_code) from ok union all select 'dim_product', count(distinct hs_code) from ok", "trade", "iso")
 def layered_load(s, d):
     """Stage to star, every layer stored, from empty tables."""
