@@ -151,7 +151,8 @@ def share_of(docs: DataFrame, most: int) -> DataFrame:
     own = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     sizes = own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes_")).select(F.col("lang").alias("lang_"), (F.lit(float(most)) / F.greatest("bytes_", F.lit(1))).alias("share_"))
     drawn = own.withColumn("draw_", F.rand(SEED))
-    return drawn.join(sizes, F.col("lang") == F.col("lang_")).where("draw_ < share_").select("text", "lang")
+    # a row for each language, as the trees have: texts stay where they are
+    return drawn.join(F.broadcast(sizes), F.col("lang") == F.col("lang_")).where("draw_ < share_").select("text", "lang")
 
 
 def tree_parts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
