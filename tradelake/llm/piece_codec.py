@@ -28,7 +28,7 @@ SPACE = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 #: Code points that are indexed at once; words up to LOCKSTEP_CHARS are relaxed together; longer words than LONG_CHARS are
 #: relaxed by position. All change the cost and no result.
-INDEX_CHARS, LOCKSTEP_CHARS, LONG_CHARS = 250_000, 64, 100_000
+INDEX_CHARS, LOCKSTEP_CHARS, LONG_CHARS = 80_000, 64, 100_000
 #: Ids that are decoded at once, and pairs of pieces that a worker remembers.
 DECODED, PAIRS = 1 << 18, 1 << 20
 NO_EDGE = 2**30
@@ -373,7 +373,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, column: str = "piece_ids"
     return rows.mapInArrow(tidy(run, ("pieces", model_path)), T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most about so many bytes of text."""
     sizes = [len(s.as_buffer()) if s.is_valid else 0 for s in batch.column(column)]
     start = total = 0
