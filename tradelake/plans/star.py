@@ -62,9 +62,10 @@ def build_fx_fact(rates: DataFrame, dim_currency: DataFrame, dim_time: DataFrame
     return R.attach_time(R.role_play_currency(dated, dim_currency), dim_time.select("year", "month", "time_key")).select("rate_date", "time_key", "base_key", "quote_key", "vnd_per_usd")
 
 
-def one_rate_a_day(facts: DataFrame) -> DataFrame:
-    """The exchange-rate fact at its grain: of several rates of a day and pair the largest."""
-    return facts.groupBy("rate_date", "base_key", "quote_key").agg(F.max("time_key").alias("time_key"), F.max("vnd_per_usd").alias("vnd_per_usd"))
+def one_rate_a_day(rates: DataFrame) -> DataFrame:
+    """Rates at the grain of the exchange-rate fact: of several rates of a day and pair the largest. To be taken before the
+    dimensions are joined: where a source has one pair only, the join with the currencies is a product of its rows."""
+    return rates.groupBy("rate_date", "base_currency", "quote_currency").agg(F.max("vnd_per_usd").alias("vnd_per_usd"))
 
 
 def star(fact: DataFrame, dim_product: DataFrame, dim_country: DataFrame, dim_time: DataFrame) -> DataFrame:
