@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import connected_components, discard, each_text, join_by_key, materialise, partitions, tidy
 
-#: Shingle length in words, hash seed. The others change the cost and no result: documents that are counted for
-#: the common order at least, one of how many is counted in any case, shingles that are known to be common, and the rounds
-#: that link to one leader a shingle before all pairs are listed.
-SHINGLE_WORDS, SEED, COUNTED, SHARE, KNOWN, ROUNDS = 5, 42, 6_000, 500, 200_000, 2
+#: Shingle length in words, hash seed. The others change the cost and no result: the leading bits of a shingle's
+#: hash under which all shingles are counted for the common order, and the rounds that link to one leader a shingle before
+#: all pairs are listed.
+SHINGLE_WORDS, SEED, COUNT_BITS, ROUNDS = 5, 42, 20, 2
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -82,17 +82,40 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, bins binary, hashes array<long>")
 
 
-def prefixes(sets: DataFrame, most: int = COUNTED) -> DataFrame:
+def prefix_counts(sets: DataFrame) -> np.ndarray:
+    """How many of all the shingles of all sets (hashes) begin with each of the 2^COUNT_BITS leading bits. Every task counts its
+    sets whole, and the tasks' counts are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            hashes = batch.column(0)
+            ends = hashes.offsets.to_numpy()
+            bits = hashes.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64) >> np.uint64(64 - COUNT_BITS)
+            np.add.at(total, bits.astype(np.int64), 1)
+        own = np.nonzero(total)[0]
+        for at in range(0, len(own), 1 << 16):
+            part = own[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bits", "n"])
+
+    counts = materialise(sets.select("hashes").mapInArrow(tidy(run), "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")), "copies-counts")
+    counted = counts.toArrow()
+    discard(counts)
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[counted["bits"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
     """(token, node, n, k): of every set of n shingles the first n - ceil(0.8 n) + 1, k from 0, in one order for all sets:
-    the rarest first as counted over about `most` sets or one in SHARE, whichever is more, then by hash. Sets of similarity
-    0.8 share one of these."""
-    part = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(SHARE, -(-sets.count() // most))))) == 0)
-    often = part.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    counted = often.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow().sort_by("token")
-    common = sets.sparkSession.sparkContext.broadcast((counted["token"].to_numpy(), counted["n"].to_numpy()))
+    those with the rarest leading bits first, as counted over all sets, then by hash. Sets of similarity 0.8 share one of
+    these."""
+    place = np.empty(1 << COUNT_BITS, np.int32)
+    place[np.argsort(prefix_counts(sets), kind="stable")] = np.arange(1 << COUNT_BITS, dtype=np.int32)
+    common = sets.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = common.value
+        place = common.value
         for batch in batches:
             for part in (batch.slice(s, 500) for s in range(0, batch.num_rows, 500)):
                 out = []
@@ -100,10 +123,7 @@ def prefixes(sets: DataFrame, most: int = COUNTED) -> DataFrame:
                 ends = hashes.offsets.to_numpy()
                 flat = hashes.values.to_numpy()[ends[0] : ends[-1]]
                 ends = ends - ends[0]
-                weight = np.zeros(len(flat), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    weight = np.where(known[at] == flat, often[at], 0)
+                weight = place[(flat.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 for node, a, b in zip(nodes, ends[:-1], ends[1:], strict=True):
                     n = int(b - a)
                     if n:
