@@ -46,6 +46,10 @@ STAGES = [
     ("pieces", piece_stage),
 ]
 
+#: Of the Python workers of all stages, which serve one after another: what they free goes back to the system at once, and is not
+#: kept by an allocator for the stage that comes next.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144"}
+
 #: The first and the last stage cannot be said in SQL; tests hold what the other stages make of the first one's result
 #: against a plain version, and the first one's sums against plain ones.
 ORACLE_SQL = None
@@ -54,6 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared scratch folder and read again. What a stage wrote on
     its way goes once its result is there, and a stage's result once the next one's is."""
+    spark.sparkContext.environment.update(WORKERS)
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = result_only(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023

@@ -22,3 +22,27 @@ def test_rarest_shingles_come_first(spark):
     rows = near_copies.prefixes(sets).collect()
     assert {r.node for r in rows} == {r.node for r in sets.collect()}
     assert not any(r.token in shared for r in rows)
+
+
+def test_workers_of_the_pipeline_return_memory(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+
+    def names(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"name": [f"{k}={os.environ.get(k)}" for k in sorted(corpus_pipeline.WORKERS)]})
+
+    def stage(s, docs, d):
+        seen.extend(r.name for r in docs.select("doc_id").mapInArrow(names, "name string").collect())
+        return docs
+
+    monkeypatch.setattr(spark.sparkContext, "environment", dict(spark.sparkContext.environment))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert set(seen) == {f"{k}={v}" for k, v in corpus_pipeline.WORKERS.items()}
