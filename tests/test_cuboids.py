@@ -49,3 +49,21 @@ def test_cube_of_all_combinations(facts):
     want = facts.cube(*dims).agg(*[F.grouping(d).cast("int").alias(f"grouped_{d}") for d in dims], F.sum("value").cast("double").alias("value"), F.count("*").alias("trades"))
     assert rows(got) == rows(want.select(*got.columns)) and "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert cuboids.cube(facts.where("false"), dims, ["value"]).count() == 0
+
+
+def test_cuboids_by_keys_hold_no_texts(spark):
+    fact = spark.range(300).selectExpr("cast(202001 + id % 12 as int) time_key", "id % 7 product_key", "id % 5 partner_key", "if(id % 11 = 0, null, id % 2 = 0) flow_type", "concat('s', id % 3) source_system", "cast(id as decimal(18,2)) value", "cast(2 * id as decimal(18,2)) value_vnd", "cast(3 as decimal(18,2)) quantity")
+    times = spark.range(12).selectExpr("cast(202001 + id as int) time_key", "2020 year", "cast(id / 3 as int) + 1 quarter", "cast(id + 1 as int) month")
+    # products 5 and 6 and partner 4 have no current version; two partners share a name
+    products = spark.range(5).selectExpr("id product_key", "concat('0', id % 2) chapter", "concat('0', id % 2, '11') heading", "concat('code', id) hs_code", "concat('name', id) product_name")
+    partners = spark.range(4).selectExpr("id partner_key", "'x' continent", "concat('r', id % 2) region", "concat('c', id div 2) country_name")
+    held = cuboids.build_by_keys(fact, {"time_key": (times, "time_key"), "product_key": (products, "hs_code"), "partner_key": (partners, "country_name")})
+    star = fact.join(products, "product_key").join(partners, "partner_key").join(times, "time_key")
+    plain = cuboids.build(star)
+    for rows_, wanted, only, without in [(["hs_code"], ["value", "trades"], {"chapter": ["01"]}, {"month": [2]}), (["country_name", "region"], ["surplus"], {}, {"source_system": ["s1"]}), (["chapter"], ["asymmetry"], {"year": [2020]}, {}), (["hs_code", "country_name"], ["quantity", "trades"], {"flow_type": [None]}, {}), (["year"], ["trades"], {}, {})]:
+        assert rows(cuboids.view(held, rows_, wanted, only, without)) == rows(cuboids.view(plain, rows_, wanted, only, without))
+    # the fact is not stored again, and a product's cuboid has its key for its texts
+    by_product = cuboids.covering(held, {"hs_code"})
+    stored = max(by_product.table.inputFiles(), key=lambda f: "product_key" in spark.read.parquet(f).columns and "flow_type" in spark.read.parquet(f).columns)
+    assert not {"hs_code", "product_name", "chapter", "heading"} & set(spark.read.parquet(stored).columns)
+    assert cuboids.covering(held, {"year"}).rows == 3

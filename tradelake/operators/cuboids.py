@@ -57,6 +57,46 @@ def build(facts: DataFrame, shapes: list[tuple[str, ...]] = SHAPES) -> list[Cubo
     return out
 
 
+def build_by_keys(fact: DataFrame, dims: dict[str, tuple[DataFrame, str]], shapes: list[tuple[str, ...]] = SHAPES) -> list[Cuboid]:
+    """build() over the join of a stored fact with dims (the fact's key: its table, and the column of its lowest level), without
+    the texts of dimensions in groups: a cuboid with a lowest level is summed and stored by the dimension's key, and gets the
+    other columns when it is read. The fact itself is the finest one, of which every row counts once, and is not stored again.
+    Facts without a row in each of the dims do not show."""
+    spark, tables = fact.sparkSession, {k: t for k, (t, _) in dims.items()}
+    level = {k: lowest for k, (_, lowest) in dims.items()}
+    rows = fact.withColumn(COUNT, F.lit(1).cast("long"))
+    for key, table in tables.items():
+        rows = rows.join(table.select(key), key, "left_semi")
+
+    def shown(stored: DataFrame, keys: list[str], columns: tuple[str, ...] | list[str]) -> DataFrame:
+        for k in keys:
+            stored = stored.join(tables[k], k)
+        return stored.select(*columns, *SUMS, COUNT)
+
+    plain = [c for c in fact.columns if c not in (*SUMS, *tables)]
+    every = list(dict.fromkeys([*plain, *[c for t in tables.values() for c in t.columns]]))
+    # of each cuboid: what it is stored as, and the keys in it
+    held = {frozenset(every): (rows, list(tables))}
+    out = [Cuboid(frozenset(every), fact.count(), shown(rows, list(tables), every))]
+    for shape in sorted(shapes, key=len, reverse=True):
+        keys = [k for k in tables if level[k] in shape]
+        fixed = {c for k in keys for c in tables[k].columns}
+        groups = [*keys, *[c for c in shape if c not in fixed]]
+        if set(tables) <= set(keys):
+            continue  # no coarser than the fact
+        parent = covering(out, set(shape) | set(keys)) or covering(out, set(shape))
+        stored, within = held[parent.columns]
+        for k in within:
+            if k not in keys and set(groups) & set(tables[k].columns):
+                stored = stored.join(tables[k], k)
+        made = _summed(stored, groups, True)
+        table = spark.read.schema(made.schema).parquet(store(made, "cuboid"))
+        columns = list(dict.fromkeys([*shape, *keys]))
+        held[frozenset(columns)] = (table, keys)
+        out.append(Cuboid(frozenset(columns), table.count(), shown(table, keys, columns)))
+    return out
+
+
 def stored_measures() -> CubeSpec:
     """The trade cube's measures over cuboids."""
     vnd = F.col("value_vnd")
