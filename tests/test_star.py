@@ -24,3 +24,9 @@ def test_fact_is_summed_without_sorting_rows_and_keeps_its_keys(spark):
     assert held.columns == built.columns
     want = built.select("trade_key", "time_key", "value").collect()
     assert sorted(map(tuple, want)) == sorted(map(tuple, held.select("trade_key", "time_key", "value").collect())) and all(len(r.trade_key) == 32 for r in want)
+
+
+def test_rows_are_dealt_by_key_before_they_are_summed(spark):
+    plan = binding.measures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # both sums lie above the only shuffle by key, so no task holds the groups of a whole split
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
