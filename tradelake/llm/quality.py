@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, tidy
+from .common import discard, materialise, partitions, tidy
 
 #: Labelled rows that are fitted at most (those with the smallest hash of their id); a parameter of train().
 LABELLED_ROWS = 10_000
@@ -118,12 +118,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(rows: Rows, y: np.ndarray, buckets: int, most: int = SELECTED) -> np.ndarray:
-    """The buckets that depend most on y, by chi-squared; those of fewer than three rows do not count."""
+def counts(rows: Rows, y: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows have each bucket, and how many of those with y = 1."""
     owner = np.repeat(np.arange(len(rows)), np.diff(rows.start))
-    has = np.bincount(rows.index, minlength=buckets).astype(float)
-    with_y = np.bincount(rows.index, weights=y[owner], minlength=buckets)
-    n, p = len(y), y.sum()
+    return np.bincount(rows.index, minlength=buckets).astype(float), np.bincount(rows.index, weights=y[owner], minlength=buckets)
+
+
+def telling(has: np.ndarray, with_y: np.ndarray, n: int, p: float, most: int = SELECTED) -> np.ndarray:
+    """The buckets that depend most on y, by chi-squared, of counts() over n rows of which p have y = 1; buckets of fewer than
+    three rows do not count."""
     gap = with_y * n - has * p
     chi = np.where(has >= 3, n * gap**2 / np.maximum(has * (n - has) * p * (n - p), 1e-9), 0)
     order = np.argsort(-chi, kind="stable")[:most]
@@ -210,17 +213,23 @@ class Head:
 _SIZES = {"text": WORD_BUCKETS + _STYLES * _BINS, "meta": META_BUCKETS}
 
 
+def folds(y: np.ndarray) -> list[np.ndarray]:
+    """Which rows are fitted, calibrate and combine. Where a part lacks a class, as with very few labels, all rows serve for all
+    three."""
+    part = np.arange(len(y)) % FOLDS
+    parts = [np.nonzero(w)[0] for w in (part > 1, part == 0, part == 1)]
+    return [np.arange(len(y))] * 3 if any(len(np.unique(y[f])) < 2 for f in parts) else parts
+
+
 class CoTraining:
-    """One target: labelled rows in three parts (fit, calibrate, combine), and the models of both views. Where a part lacks
-    a class, as with very few labels, all rows serve for all three."""
+    """One target: labelled rows in three parts (fit, calibrate, combine), and the models of both views. The rows need no
+    other buckets than the chosen ones, where these are given."""
 
-    def __init__(self, text: Rows, meta: Rows, y: np.ndarray):
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray, chosen: dict[str, np.ndarray] | None = None):
         self.rows, self.y = {"text": text, "meta": meta}, y
-        part = np.arange(len(y)) % FOLDS
-        self.base, self.calibrate, self.combine = (np.nonzero(w)[0] for w in (part > 1, part == 0, part == 1))
-        if any(len(np.unique(y[f])) < 2 for f in (self.base, self.calibrate, self.combine)):
-            self.base = self.calibrate = self.combine = np.arange(len(y))
-        self.chosen = {v: telling(rows.take(self.base), y[self.base], _SIZES[v]) for v, rows in self.rows.items()}
+        self.base, self.calibrate, self.combine = folds(y)
+        own = y[self.base]
+        self.chosen = chosen or {v: telling(*counts(rows.take(self.base), own, _SIZES[v]), len(own), own.sum()) for v, rows in self.rows.items()}
         self.models: dict[str, Linear] = {}
         self.fit({})
 
@@ -347,29 +356,74 @@ def _prepared(docs: DataFrame, columns: list[str], labels: DataFrame | None = No
     return _features(inputs.join(sample, "id", "left").select("row", "text", "source", "lang", "n_chars", "quality", "toxic"))
 
 
+def _chosen(held: DataFrame, used: dict[str, dict[int, int]], y: dict[str, float]) -> dict[str, dict[str, np.ndarray]]:
+    """Of each target the telling() buckets of both views: the rows of held (number, text, meta) that it fits count, of which
+    used has the labels by number, and y how many are 1. Counts are made where the rows are."""
+    numbers = sorted(set().union(*used.values()))
+    marks = pa.table({"number": pa.array(numbers, pa.int64())} | {t: pa.array([own.get(i) for i in numbers], pa.int32()) for t, own in used.items()})
+    rows = held.select("number", "text", "meta").join(F.broadcast(held.sparkSession.createDataFrame(marks)), "number")
+    buckets = F.concat("text", F.transform("meta", lambda b: b + _SIZES["text"]))
+    found = rows.select(F.explode(buckets).alias("bucket"), *used).groupBy("bucket").agg(*[f(t).alias(f"{t}_{n}") for t in used for n, f in (("n", F.count), ("y", F.sum))])
+    table = found.where(" or ".join(f"{t}_n >= 3" for t in used)).toArrow()
+    at, out = table["bucket"].to_numpy(), {}
+    for t, own in used.items():
+        has, with_y = np.zeros(sum(_SIZES.values())), np.zeros(sum(_SIZES.values()))
+        has[at], with_y[at] = table[f"{t}_n"].to_numpy(), table[f"{t}_y"].fill_null(0).to_numpy()
+        cut = {"text": slice(0, _SIZES["text"]), "meta": slice(_SIZES["text"], None)}
+        out[t] = {v: telling(has[c], with_y[c], len(own), y[t]) for v, c in cut.items()}
+    return out
+
+
+def _only(held: DataFrame, buckets: dict[str, np.ndarray]) -> DataFrame:
+    """(number, text, meta) of held with the given buckets of each view alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, v in ((1, "text"), (2, "meta")):
+                rows = _rows(batch.column(i))
+                stays = np.isin(rows.index, buckets[v])
+                out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(stays)])[rows.start].astype(np.int32), rows.index[stays]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["number", "text", "meta"])
+
+    return held.select("number", "text", "meta").mapInArrow(tidy(run), "number long, text array<int>, meta array<int>")
+
+
 def _fit(features: DataFrame) -> dict[str, Head | None]:
-    labelled = features.where("quality is not null or toxic is not null").select(F.col("row.doc_id").alias("doc_id"), "text", "meta", "quality", "toxic")
-    table = labelled.toArrow()
-    ids, text, meta, marks = table["doc_id"].to_pylist(), _slices(table["text"]), _slices(table["meta"]), [table[c].to_pylist() for c in ("quality", "toxic")]
-    sample = sorted(zip(ids, text, meta, *marks, strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1].tolist(), r[2].tolist()))
+    """Labelled rows stay on the executors: which buckets are telling is counted there, and the driver gets the rows' ids, labels
+    and telling buckets, of which there are a few hundred whatever the texts' length."""
+    labelled = features.where("quality is not null or toxic is not null")
+    held = materialise(labelled.select(F.monotonically_increasing_id().alias("number"), F.col("row.doc_id").alias("doc_id"), "text", "meta", "quality", "toxic"), "quality-labelled")
+    table = held.select("number", "doc_id", F.xxhash64("text", "meta").alias("mark"), "quality", "toxic").toArrow()
+    # rows that share an id come by their features; those that share these too are alike
+    sample = sorted(table.to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["mark"]))
     heads: dict[str, Head | None] = {"low": None, "toxic": None}
-    targets: dict[str, CoTraining] = {}
-    for name, column, target in (("low", 3, 0), ("toxic", 4, 1)):
-        own = [r for r in sample if r[column] is not None]
-        y = np.array([float(r[column] == target) for r in own])
+    own, labels = {}, {}
+    for name, column, target in (("low", "quality", 0), ("toxic", "toxic", 1)):
+        rows = [r for r in sample if r[column] is not None]
+        y = np.array([float(r[column] == target) for r in rows])
         if len(np.unique(y)) == 2:
-            targets[name] = CoTraining(Rows.of([r[1] for r in own]), Rows.of([r[2] for r in own]), y)
-    for _ in range(ROUNDS if targets else 0):
-        for t, handed in zip(targets.values(), handed_over(features, [t.models for t in targets.values()]), strict=True):
-            t.fit(handed)
-    return heads | {name: t.head() for name, t in targets.items()}
+            own[name], labels[name] = [r["number"] for r in rows], y
+    if own:
+        fitted = {name: folds(y)[0] for name, y in labels.items()}
+        used = {name: {own[name][i]: int(labels[name][i]) for i in f.tolist()} for name, f in fitted.items()}
+        chosen = _chosen(held, used, {name: labels[name][f].sum() for name, f in fitted.items()})
+        few = _only(held, {v: np.unique(np.concatenate([c[v] for c in chosen.values()])) for v in ("text", "meta")}).toArrow()
+        lists = dict(zip(few["number"].to_pylist(), zip(_slices(few["text"]), _slices(few["meta"]), strict=True), strict=True))
+        targets = {name: CoTraining(*[Rows.of([lists[i][k] for i in rows]) for k in (0, 1)], labels[name], chosen[name]) for name, rows in own.items()}
+        for _ in range(ROUNDS):
+            for t, handed in zip(targets.values(), handed_over(features, [t.models for t in targets.values()]), strict=True):
+                t.fit(handed)
+        heads |= {name: t.head() for name, t in targets.items()}
+    discard(held)
+    return heads
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict[str, Head | None]:
     """Heads `low` (quality 0) and `toxic` from docs (doc_id, text, and where there are any source, lang, n_chars) and labels
     (doc_id, quality 0/1, toxic 0/1).
 
-    At most `most` labelled documents are fitted, picked by hash of the id; their features and sums over all others are
+    At most `most` labelled documents are fitted, picked by hash of the id; their telling buckets and sums over all others are
     what reaches the driver. All other documents are the unlabelled ones that the views exchange. Labels that are null count
     for nothing, and of several labels for a document the larger ones do; rows that share an id share its labels. A head is
     None where its labels hold fewer than two classes, so with empty tables. Ids are of any type, null ids have no label.
