@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -296,3 +298,21 @@ def test_codes_are_inferred_in_order(spark):
 def test_most_frequent_ties_to_the_smallest(spark):
     df = spark.createDataFrame([("k", "b"), ("k", "a"), ("k", None), ("e", None)], "k string, v string")
     assert rows(R.most_frequent(df, "k", ["v"]), "k") == [("e", None), ("k", "a")]
+
+
+def test_clean_forecast_view_is_what_joins_give_and_joins_nothing(spark):
+    """Nulls in keys, several forecasts of a month, months without either; the plan deals the rows by series and has no join."""
+    keys = "time_key int, product_key long, partner_key long, flow_type boolean"
+    rnd = random.Random(7)
+    key = lambda: (rnd.choice([202501, 202502, 202503, None]), rnd.choice([1, 2, 3, None]), rnd.choice([1, 2]), rnd.choice([True, False, None]))
+    value = lambda: rnd.choice([None, -5.0, 0.0, 1.0, 7.0, 40.0])
+    fact = spark.createDataFrame([(*key(), rnd.choice([None, Decimal("1.50"), Decimal("4.00"), Decimal("-2.25")])) for _ in range(150)], keys + ", value_vnd decimal(38,2)")
+    fc = spark.createDataFrame([(*key(), value(), value(), value()) for _ in range(40)], keys + ", forecast_value double, lower_bound double, upper_bound double").where("product_key is null or product_key < 3")
+    capped = fc.join(forecast.series_cap(fact, forecast.SERIES), forecast.SERIES, "left").withColumn("p", F.expr("greatest(least(forecast_value, cap), 0.0d)"))
+    shown = capped.select("time_key", *forecast.SERIES, F.col("p").alias("forecast_value"), F.expr("least(greatest(least(lower_bound, cap), 0.0d), p)").alias("lower_bound"), F.expr("greatest(least(upper_bound, cap), p)").alias("upper_bound"))
+    actual = R.restrict_to_panel(fact, fc, forecast.SERIES).groupBy("time_key", *forecast.SERIES).agg(F.sum("value_vnd").cast("double").alias("actual_value"))
+    want = R.actual_vs_forecast(actual, shown, ["time_key", *forecast.SERIES])
+    got = forecast.clean_forecast_view(fact, fc)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,14 +123,23 @@ def series_cap(fact: DataFrame, keys: list[str]) -> DataFrame:
 
 def clean_forecast_view(fact: DataFrame, forecast: DataFrame) -> DataFrame:
     """Actuals of the forecast series beside their forecasts, of which 0 <= lower <= point <= upper holds in every row
-    and so in every sum; point is capped where the series has a history."""
-    capped = forecast.join(series_cap(fact, SERIES), SERIES, "left")
-    point = F.greatest(F.least("forecast_value", "cap"), F.lit(0.0))
+    and so in every sum; point is capped where the series has a history.
+
+    Months and forecasts lie beneath one another, dealt by series once: the series' cap, whether it has forecasts, and the month that a
+    forecast stands beside are windows over one sorted order. A null in a key equals nothing."""
+    keys = [*SERIES, "time_key"]
+    months = fact.groupBy(*keys).agg(F.sum("value_vnd").cast("double").alias("actual_value"), F.max("value_vnd").alias("top"))
+    rows = months.withColumn("foreseen", F.lit(False)).unionByName(forecast.select(*keys, "forecast_value", "lower_bound", "upper_bound", F.lit(True).alias("foreseen")), allowMissingColumns=True)
+    placed = rows.repartition(*SERIES).sortWithinPartitions(*keys)
+    series, month = Window.partitionBy(*SERIES), Window.partitionBy(*keys)
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in SERIES])
+    dated = whole & F.col("time_key").isNotNull()
+    met = placed.withColumns({"cap": F.when(whole, (F.max("top").over(series) * 3).cast("double")), "panel": whole & F.max("foreseen").over(series)})
+    met = met.withColumns({"own": F.when(dated, F.max("actual_value").over(month)), "beside": dated & F.max("foreseen").over(month)})
+    clean = met.where("foreseen or panel and not beside").withColumn("point", F.when(F.col("foreseen"), F.greatest(F.least("forecast_value", "cap"), F.lit(0.0))))
     low, high = F.least(F.greatest(F.least("lower_bound", "cap"), F.lit(0.0)), "point"), F.greatest(F.least("upper_bound", "cap"), "point")
-    clean = capped.withColumn("point", point).withColumns({"lower": low, "upper": high})
-    shown = clean.select("time_key", *SERIES, F.col("point").alias("forecast_value"), F.col("lower").alias("lower_bound"), F.col("upper").alias("upper_bound"))
-    actual = R.restrict_to_panel(fact, forecast, SERIES).groupBy("time_key", *SERIES).agg(F.sum("value_vnd").cast("double").alias("actual_value"))
-    return R.actual_vs_forecast(actual, shown, ["time_key", *SERIES])
+    shown = {"actual_value": F.when(F.col("foreseen"), F.col("own")).otherwise(F.col("actual_value")), "forecast_value": F.col("point")} | {n: F.when(F.col("foreseen"), c) for n, c in (("lower_bound", low), ("upper_bound", high))}
+    return clean.select("time_key", *SERIES, *[c.alias(n) for n, c in shown.items()])
 
 
 def series_positions(series: DataFrame, keys: list[str]) -> DataFrame:
