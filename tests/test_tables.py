@@ -97,3 +97,18 @@ def test_an_empty_table_and_an_empty_batch(spark, tmp_path):
     record = tables.merge_batch(spark, home, frame, "B0", "p", accumulate)
     assert record["periods"] == [] and record["rows_after"] == 0 and tables.read(spark, home, frame.schema).count() == 0
     assert tables.merge_batch(spark, home, frame.withColumn("v", F.lit(1.0)), "B0", "p", accumulate) == record
+
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    """Its periods and its rows are read from what is stored."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    frame = spark.createDataFrame([(f"k{i}", i % 3, 1.0, "B1") for i in range(30)], SCHEMA)
+    counted = frame.withColumn("p", F.udf(count, "int")("p")).repartition(2)
+    record = tables.merge_batch(spark, str(tmp_path), counted, "B1", "p", accumulate)
+    assert made.value == 30 and record["rows_after"] == 30 and record["periods"] == ["0", "1", "2"]
+    assert not os.listdir(tmp_path / "_incoming")

@@ -57,6 +57,11 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place, files = _at(spark, path)
+    files.delete(place, True)
+
+
 def _record(spark: SparkSession, path: str, number: int) -> dict:
     place, files = _at(spark, f"{path}/_commits/{number}.json")
     stream = files.open(place)
@@ -97,7 +102,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType, periods: list[str
     folders = newest(spark, path)["folders"]
     chosen = sorted({f for p, f in folders.items() if periods is None or p in periods})
     if not chosen:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).limit(0)  # Spark knows it to be empty: a first load joins and sorts nothing
     return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in chosen])
 
 
@@ -123,6 +128,10 @@ def merge_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: str,
     if done := committed(spark, path, batch_id):
         return done
     last = newest(spark, path)
+    # its periods and its rows are both read, and what it is made of may be dear
+    held = f"{path}/_incoming/{uuid.uuid4().hex}"
+    batch.write.parquet(held)
+    batch = spark.read.schema(batch.schema).parquet(held)
     touched = periods_of(batch, period)
     old = read(spark, path, batch.schema, touched)
     place = f"data/{uuid.uuid4().hex}"
@@ -136,6 +145,7 @@ def merge_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: str,
     folders = {p: f for p, f in last["folders"].items() if p not in touched} | new
     record = {"rows_extracted": None, "rows_loaded": None, "rows_rejected": None} | counts
     record |= {"number": last["number"] + 1, "batch_id": batch_id, "status": "SUCCESS", "rows_before": _rows(spark, path, before), "rows_after": _rows(spark, path, list(new.values())), "periods": touched, "folders": folders}
+    _remove(spark, held)
     return _commit(spark, path, record)
 
 
@@ -168,7 +178,7 @@ def clean(spark: SparkSession, path: str) -> int:
         parts = [f"data/{name}/{n}" for n in _names(spark, f"{path}/data/{name}") if n.startswith("__period=")]
         for folder in parts or [f"data/{name}"]:
             if folder not in live:
-                place, files = _at(spark, f"{path}/{folder}")
-                files.delete(place, True)
+                _remove(spark, f"{path}/{folder}")
                 gone += 1
+    _remove(spark, f"{path}/_incoming")
     return gone
