@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradelake.operators import relational, scans
+from tradelake.queries import QUERIES
 from tradelake.sources import jdbc
 
 
@@ -69,3 +70,13 @@ def test_a_database_table_is_read_in_parts(spark):
     assert jdbc.read_jdbc(spark, url, "RECORDS", "ID", where="ID < 0", options=options).count() == 0
     one = jdbc.read_jdbc(spark, url, "RECORDS", "ID", where="ID = 3", task_rows=1, options=options)
     assert one.rdd.getNumPartitions() == 1 and one.count() == 1
+
+
+def test_a_task_sorts_a_bounded_number_of_rows(spark):
+    """More rows are dealt to more tasks, and a key's rows meet."""
+    df = spark.range(4000).selectExpr("id div 4 as k", "id")
+    parts = scans.dealt(df, ["k"], 4000, 200).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys")).collect()
+    assert len(parts) == 20 and all(r.n == 4 * r.keys and r.n <= 400 for r in parts)
+    assert scans.dealt(df, ["k"], 10).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = QUERIES["carry_forward"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan

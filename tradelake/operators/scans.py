@@ -34,6 +34,13 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return held.withColumn("__part", part).join(F.broadcast(small), "__part").withColumn(name, place).drop("__at", "__part", "__before")
 
 
+def dealt(df: DataFrame, keys: list[str], total: int, rows: int = 250_000) -> DataFrame:
+    """df, which has about total rows, dealt by keys to so many tasks that each gets about `rows` rows, for windows over these keys:
+    what a task sorts does not grow with df. Small partitions are not put together again by their compressed size."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-total // rows)), *keys)
+
+
 def in_blocks(df: DataFrame, keys: list[str], order: list[str], behind: int, ahead: int, windows: Callable[[DataFrame, list[str]], DataFrame], rows: int = 1_000_000) -> DataFrame:
     """windows(df, keys) for window functions over series (keys) in the order, whose frames reach over `behind` rows before and
     `ahead` rows after a row at most; windows gets rows with halos and the keys to partition by. A block has about `rows` rows of
