@@ -112,3 +112,13 @@ def test_a_batch_is_made_once(spark, tmp_path):
     record = tables.merge_batch(spark, str(tmp_path), counted, "B1", "p", accumulate)
     assert made.value == 30 and record["rows_after"] == 30 and record["periods"] == ["0", "1", "2"]
     assert not os.listdir(tmp_path / "_incoming")
+
+
+def test_a_stored_batch_is_not_stored_again(spark, tmp_path, monkeypatch):
+    """And columns that the others of their row give are made when the rows are in place."""
+    written, write = [], tables.write_table
+    monkeypatch.setattr(tables, "write_table", lambda df, path, *parts: (written.append(path), write(df, path, *parts)))
+    frame = spark.createDataFrame([("a", 1, 1.0, "B1"), ("b", None, 2.0, "B1")], SCHEMA).withColumn("h", F.md5("k"))
+    record = tables.merge_batch(spark, str(tmp_path), frame, "B1", "p", accumulate, stored=True, derived={"h": F.md5("k")})
+    assert record["rows_after"] == 2 and len(written) == 1 and not os.path.exists(tmp_path / "_incoming")
+    assert rows(tables.read(spark, str(tmp_path), frame.schema)) == rows(frame)

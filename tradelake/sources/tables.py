@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sinks import write_table
+
 #: A batch may touch so many periods: their names pass through the driver, and calendars are short.
 MOST_PERIODS = 100_000
 RECORD = "number long, batch_id string, status string, rows_extracted long, rows_loaded long, rows_rejected long, rows_before long, rows_after long"
@@ -121,23 +123,26 @@ def _rows(spark: SparkSession, path: str, folders: list[str]) -> int:
     return spark.read.parquet(*[f"{path}/{f}" for f in folders]).count() if folders else 0
 
 
-def merge_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: str, period: str, how: Callable[[DataFrame, DataFrame], DataFrame], **counts: int) -> dict:
+def merge_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: str, period: str, how: Callable[[DataFrame, DataFrame], DataFrame], stored: bool = False, derived: dict[str, Column] | None = None, **counts: int) -> dict:
     """Merge a batch into the table by how(old rows, batch) and return its record; that of the first time if it was loaded
     before. Only rows of the periods that the batch touches are read and written, so keys must lie in one period:
-    period, a SQL expression, is part of them. counts go into the record."""
+    period, a SQL expression, is part of them. counts go into the record. stored says that the batch is a stored table already. Columns
+    that others of their row give, in this table and in the batch, can be named in derived: they are not shuffled."""
     if done := committed(spark, path, batch_id):
         return done
     last = newest(spark, path)
     # its periods and its rows are both read, and what it is made of may be dear
     held = f"{path}/_incoming/{uuid.uuid4().hex}"
-    batch.write.parquet(held)
-    batch = spark.read.schema(batch.schema).parquet(held)
+    if not stored:
+        write_table(batch, held)
+        batch = spark.read.schema(batch.schema).parquet(held)
     touched = periods_of(batch, period)
     old = read(spark, path, batch.schema, touched)
     place = f"data/{uuid.uuid4().hex}"
     merged = how(old, batch).withColumn("__period", _period(period))
     # periods are dealt by size: a large one goes to several tasks and files
-    merged.hint("rebalance", "__period").write.partitionBy("__period").parquet(f"{path}/{place}")
+    dealt = merged.drop(*(derived or {})).hint("rebalance", "__period").withColumns(derived or {}).select(*merged.columns)
+    write_table(dealt, f"{path}/{place}", "__period")
     new = {p: f"{place}/__period={quote(p, safe='-_ ')}" for p in touched}
     written = set(_names(spark, f"{path}/{place}"))
     new = {p: f for p, f in new.items() if f.rpartition("/")[2] in written}
@@ -156,7 +161,7 @@ def append_batch(spark: SparkSession, path: str, rows: DataFrame, batch_id: str,
         return done
     last = newest(spark, path)
     folder = f"data/{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{folder}")
+    write_table(rows, f"{path}/{folder}")
     record = {"rows_extracted": None, "rows_loaded": None, "rows_rejected": None} | counts
     record |= {"number": last["number"] + 1, "batch_id": batch_id, "status": status, "rows_before": 0, "rows_after": _rows(spark, path, [folder]), "folders": last["folders"] | {f"batch {batch_id}": folder}}
     return _commit(spark, path, record)
