@@ -77,3 +77,19 @@ def test_a_loaded_batch_leaves_no_copies(spark, tmp_path):
     assert {n: scratch(spark, n) for n in before} == before
     held = tables.read(spark, f"{tmp_path}/ods", ODS_TRADE)
     assert held.where("batch_id = 'B2'").count() == 2 == held.where(F.col("ods_id") == clean.surrogate_key(*TRADE_KEY)).count()
+
+
+def test_a_layered_load_stores_trades_once_a_layer_and_without_hashes(spark):
+    unified, refs, mark = inputs(spark)
+    empty = lambda s: spark.createDataFrame([], s + ", version int, effective_date date, expiry_date date, is_current boolean")
+    dims = {"dim_country": empty("country_key long, country_code string, country_name string, region string, continent string"), "dim_product": empty("product_key long, hs_code string, product_name string, heading string, chapter string"), "dim_fta": empty("fta_key long, fta_id int, fta_name string")}
+    fta = spark.createDataFrame([(1, "Pact", ["Japan", "Viet Nam"])], "fta_id int, fta_name string, members array<string>")
+    rates = spark.createDataFrame([("2025-04-30", "VND", "USD", "0.00004")], "rate_date string, base_currency string, quote_currency string, rate string")
+    before = scratch(spark, "ods-trade")
+    out = layers.layered_load(unified, fta, rates, refs, spark.createDataFrame([], ODS_TRADE), mark, dims, "2025-05-01", "VNM", "B1")
+    assert scratch(spark, "ods-trade") == before and out["ods"].count() == 2 and out["late"].count() == 1
+    trades = {r.trade_id: r.ods_id for r in out["nds_trade_transaction"].collect()}
+    assert len(trades) == 2 and all(k == v and len(k) == 32 for k, v in trades.items())
+    assert {(r.trade_id, r.fta_id) for r in out["nds_fta_utilization"].collect()} == {(k, 1) for k in trades}
+    held = spark.read.parquet(out["nds_trade_transaction"].inputFiles()[0].rpartition("/")[0])
+    assert held.where("ods_id is not null or trade_id is not null").count() == 0
