@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, connected_components, join_by_key, materialise, with_long_id
-from .hnsw import BATCH, Graph
+from .hnsw import BATCH, BUILD_BEAM, Graph
 
 #: Cosine from which on vectors are linked; cosine to its leader from which on a vector is kept in the leader's list.
 THRESHOLD, LEADER = 0.95, 0.98
@@ -46,12 +46,12 @@ class Shard:
         self.strangers = AUDITS  # foreign queries that are still to be audited
 
     def _insert(self, rows: np.ndarray, leader_of: np.ndarray) -> None:
-        own = self.vectors[rows].astype(np.float32)
+        own, near = self.vectors[rows].astype(np.float32), None
         if len(self.graph):
-            sims, found = self.graph.search(own, FIRST_BEAM)
+            sims, found = self.graph.search(own, BUILD_BEAM)
             joins = sims[:, 0] >= LEADER
             leader_of[rows[joins]] = found[joins, 0]
-            rows, own = rows[~joins], own[~joins]
+            rows, own, near = rows[~joins], own[~joins], (sims[~joins], found[~joins])
         among = own @ own.T >= LEADER
         lead = np.full(len(rows), -1, np.int64)
         fresh = []
@@ -62,7 +62,7 @@ class Shard:
                 fresh.append(i)
         leader_of[rows] = lead + len(self.graph)
         if fresh:
-            self.graph.add(own[fresh])
+            self.graph.add(own[fresh], near and tuple(x[fresh] for x in near))
 
     def _audit_turned(self) -> None:
         """Widen the beam until it finds RECALL of leaders that noise has turned to AUDIT_COSINE."""
@@ -169,12 +169,14 @@ def near_links(classes: DataFrame) -> DataFrame:
     shards = F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") * F.col("size") * 8 / SHARD_BYTES)).cast("int").alias("shards")
     sizes = sized.groupBy("size").agg(F.count("*").alias("n")).select("size", shards)
     total = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
-    base = sized.join(sizes, "size").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    # shards are numbered over all lengths, and each is a task of its own: two of them in one would take twice as long
+    numbered = sizes.withColumn("first", (F.sum("shards").over(Window.orderBy("size")) - F.col("shards")).cast("int"))
+    base = sized.join(numbered, "size").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     # a shard is sought in the half of the others that follows it in a ring
     half = F.expr("filter(transform(sequence(1, int(shards / 2)), d -> struct((shard + d) % shards as to, d)), x -> 2 * x.d < shards or shard < x.to)")
-    asked = base.withColumn("to", F.explode(half)).select("size", F.col("to.to").alias("shard"), F.lit(1).alias("role"), "id", "embedding", "weight")
-    rows = base.select("size", "shard", F.lit(0).alias("role"), "id", "embedding", "weight").unionByName(asked)
-    placed = rows.repartition(max(1, 4 * total), "size", "shard").sortWithinPartitions("size", "shard", "role", "id")
+    asked = base.withColumn("to", F.explode(half)).select("size", F.col("to.to").alias("shard"), F.lit(1).alias("role"), "id", "embedding", "weight", "first")
+    rows = base.select("size", "shard", F.lit(0).alias("role"), "id", "embedding", "weight", "first").unionByName(asked)
+    placed = rows.repartitionById(max(1, int(total)), (F.col("first") + F.col("shard")).cast("int")).drop("first").sortWithinPartitions("size", "shard", "role", "id")
 
     def out(node: np.ndarray, links: np.ndarray, root: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.nulls(len(node), pa.int64()) if root is None else pa.array(root, pa.int64())], ["node", "links", "root"])

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Links of a node (twice as many on the lowest layer), beam while building, vectors inserted or sought together.
-LINKS, BUILD_BEAM, BATCH = 10, 32, 256
+#: Links of a node (twice as many on the lowest layer), beam while building, vectors inserted or sought together, nodes of a beam that
+#: are followed in one step.
+LINKS, BUILD_BEAM, BATCH, STRIDE = 16, 32, 256, 8
 _NONE = -1
+#: Entries of a beam are numbers that sort as they are wanted, the nearest first: similarity, id, and 1 where the node is still to be followed.
+_FREE = np.int64(1 << 62)
+
+
+def _entry(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (((1 << 30) - ((sims.astype(np.float64) + 2) * (1 << 28)).astype(np.int64)) << 32) | (ids << 1) | 1
 
 
 def _diverse(near: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
@@ -71,34 +78,41 @@ class Graph:
         return at
 
     def beam(self, queries: np.ndarray, start: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
-        """(similarities, ids) of the beam around each query, nearest first; -inf where it isn't full."""
+        """(similarities, ids) of the beam around each query, nearest first; -inf where it isn't full. The best STRIDE nodes that
+        are still to be followed are followed together, and what they lead to is sorted in once."""
         q, n = len(queries), len(self)
-        ids = np.full((q, width), _NONE, np.int64)
-        sims = np.full((q, width), -np.inf, np.float32)
-        done = np.ones((q, width), bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = start, np.einsum("qd,qd->q", queries, self.vectors[start]), False
-        seen = np.zeros((q, n), bool)
-        seen[np.arange(q), start] = True
-        active = np.arange(q)
-        while True:
-            waiting = np.where(done[active], -np.inf, sims[active])
-            j = waiting.argmax(1)
-            live = waiting[np.arange(len(active)), j] > -np.inf
-            active, j = active[live], j[live]
-            if not len(active):
-                return sims, ids
-            done[active, j] = True
-            links = self.layers[layer][ids[active, j]]
-            fresh = (links >= 0) & ~seen[active[:, None], np.maximum(links, 0)]
-            rows, cols = np.nonzero(fresh)
-            seen[active[rows], links[rows, cols]] = True
-            new = np.full(links.shape, -np.inf, np.float32)
-            new[rows, cols] = np.einsum("kd,kd->k", queries[active[rows]], self.vectors[links[rows, cols]])
-            all_sims = np.concatenate([sims[active], new], axis=1)
-            order = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
-            sims[active] = np.take_along_axis(all_sims, order, 1)
-            ids[active] = np.take_along_axis(np.concatenate([ids[active], np.where(fresh, links, _NONE)], axis=1), order, 1)
-            done[active] = np.take_along_axis(np.concatenate([done[active], ~fresh], axis=1), order, 1)
+        beams = np.full((q, width), _FREE)
+        beams[:, 0] = _entry(np.einsum("qd,qd->q", queries, self.vectors[start]), start)
+        seen = np.zeros(q * n, bool)
+        seen[np.arange(q) * n + start] = True
+        active, place, now = np.arange(q), np.arange(q), beams.copy()
+        while len(active):
+            waiting = (now & 1).astype(bool)
+            live = waiting.any(1)
+            if not live.all():
+                beams[active[~live]] = now[~live]
+                active, now, waiting = active[live], now[live], waiting[live]
+                place[active] = np.arange(len(active))
+            rows, cols = np.nonzero(waiting & (np.cumsum(waiting, axis=1) <= STRIDE))
+            now[rows, cols] ^= 1
+            links = self.layers[layer].take((now[rows, cols] >> 1) & 0x7FFFFFFF, axis=0)
+            cells = (active[rows, None] * n + links)[links >= 0]
+            cells = np.sort(cells[~seen.take(cells)])
+            cells = cells[np.append(True, cells[1:] != cells[:-1])] if len(cells) else cells  # a node may be led to twice
+            seen[cells] = True
+            query = cells // n
+            node = cells - query * n
+            new, row = _entry(np.einsum("kd,kd->k", queries.take(query, axis=0), self.vectors.take(node, axis=0)), node), place.take(query)
+            near = new < now[row, -1]
+            new, row = new[near], row[near]
+            if len(new):
+                count = np.bincount(row, minlength=len(active))
+                more = np.full((len(active), int(count.max())), _FREE)
+                more[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = new
+                now = np.sort(np.concatenate([now, more], axis=1), axis=1)[:, :width]
+        full = beams < _FREE
+        sims = ((1 << 30) - (beams >> 32)) / (1 << 28) - 2
+        return np.where(full, sims, -np.inf).astype(np.float32), np.where(full, (beams >> 1) & 0x7FFFFFFF, _NONE)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """beam() on the lowest layer, entered by way of the upper ones."""
@@ -107,8 +121,9 @@ class Graph:
             at = self._greedy(queries, at, layer)
         return self.beam(queries, at, min(width, len(self)), 0)
 
-    def add(self, vectors: np.ndarray) -> None:
-        """Insert up to BATCH vectors: each layer's neighbours come from the graph so far and from the batch itself."""
+    def add(self, vectors: np.ndarray, near: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Insert up to BATCH vectors: each layer's neighbours come from the graph so far and from the batch itself. near: what
+        search() finds for them with BUILD_BEAM, where that is known."""
         old = len(self)
         top = len(self.layers) - 1
         ids = self._grow(vectors.astype(np.float32))
@@ -119,20 +134,22 @@ class Graph:
         np.fill_diagonal(within, -np.inf)
         for layer in range(len(self.layers) - 1, -1, -1):
             member = np.nonzero(level >= layer)[0]
-            if old and layer <= top:
+            if near is not None and not layer:
+                sims, found = near
+            elif old and layer <= top:
                 sims, found = self.beam(own[member], at[member], min(BUILD_BEAM, old), layer) if len(member) else (np.zeros((0, 1), np.float32), np.zeros((0, 1), np.int64))
                 if layer:
-                    above = np.nonzero(level < layer)[0]
+                    above = np.nonzero((level < layer) & ((level > 0) | (near is None)))[0]
                     at[above] = self._greedy(own[above], at[above], layer)
                     at[member] = found[:, 0]
             else:
                 sims, found = np.full((len(member), 1), -np.inf, np.float32), np.full((len(member), 1), _NONE, np.int64)
             if not len(member):
                 continue
-            near = within[np.ix_(member, member)]
+            among = within[np.ix_(member, member)]
             k = min(LINKS, len(member))
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            sims = np.concatenate([sims, np.take_along_axis(near, best, 1)], axis=1)
+            best = np.argpartition(-among, k - 1, axis=1)[:, :k]
+            sims = np.concatenate([sims, np.take_along_axis(among, best, 1)], axis=1)
             found = np.concatenate([found, ids[member][best]], axis=1)
             width = self.layers[layer].shape[1]
             links = _diverse(sims, found, self.vectors, LINKS)
@@ -156,6 +173,13 @@ class Graph:
             old = self.layers[layer][nodes[more]]
             known = (spread[:, :, None] == old[:, None, :]).any(2)
             both = np.concatenate([old, np.where(known, _NONE, spread)], axis=1)
-            sims = np.einsum("qd,qkd->qk", self.vectors[nodes[more]], self.vectors[np.maximum(both, 0)])
-            sims[both < 0] = -np.inf
-            self.layers[layer][nodes[more]] = _diverse(sims, both, self.vectors, width)
+            over = (both >= 0).sum(1) > width  # the others have room for all
+            at = nodes[more]
+            if not over.all():
+                roomy = both[~over]
+                self.layers[layer][at[~over]] = np.take_along_axis(roomy, np.argsort(roomy < 0, axis=1, kind="stable")[:, :width], 1)
+            at, both = at[over], both[over]
+            if len(at):
+                sims = np.einsum("qd,qkd->qk", self.vectors[at], self.vectors[np.maximum(both, 0)])
+                sims[both < 0] = -np.inf
+                self.layers[layer][at] = _diverse(sims, both, self.vectors, width)
